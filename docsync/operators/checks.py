@@ -6,12 +6,12 @@ import datetime as dt
 import time
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsync.functions import hash_text, minus_seconds, parse_date
+from docsync.functions import hash_text, minus_seconds
 from docsync.operators.diff import content_diff, expected_ids, presence
-from docsync.operators.extract import ID, delta
+from docsync.operators.extract import ID
 
 # Default limits of a run.
 MAX_DELETE_RATIO = 0.10
@@ -222,27 +222,22 @@ def verify(
             removed,
             keys,
         )
-        report = report.unionByName(_difference("content_sample", part))
+        report = report.unionByName(difference_row("content_sample", part))
     if full:
         report = report.unionByName(
-            _difference("content_full", content_diff(src, tgt, removed, keys))
+            difference_row("content_full", content_diff(src, tgt, removed, keys))
         )
     return report
 
 
-def _difference(name: str, ids: DataFrame) -> DataFrame:
+def difference_row(name: str, ids: DataFrame) -> DataFrame:
     found = ids.agg(F.count(F.lit(1)).alias("n"))
     return _rows(found, check_row(name, F.lit(0), F.col("n")))
 
 
-def report_frame(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    """A handful of driver-side check results as a DataFrame."""
-    return spark.createDataFrame(rows, "check string, expected bigint, actual bigint, ok boolean")
-
-
 __all__ = [
     "GateFailed", "MARGIN_SECONDS", "MAX_DELETE_RATIO", "SAMPLE_ROWS", "SAMPLE_SEED", "bad_keys",
-    "completeness", "counts", "delete_ratio", "delta", "gate", "gate_passes", "lower_bound",
-    "parse_date", "plan", "preview", "ratio_exceeded", "report_frame", "sample", "stable",
+    "completeness", "counts", "delete_ratio", "difference_row", "gate", "gate_passes", "lower_bound",
+    "plan", "preview", "ratio_exceeded", "sample", "stable",
     "usable_bound", "verify",
 ]

@@ -7,16 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docsync.functions import canonical_json, collapse_ws
+from docsync.functions.types import struct_of
 from docsync.operators.schema import MAPPER_PARSING, STRICT_DYNAMIC
 
 # Transient status codes and error types of the write protocol.
 RETRY_STATUS = (429, 502, 503, 504)
 RETRY_ERRORS = ("es_rejected_execution", "circuit_breaking", "cluster_block", "unavailable_shards")
 
-RESULT_TYPE = (
-    "struct<_id string, status int, error struct<type string, reason string>>"
-)
-
 
 def explode_results(results: DataFrame) -> DataFrame:
     """``batch, items`` to one row per item with its position as ``ordinal``."""
@@ -81,9 +78,14 @@ def dead_letters(df: DataFrame, tag: str) -> DataFrame:
     )
 
 
-DEAD_LETTER = T.StructType.fromDDL(
-    "_id string, tag string, status int, error struct<type string, reason string>, "
-    "retry_exhausted boolean, action string, source string"
+DEAD_LETTER = struct_of(
+    _id="string",
+    tag="string",
+    status="int",
+    error=struct_of(type="string", reason="string"),
+    retry_exhausted="boolean",
+    action="string",
+    source="string",
 )
 
 
@@ -137,7 +139,7 @@ def conform(
     field the schema does not know is ``strict_dynamic_mapping_exception`` under ``strict``.
     """
     checked = _check_json(df, json_col, schema, strict)
-    others = [c for c in df.columns if c != json_col]
+    others = [c for c in df.columns if c != json_col and c not in schema.names]
     ok = checked.where("reject is null").select(
         *others, *[F.col("_doc")[f.name].alias(f.name) for f in schema.fields]
     )

@@ -40,3 +40,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = fresh_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Session settings the library relies on; all can be set at run time.
+
+    * UTC, because cutover times and document times are UTC.
+    * Whole-stage code above 8,000 bytes of bytecode is never compiled by the JVM and would be
+      interpreted; wide document rows reach that, and run several times faster split up.
+    """
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    return spark

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docsync.functions.types import struct_of
 from docsync.operators.schema import align, misfit
 
 # Declared field types and the Spark types they are read as.
@@ -21,7 +22,7 @@ FIELD_TYPES = {
     "integer": T.IntegerType(),
     "boolean": T.BooleanType(),
     "date": T.TimestampType(),
-    "geo_point": T.StructType.fromDDL("lat double, lon double"),
+    "geo_point": struct_of(lat="double", lon="double"),
 }
 
 

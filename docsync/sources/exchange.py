@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docsync.functions.types import struct_of
+
 # Fixed value: largest write request in bytes.
 BYTE_CAP = 5_000_000
 
@@ -46,7 +48,7 @@ def write_ndjson(changes: DataFrame, path: str, two_lines: bool = False) -> None
     lines.toDF("value").write.text(path)
 
 
-CHANGE = T.StructType.fromDDL("op string, id string, routing string, doc string")
+CHANGE = struct_of(op="string", id="string", routing="string", doc="string")
 
 
 def read_ndjson(spark: SparkSession, path: str, two_lines: bool = False) -> DataFrame:

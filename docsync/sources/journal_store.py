@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from docsync.functions.types import struct_of
 from docsync.sources import files
 
-JOURNAL = T.StructType.fromDDL(
-    "seq bigint, id string, op string, found int, source string, routing string"
+JOURNAL = struct_of(
+    seq="bigint", id="string", op="string", found="int", source="string", routing="string"
 )
 
 
