@@ -76,7 +76,7 @@ def page(
     """
     rows = delta(df, ts_col, since, op) if since is not None else df
     if after is not None:
-        last_ts, last_id = F.lit(after[0]), F.lit(after[1])
+        last_ts, last_id = (v if isinstance(v, Column) else F.lit(v) for v in after)
         rows = rows.where(
             (F.col(ts_col) >= last_ts)
             & ((F.col(ts_col) > last_ts) | (F.col(key) > last_id))
