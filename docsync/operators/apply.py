@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docsync.operators.extract import ID, live_ids
+from docsync.operators.extract import ID, live_ids, touched
 
 
 def apply_upserts(
@@ -72,7 +72,13 @@ def apply_merge(
         F.struct(*[F.col(c) for c in given + extras], F.lit(True).alias("_given")).alias("_new"),
     )
     old = target.select(*keys, F.struct(*[F.col(c) for c in payload]).alias("_old"))
-    joined = old.join(new, list(keys), "full_outer")
+    # Left join plus inserts instead of a full outer join: a small patch is then broadcast and
+    # the target stays where it is.
+    known = target.select(*keys).join(patch.select(*keys), list(keys), "left_semi")
+    inserts = new.join(known, list(keys), "left_anti").withColumn(
+        "_old", F.lit(None).cast(old.schema["_old"].dataType)
+    )
+    joined = old.join(new, list(keys), "left").unionByName(inserts)
     columns = [F.col(k) for k in keys]
     for name in payload:
         before = F.col("_old")[name]
@@ -90,4 +96,4 @@ def apply_merge(
 
 def repair_rows(src: DataFrame, ids: DataFrame, keys: Sequence[str] = ID) -> DataFrame:
     """Source rows for the ids the target lacks; ids the source lost meanwhile give no row."""
-    return src.join(live_ids(ids, keys), list(keys), "left_semi").select(*src.columns)
+    return touched(src, ids, keys)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsync.functions import hash_text, minus_seconds
-from docsync.operators.diff import content_diff, expected_ids, presence
+from docsync.operators.diff import content_diff
 from docsync.operators.extract import ID
 
 # Default limits of a run.
@@ -196,25 +196,33 @@ def verify(
     * ``content_sample``: differing documents among ``sample_ids``.
     * ``content_full``: differing documents among all; finds updates that left the timestamp.
     """
-    ids = presence(src, tgt, keys).agg(
-        F.coalesce(F.sum("n_src"), F.lit(0)).alias("ns"),
-        F.coalesce(F.sum("n_tgt"), F.lit(0)).alias("nt"),
-        F.count_if(F.col("n_src") == 0).alias("extra"),
-        F.count_if(F.col("n_tgt") == 0).alias("missing"),
-    )
+    # All id sets meet in one grouped aggregate: one shuffle, ids only.
+    sets = {"src": src, "tgt": tgt}
+    if before is not None:
+        sets |= {"before": before, "gone": to_delete, "added": to_repair}
+    marked = None
+    for name, df in sets.items():
+        flags = [F.lit(int(other == name)).cast("bigint").alias(other) for other in sets]
+        part = df.select(*keys, *flags)
+        marked = part if marked is None else marked.unionByName(part)
+    per_id = marked.groupBy(*keys).agg(*[F.sum(name).alias(name) for name in sets])
+    facts = [
+        F.coalesce(F.sum("src"), F.lit(0)).alias("ns"),
+        F.coalesce(F.sum("tgt"), F.lit(0)).alias("nt"),
+        F.count_if((F.col("src") == 0) & (F.col("tgt") > 0)).alias("extra"),
+        F.count_if((F.col("tgt") == 0) & (F.col("src") > 0)).alias("missing"),
+    ]
     zero = F.lit(0)
-    report = _rows(
-        ids,
+    rows = [
         check_row("count", F.col("ns"), F.col("nt")),
         check_row("extra_ids", zero, F.col("extra")),
         check_row("missing_ids", zero, F.col("missing")),
-    )
+    ]
     if before is not None:
-        planned = expected_ids(before, to_delete, to_repair, keys)
-        off = presence(src, planned, keys).agg(
-            F.count_if((F.col("n_src") == 0) | (F.col("n_tgt") == 0)).alias("off")
-        )
-        report = report.unionByName(_rows(off, check_row("expected_ids", zero, F.col("off"))))
+        planned = ((F.col("before") > 0) & (F.col("gone") == 0)) | (F.col("added") > 0)
+        facts.append(F.count_if(planned != (F.col("src") > 0)).alias("off"))
+        rows.append(check_row("expected_ids", zero, F.col("off")))
+    report = _rows(per_id.agg(*facts), *rows)
     if sample_ids is not None:
         part = content_diff(
             src.join(sample_ids, list(keys), "left_semi"),

@@ -40,20 +40,29 @@ def union_parts(parts: Sequence[DataFrame], keys: Sequence[str] = ID) -> DataFra
     return merged.distinct()
 
 
+def touched(df: DataFrame, ids: DataFrame, keys: Sequence[str] = ID) -> DataFrame:
+    """Rows of ``df`` whose id is listed.
+
+    A left join onto the id list cannot broadcast the list. Filtering the large side first can:
+    while the list is small (Spark checks its size) the large side is neither shuffled nor
+    sorted, and whatever is computed per row afterwards is computed for listed ids only.
+    """
+    return df.join(ids.select(*keys), list(keys), "left_semi").select(*df.columns)
+
+
 def lookup(df: DataFrame, ids: DataFrame, keys: Sequence[str] = ID) -> DataFrame:
     """``keys, found, doc`` for every asked id; ids that do not exist give a row too."""
+    wanted = live_ids(ids, keys)
     payload = [c for c in df.columns if c not in keys]
-    docs = df.select(*keys, F.struct(*[F.col(c) for c in payload]).alias("doc"))
-    return (
-        live_ids(ids, keys)
-        .join(docs, list(keys), "left")
-        .select(*keys, F.col("doc").isNotNull().alias("found"), "doc")
-    )
+    docs = touched(df, wanted, keys).select(*keys, F.struct(*[F.col(c) for c in payload]).alias("doc"))
+    found = wanted.join(docs, list(keys), "left")
+    return found.select(*keys, F.col("doc").isNotNull().alias("found"), "doc")
 
 
 def label_changes(changes: DataFrame, target: DataFrame, keys: Sequence[str] = ID) -> DataFrame:
     """Adds ``kind``: ``update`` when the target holds the id already, else ``create``."""
-    known = live_ids(target, keys).withColumn("_known", F.lit(True))
+    known = live_ids(touched(target.select(*keys), changes, keys), keys)
+    known = known.withColumn("_known", F.lit(True))
     return (
         changes.join(known, list(keys), "left")
         .withColumn("kind", F.when(F.col("_known"), "update").otherwise("create"))

@@ -9,21 +9,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docsync.functions import from_document, hash_text, to_document
-from docsync.operators.extract import live_ids
+from docsync.operators.extract import live_ids, touched
 
 EMPTY = "{}"
 
 
 def preimage(
-    ids: DataFrame, target: DataFrame, op: str | Column, routing: str | None = None
+    ids: DataFrame,
+    target: DataFrame,
+    op: str | Column,
+    routing: str | None = None,
+    rows: DataFrame | None = None,
 ) -> DataFrame:
     """``id, op, found, source`` (and ``routing``) of the rows about to change.
 
-    Only the target's columns are serialised, and only for the listed ids. ``ids`` may carry
-    a ``seq`` column, which is kept.
+    Rows are serialised for the listed ids only. ``ids`` may carry a ``seq`` column, which is
+    kept. ``rows`` are the target's rows for these ids, when the caller has a better way to
+    find them.
     """
     payload = [c for c in target.columns if c != routing]
-    old = target.select(
+    rows = touched(target, ids) if rows is None else rows
+    old = rows.select(
         "id",
         to_document([F.col(f"`{c}`") for c in payload]).alias("_source"),
         (F.col(routing) if routing else F.lit(None)).cast("string").alias("routing"),

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from docsync.functions import canonical_json, collapse_ws
 from docsync.functions.types import struct_of
+from docsync.operators.extract import touched
 from docsync.operators.schema import MAPPER_PARSING, STRICT_DYNAMIC
 
 # Transient status codes and error types of the write protocol.
@@ -169,14 +170,15 @@ def _has_unknown_keys(text: Column, schema: T.StructType) -> Column:
             found = found | F.coalesce(_has_unknown_keys(part, inner), F.lit(False))
         elif isinstance(inner, T.ArrayType) and isinstance(inner.elementType, T.StructType):
             items = F.from_json(part, "array<string>")
-            nested = F.exists(
-                items,
-                lambda v, t=inner.elementType: F.coalesce(_has_unknown_keys(v, t), F.lit(False)),
-            )
+            nested = F.exists(items, _unknown_key_test(inner.elementType))
             found = found | F.coalesce(nested, F.lit(False))
     return found
 
 
+def _unknown_key_test(schema: T.StructType):
+    return lambda item: F.coalesce(_has_unknown_keys(item, schema), F.lit(False))
+
+
 def reconform(
     dead: DataFrame, schema: T.StructType, strict: bool = False
 ) -> tuple[DataFrame, DataFrame]:
@@ -193,8 +195,8 @@ def unresolved(dead: DataFrame, src: DataFrame, tgt: DataFrame, doc_col: str = "
     ids = dead.select(F.col("_id").alias("id")).distinct()
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        key = F.col("id").cast("string").alias("id")
-        return df.select(key, canonical_json(F.col(doc_col)).alias(name)).join(ids, "id", "left_semi")
+        keyed = df.select(F.col("id").cast("string").alias("id"), F.col(doc_col).alias("_doc"))
+        return touched(keyed, ids).select("id", canonical_json(F.col("_doc")).alias(name))
 
     joined = ids.join(side(src, "s"), "id", "left").join(side(tgt, "t"), "id", "left")
     return joined.select(

@@ -42,14 +42,26 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores, when the input has fewer partitions than there are cores.
+
+    For costly per-row work on an input of few files. A large input has more partitions than
+    cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Session settings the library relies on; all can be set at run time.
 
     * UTC, because cutover times and document times are UTC.
     * Whole-stage code above 8,000 bytes of bytecode is never compiled by the JVM and would be
       interpreted; wide document rows reach that, and run several times faster split up.
+    * A join whose smaller side turns out to fit a hash table per task is not sorted.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")
     return spark

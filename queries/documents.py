@@ -9,7 +9,7 @@ from docsync import functions as fn
 from docsync.functions.types import struct_of
 from docsync.operators import journal, schema
 from docsync.operators.extract import clean_ids
-from docsync.session import fresh_dir
+from docsync.session import fresh_dir, spread
 from docsync.sources import documents, exchange, journal_store, synth
 from queries import compare
 from queries import fixtures as fx
@@ -26,7 +26,7 @@ def q_align(spark, sf):
         T.StructField("info", struct_of(mode="string", flag="string")),
         T.StructField("absent", T.DoubleType()),
     ])
-    lines = fx.table(spark, sf, "lineitem").select(
+    lines = spread(fx.table(spark, sf, "lineitem")).select(
         F.col("l_orderkey").alias("orderkey"), "l_linenumber", "l_quantity", "l_returnflag", "l_tax",
         F.struct(F.col("l_linestatus").alias("flag"), F.col("l_suppkey").alias("supp")).alias("info"),
     )
@@ -88,7 +88,7 @@ def q_dates(spark, sf):
 def q_canonical_json(spark, sf):
     n = F.regexp_extract("props", r"(\d+)", 1)
     text = F.concat(F.lit('{ "z":1.0, "k":'), n, F.lit('e0,"a":{"y":null,"x":[3,1,"b \\" 2.0,"]},"s":"1.0"}'))
-    return fx.table(spark, sf, "events").select(
+    return spread(fx.table(spark, sf, "events").select("event_id", "props", "event_type")).select(
         "event_id", fn.canonical_json(text).alias("json"), fn.canonical_json(F.col("event_type")).alias("raw")
     )
 
@@ -136,7 +136,7 @@ def _product_text(doc):
 
 def q_generate(spark, sf):
     """One product document per order."""
-    orders = fx.table(spark, sf, "orders")
+    orders = spread(fx.table(spark, sf, "orders").select("o_orderkey"))
     return _product_text(synth.documents_for(orders, column="o_orderkey"))
 
 

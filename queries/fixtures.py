@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from docsync.operators.apply import apply_deletes, apply_upserts
 from docsync.operators.diff import only_in
 from docsync.operators.extract import delta
-from docsync.session import tune
+from docsync.session import spread, tune
 
 CUTOVER = dt.datetime(2001, 1, 1)
 OLD = dt.datetime(1994, 12, 31)
@@ -141,7 +141,7 @@ def submitted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def documents_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, json``: event documents, some of them not fitting ``k int``."""
     n = F.col("event_id")
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events").select("event_id", "props")).select(
         n.alias("id"),
         F.when(n % 37 == 0, F.lit('{"k": "bad"}'))
         .when(n % 41 == 0, F.regexp_replace("props", r"\}$", ', "zzz": 1}'))
