@@ -77,14 +77,21 @@ def plan(
     """Dry run as one row. The journal estimate is the delta times the measured row size."""
     size = row_bytes if row_bytes is not None else F.octet_length(F.to_json(F.struct("*")))
     in_window = F.lit(True) if ts_col is None else F.col(ts_col) > F.lit(since)
-    left = src.agg(
-        F.count(F.lit(1)).alias("source_total"),
-        F.count_if(in_window).alias("delta"),
+    none = F.lit(None).cast("bigint")
+    left = src.select(
+        F.lit(1).alias("s"), in_window.cast("int").alias("d"), F.lit(0).alias("t"), none.alias("b")
+    )
+    right = tgt.select(
+        F.lit(0).alias("s"), F.lit(0).alias("d"), F.lit(1).alias("t"), size.cast("bigint").alias("b")
+    )
+    totals = left.unionByName(right).agg(
+        F.coalesce(F.sum("s"), F.lit(0)).alias("source_total"),
+        F.coalesce(F.sum("t"), F.lit(0)).alias("target_total"),
+        F.coalesce(F.sum("d"), F.lit(0)).alias("delta"),
+        F.sum("b").alias("_bytes"),
     )
-    right = tgt.agg(F.count(F.lit(1)).alias("target_total"), F.sum(size).alias("_bytes"))
     mean = F.try_divide(F.col("_bytes"), F.col("target_total"))
-    # One row on each side.
-    return left.join(F.broadcast(right)).select(
+    return totals.select(
         "source_total",
         "target_total",
         "delta",

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docsync.functions.types import struct_of
+from docsync.session import materialize
 
 # Fixed value: largest write request in bytes.
 BYTE_CAP = 5_000_000
@@ -99,11 +100,32 @@ def pack(df: DataFrame, cap: int = BYTE_CAP, size: str = "size") -> DataFrame:
 
 
 def running_bytes(df: DataFrame, part: str, size: str = "size", order: str = "id") -> DataFrame:
-    """Adds ``running``: bytes of a part up to and including each row."""
-    upto = (
-        Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """Adds ``running``: bytes of a part up to and including each row.
+
+    A window over whole parts would put a part that holds most rows into one task. Rows are
+    split into ranges of (part, order) instead, so that a large part spans many chunks; each
+    chunk is summed on its own and the sums of the chunks before it are added. The chunks are
+    written once, because range boundaries are sampled and may differ when computed again.
+    """
+    ranged = df.repartitionByRange(part, order).withColumn("_chunk", F.spark_partition_id())
+    chunks = materialize(ranged, "running")
+    before = (
+        Window.partitionBy(part).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    offsets = (
+        chunks.groupBy(part, "_chunk")
+        .agg(F.sum(size).alias("_sum"))
+        .select(part, "_chunk", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"))
+    )
+    inside = (
+        Window.partitionBy(part, "_chunk")
+        .orderBy(order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    summed = chunks.withColumn("_upto", F.sum(size).over(inside))
+    return summed.join(offsets, [part, "_chunk"]).select(
+        *df.columns, (F.col("_upto") + F.col("_offset")).cast("bigint").alias("running")
     )
-    return df.withColumn("running", F.sum(size).over(upto))
 
 
 def write_parts(changes: DataFrame, path: str, cap: int = BYTE_CAP) -> None:

@@ -239,9 +239,12 @@ def q_bad_keys(spark, sf):
 
 
 def q_delete_ratio(spark, sf):
-    deletes = fx.to_delete(spark, sf).agg(F.count(F.lit(1)).alias("deletes"))
-    rows = fx.after_delta(spark, sf).agg(F.count(F.lit(1)).alias("target_rows"))
-    both = deletes.join(F.broadcast(rows))
+    marked = fx.to_delete(spark, sf).select(F.lit("d").alias("kind")).unionByName(
+        fx.after_delta(spark, sf).select(F.lit("t").alias("kind"))
+    )
+    both = marked.agg(
+        F.count_if(F.col("kind") == "d").alias("deletes"), F.count_if(F.col("kind") == "t").alias("target_rows")
+    )
     return both.select(
         "deletes", "target_rows",
         checks.ratio_exceeded(F.col("deletes"), F.col("target_rows")).alias("over_default"),

@@ -156,8 +156,7 @@ def q_mutate_apply(spark, sf):
 
 def q_running_bytes(spark, sf):
     docs = fx.table(spark, sf, "documents").select(
-        F.col("doc_id").alias("id"), F.substring(fn.hash_text(F.col("doc_id")), 1, 2).alias("part"),
-        F.octet_length("text").alias("size"),
+        F.col("doc_id").alias("id"), F.col("lang").alias("part"), F.octet_length("text").alias("size")
     )
     return exchange.running_bytes(docs, "part")
 
@@ -426,7 +425,7 @@ ORACLE = {
           CAST(NULL AS VARCHAR) AS sku FROM ids LEFT JOIN u ON ids.id = u.id WHERE ids.id NOT IN (SELECT id FROM x)
         UNION ALL SELECT id, title, sku FROM n""",
     "q_running_bytes": """SELECT id, part, size, CAST(sum(size) OVER (PARTITION BY part ORDER BY id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running
-        FROM (SELECT doc_id AS id, substr(md5(CAST(doc_id AS VARCHAR)), 1, 2) AS part, octet_length(encode(text)) AS size FROM documents)""",
+        FROM (SELECT doc_id AS id, lang AS part, octet_length(encode(text)) AS size FROM documents)""",
     "q_pack": "SELECT count(*) AS docs, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, 0 AS too_large FROM documents",
     "q_ndjson": pair_sql(
         """, c AS (SELECT 'index' AS op, CAST(id AS VARCHAR) AS id, CASE WHEN cust % 2 = 0 THEN CAST(cust AS VARCHAR) END AS routing,

@@ -357,3 +357,17 @@ def test_two_line_files_keep_pairs(spark, home):
     assert sorted(map(tuple, back.collect())) == sorted(rows)
     exchange.write_parts(changes, f"{home}/parts", cap=10)
     assert sorted(map(tuple, exchange.read_ndjson(spark, f"{home}/parts", two_lines=True).collect())) == sorted(rows)
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_running_bytes_of_one_hot_part(spark, parts):
+    df = spark.range(300).select(
+        "id", F.when(F.col("id") % 10 < 8, "hot").otherwise("cold").alias("part"), (F.col("id") % 7).alias("size")
+    )
+    got = {r["id"]: r["running"] for r in exchange.running_bytes(df.repartition(parts), "part").collect()}
+    totals, want = {"hot": 0, "cold": 0}, {}
+    for i in range(300):
+        part = "hot" if i % 10 < 8 else "cold"
+        totals[part] += i % 7
+        want[i] = totals[part]
+    assert got == want
