@@ -80,43 +80,62 @@ def from_document(col: Column, schema: T.StructType) -> Column:
     return F.from_json(col, schema, dict(JSON_TIMES))
 
 
-def _comparable(col: Column, dtype: T.DataType) -> Column:
-    """Same value with map entries and struct fields in one order, and no negative zero."""
+def _comparable(col: Column, dtype: T.DataType, reorder: bool) -> Column:
+    """Same value with map entries (and, on request, struct fields) in one order.
+
+    Negative zero becomes zero, except inside arrays of objects.
+    """
     if isinstance(dtype, T.MapType):
-        entries = T.ArrayType(
-            T.StructType(
-                [T.StructField("key", dtype.keyType), T.StructField("value", dtype.valueType)]
-            )
+        entry = T.StructType(
+            [T.StructField("key", dtype.keyType), T.StructField("value", dtype.valueType)]
         )
-        return _comparable(F.array_sort(F.map_entries(col)), entries)
+        pairs = F.map_entries(col)
+        if _has_map(dtype.valueType):
+            pairs = F.transform(pairs, lambda e: _comparable(e, entry, reorder))
+        return F.sort_array(pairs)
     if isinstance(dtype, T.ArrayType):
-        if not _needs_rewrite(dtype.elementType):
-            return col
-        return F.transform(col, lambda item: _comparable(item, dtype.elementType))
+        inner = dtype.elementType
+        if isinstance(inner, (T.DoubleType, T.FloatType)) or _has_map(inner):
+            return F.transform(col, lambda item: _comparable(item, inner, reorder))
+        if reorder and _has_struct(inner):
+            return F.transform(col, lambda item: _comparable(item, inner, reorder))
+        return col
     if isinstance(dtype, T.StructType):
-        fields = sorted(dtype.fields, key=lambda field: field.name)
-        parts = [_comparable(col[f.name], f.dataType).alias(f.name) for f in fields]
+        fields = sorted(dtype.fields, key=lambda field: field.name) if reorder else dtype.fields
+        parts = [_comparable(col[f.name], f.dataType, reorder).alias(f.name) for f in fields]
         return F.when(col.isNotNull(), F.struct(*parts))
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         return col + F.lit(0).cast(dtype)
     return col
 
 
-def _needs_rewrite(dtype: T.DataType) -> bool:
+def _has_map(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.StructType):
+        return any(_has_map(f.dataType) for f in dtype.fields)
+    if isinstance(dtype, T.ArrayType):
+        return _has_map(dtype.elementType)
+    return isinstance(dtype, T.MapType)
+
+
+def _has_struct(dtype: T.DataType) -> bool:
     if isinstance(dtype, T.ArrayType):
-        return _needs_rewrite(dtype.elementType)
-    return isinstance(dtype, (T.MapType, T.StructType, T.DoubleType, T.FloatType))
+        return _has_struct(dtype.elementType)
+    return isinstance(dtype, T.StructType)
 
 
-def fingerprint(df: DataFrame, columns: Iterable[str] | None = None) -> Column:
+def fingerprint(
+    df: DataFrame, columns: Iterable[str] | None = None, reorder: bool = True
+) -> Column:
     """128-bit content hash of the named columns, independent of field and map order.
 
     Comparing 32 characters instead of whole documents keeps shuffles small. Values are hashed
     under their names and null fields left out, so a null equals a column that is not there,
     which typed rows cannot tell apart anyway, and nulls cannot trade places unnoticed.
+    ``reorder=False`` leaves nested fields in their order, which is right for tables of equal
+    types and saves rebuilding every array of objects.
     """
     names = sorted(columns if columns is not None else df.columns)
-    parts = [_comparable(F.col(f"`{n}`"), df.schema[n].dataType).alias(n) for n in names]
+    parts = [_comparable(F.col(f"`{n}`"), df.schema[n].dataType, reorder).alias(n) for n in names]
     if not parts:
         return F.md5(F.lit("{}").cast("binary"))
     return F.md5(to_document(parts, keep_nulls=False).cast("binary"))

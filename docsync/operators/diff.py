@@ -47,10 +47,14 @@ def diff(
     Only id and a 32-character hash are shuffled. A column that one side lacks compares as
     null. An id repeated on a side is the same only when all copies agree.
     """
+    shared = [c for c in src.columns if c in tgt.columns]
+    differing = any(
+        src.schema[c].dataType.simpleString() != tgt.schema[c].dataType.simpleString() for c in shared
+    )
     tagged = []
     for tag, df in (("s", src), ("t", tgt)):
         payload = [c for c in df.columns if c not in keys and (compare is None or c in compare)]
-        content = fingerprint(df, payload).alias("h")
+        content = fingerprint(df, payload, reorder=differing).alias("h")
         tagged.append(df.select(*keys, F.lit(tag).alias("side"), content))
     in_src = F.max(F.col("side") == "s")
     in_tgt = F.max(F.col("side") == "t")

@@ -382,8 +382,7 @@ def _apply(
     )
     ids = number(layer.select("id", kinds.alias("kind")), state.journal_seq)
     before = store.read_table(spark, cfg.target, expect)
-    old = before.join(layer.select("id").hint("shuffle_hash"), "id", "left_semi")
-    rows = preimage(ids, before, F.col("kind"), cfg.routing, old)
+    rows = preimage(ids, before, F.col("kind"), cfg.routing, store.matching(before, layer))
     counted = Observation()
     kept = rows.observe(counted, F.count(F.lit(1)).alias("n"))
     if append_journal(kept, cfg.journal, state.run_id, batch):

@@ -23,6 +23,7 @@ from docsync.operators.apply import apply_deletes, apply_upserts
 from docsync.sources import files
 
 COMPACT_AFTER = 8
+PRUNE_BELOW = 1000
 OP = "_op"
 
 
@@ -227,6 +228,18 @@ def overlay(rows: DataFrame, layer: DataFrame) -> DataFrame:
     return kept.unionByName(written)
 
 
+def matching(rows: DataFrame, layer: DataFrame) -> DataFrame:
+    """Rows of a version that a change set touches.
+
+    The ids of a small change set (at most ``PRUNE_BELOW``) become a literal filter, which skips
+    buckets and row groups. For a larger one base and change set meet bucket by bucket.
+    """
+    few = [r["id"] for r in layer.select("id").limit(PRUNE_BELOW + 1).collect()]
+    if len(few) <= PRUNE_BELOW:
+        return rows.where(F.col("id").isin(few))
+    return rows.join(layer.select("id").hint("shuffle_hash"), "id", "left_semi").select(*rows.columns)
+
+
 def compact(spark: SparkSession, root: str, tag: dict | None = None) -> int:
     """Folds all change sets into a new base."""
     commit = read_commit(spark, root)
@@ -268,7 +281,7 @@ def get_marker(spark: SparkSession, root: str, key: str, override: str | None =
 
 __all__ = [
     "COMPACT_AFTER", "CommitConflict", "apply_deletes", "apply_upserts", "commit_changes",
-    "compact", "current_version", "get_marker", "markers", "overlay", "read_bucketed",
+    "compact", "current_version", "get_marker", "markers", "matching", "overlay", "read_bucketed",
     "read_commit", "read_layer", "read_table", "schema_of", "set_marker", "stage_changes",
     "versions", "write_bucketed", "write_version",
 ]

@@ -79,8 +79,9 @@ def _apply_batch(
     staged = store.stage_changes(rows, target)
     layer = store.read_layer(spark, target, staged, commit)
     before = store.read_table(spark, target, commit["version"])
-    old = before.join(layer.select("id").hint("shuffle_hash"), "id", "left_semi")
-    images = preimage(number(layer.select("id")), before, "delta", rows=old)
+    images = preimage(
+        number(layer.select("id")), before, "delta", rows=store.matching(before, layer)
+    )
     # Numbers of a batch follow those of all earlier batches.
     images = images.withColumn("seq", F.col("seq") + F.lit(batch_id) * F.lit(1 << 40))
     append_journal(images, journal, name, f"{batch_id}")

@@ -74,11 +74,13 @@ def test_key_check_of_staged_changes_needs_no_shuffle(spark, stored):
     assert exchanges(checks.bad_keys(store.read_layer(spark, *stored))) == 0
 
 
-def test_pre_images_leave_the_table_where_it_is(spark, stored):
+def test_pre_images_leave_the_table_where_it_is(spark, stored, monkeypatch):
     with no_broadcast(spark):
         table, layer = store.read_table(spark, stored[0]), store.read_layer(spark, *stored)
-        old = table.join(layer.select("id").hint("shuffle_hash"), "id", "left_semi")
-        assert exchanges(old) == 0
+        assert "SelectedBucketsCount" in plan(store.matching(table, layer))
+        monkeypatch.setattr(store, "PRUNE_BELOW", 5)
+        old = store.matching(table, layer)
+        assert exchanges(old) == 0 and old.count() == 20
         text = plan(journal.preimage(layer.select("id"), table, "delta", rows=old))
         # Rows are turned into JSON above the semi join, that is for listed ids only.
         assert text.index("StructsToJsonEvaluator") < text.index("LeftSemi")
