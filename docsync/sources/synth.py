@@ -54,33 +54,41 @@ class Draws:
 
     Two 32-bit numbers ``a`` and ``b`` from the row's md5 start the sequence
     ``((a + k STEP_A) mod PRIME_A) * ((b + k STEP_B) mod PRIME_B) mod PRIME``. Plain integer
-    arithmetic is far cheaper than one hash for each of about a hundred values.
+    arithmetic is far cheaper than one hash for each of about a hundred values. The expressions
+    are given as SQL text, one call each: building them operator by operator took longer than
+    running them on a small table.
     """
 
-    def __init__(self, a: Column, b: Column):
+    def __init__(self, a: str, b: str):
         self._a, self._b, self._k = a, b, 0
 
-    def raw(self) -> Column:
+    def _text(self) -> str:
         self._k += 1
-        left = (self._a + self._k * STEP_A) % PRIME_A
-        return left * ((self._b + self._k * STEP_B) % PRIME_B) % PRIME
+        left = f"(({self._a} + {self._k * STEP_A}) % {PRIME_A})"
+        right = f"(({self._b} + {self._k * STEP_B}) % {PRIME_B})"
+        return f"({left} * {right} % {PRIME})"
+
+    def raw(self) -> Column:
+        return F.expr(self._text())
 
     def int(self, low: int, high: int) -> Column:
-        return self.raw() % (high - low + 1) + low
+        return F.expr(f"{self._text()} % {high - low + 1} + {low}")
 
     def real(self, low: float, high: float, digits: int) -> Column:
         scale = 10**digits
-        return self.int(round(low * scale), round(high * scale)).cast("double") / scale
+        low, high = round(low * scale), round(high * scale)
+        return F.expr(f"cast({self._text()} % {high - low + 1} + {low} as double) / {scale}")
 
     def pick(self, values: Sequence[str]) -> Column:
-        return choose(values, self.raw())
+        return F.expr(_choice(values, self._text()))
 
     def chance(self, percent: int) -> Column:
-        return self.raw() % 100 < percent
+        return F.expr(f"{self._text()} % 100 < {percent}")
 
 
-def choose(values: Sequence[str], draw: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (draw % len(values) + 1).cast("int"))
+def _choice(values: Sequence[str], draw: str) -> str:
+    listed = ", ".join(f"'{v}'" for v in values)
+    return f"element_at(array({listed}), cast({draw} % {len(values)} + 1 as int))"
 
 
 def orders_of(values: Sequence[str], size: int = ORDER_POOL) -> list[list[str]]:
@@ -139,7 +147,7 @@ def documents_for(ids: DataFrame, seed: int = SEED, column: str = "i") -> DataFr
     word_orders, key_orders, country_orders = (
         constant_array(orders_of(v), "array<array<string>>") for v in (WORDS, ATTRIBUTE_KEYS, COUNTRIES)
     )
-    d = Draws(F.col("_a"), F.col("_b"))
+    d = Draws("_a", "_b")
     cents = d.int(100, 500_000)
     price = cents.cast("double") / 100
 
@@ -301,18 +309,20 @@ def mutate(
         F.when(is_update, moment).alias("updated_at"),
         F.when(is_update, moment).alias("modified_at"),
     )
-    text = hash_text(seed, F.col("i"), "create")
     number_text = F.col("i").cast("string")
     first = facts["top"] + 1
-    created = df.sparkSession.range(first, first + create).toDF("i").select(
+    numbers = df.sparkSession.range(first, first + create).toDF("i")
+    text = hash_text(seed, F.col("i"), "create")
+    drawn_numbers = numbers.select("i", hash_int(text).alias("_w"), hash_int(text, 1).alias("_p"))
+    created = drawn_numbers.select(
         F.lit("create").alias("op"),
         F.concat(F.lit("doc-"), number_text).alias("id"),
         F.concat(F.lit("SKU-NEW-"), number_text).alias("sku"),
-        F.concat_ws(" ", F.lit(CREATED_TITLE), number_text, choose(WORDS, hash_int(text))).alias("title"),
+        F.concat_ws(" ", F.lit(CREATED_TITLE), number_text, F.expr(_choice(WORDS, "_w"))).alias("title"),
         F.lit("active").alias("status"),
         F.lit(True).alias("is_active"),
         F.lit(True).alias("in_stock"),
-        ((hash_int(text, 1) % 499_901 + 100).cast("double") / 100).alias("price"),
+        ((F.col("_p") % 499_901 + 100).cast("double") / 100).alias("price"),
         moment.alias("created_at"),
         moment.alias("updated_at"),
         moment.alias("modified_at"),
