@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from docsync import functions as fn
 from docsync.functions.types import struct_of
-from docsync.operators import journal, schema
+from docsync.operators import schema
 from docsync.operators.extract import clean_ids
 from docsync.session import fresh_dir, spread
 from docsync.sources import documents, exchange, journal_store, synth
