@@ -150,21 +150,22 @@ def decontaminate(docs: DataFrame, bench: DataFrame, remove: str = "documents",
     """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove: {remove}")
-    leaks = find_leaks(docs, bench, window).where(F.size("hits") > 0).select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("hits").alias("_hits")
-    ).dropDuplicates(["_id", "_hash"])
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_hash"))
+    leaks = find_leaks(docs, bench, window).where(F.size("hits") > 0).dropDuplicates(["doc_id", "text_hash"])
+    docs, leaks = docs.alias("d"), leaks.alias("leak")
+    same = F.col("d.doc_id").eqNullSafe(F.col("leak.doc_id")) & (
+        F.xxhash64(F.col("d.text").cast("string")) == F.col("leak.text_hash")
+    )
     if remove == "documents":
         return docs.join(leaks, same, "left_anti")
-    tokens = F.regexp_extract_all(docs["text"], F.lit(RAW_WORD), 0)
-    rest = F.array_except(F.sequence(F.lit(0), F.size(tokens) - 1), F.col("_hits"))
+    text, hits = F.col("d.text"), F.col("leak.hits")
+    tokens = F.regexp_extract_all(text, F.lit(RAW_WORD), 0)
+    rest = F.array_except(F.sequence(F.lit(0), F.size(tokens) - 1), hits)
     clean = F.concat(
-        F.regexp_extract(docs["text"], RAW_HEAD, 0),
-        F.array_join(F.transform(rest, lambda i: F.get(tokens, i)), ""),
+        F.regexp_extract(text, RAW_HEAD, 0), F.array_join(F.transform(rest, lambda i: F.get(tokens, i)), "")
     )
     return docs.join(leaks, same, "left").select(
         *[
-            F.when(F.col("_hits").isNull(), docs["text"]).otherwise(clean).alias("text") if c == "text" else docs[c]
+            F.when(hits.isNull(), text).otherwise(clean).alias("text") if c == "text" else F.col(f"d.`{c}`")
             for c in docs.columns
         ]
     )
