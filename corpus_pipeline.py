@@ -1,4 +1,58 @@
-STAGES = []
+"""From raw documents to packed training sequences, in five stages.
+
+Each stage gets all that the one before it kept, and its decisions take effect: rejected,
+duplicate and leaked documents are gone for the stages that follow. The last returns the place
+of every token piece.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from docsync.llm import decontaminate, langid, minhash, packing, quality
+from docsync.llm.registry import table
+from docsync.session import materialize
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal model, fitted on their rated part, doesn't reject."""
+    return quality.select(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in reach of a language's centroid."""
+    return langid.select(docs, langid.fit(docs.where(~langid.held_out())))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similarity 0.8 or more."""
+    return minhash.drop_near_duplicates(docs, percent=80)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a test item."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), remove="documents")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per token piece: its sequence and offset."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("language", language_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+
+# Trained classifiers and token ids are beyond SQL; tests compare each stage with brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise ValueError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
