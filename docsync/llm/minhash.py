@@ -268,7 +268,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, cell: int = 256) -> Data
         .withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("cells")).cast("int"))
     )
     sets = materialize(
-        docs.join(placed, "doc_id").mapInArrow(_sets, "doc_id long, shingles binary, block long, cells int, own int"),
+        # Always by shuffle: a broadcast of ids would grow with the corpus.
+        docs.join(placed.hint("merge"), "doc_id").mapInArrow(_sets, "doc_id long, shingles binary, block long, cells int, own int"),
         "sets",
     )
     pieces = materialize(
