@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docsync.llm import decontaminate, langid, packing, quality
+from docsync.llm import decontaminate, langid, packing, quality, toxicity, warc
 from docsync.llm.minhash import near_duplicates
 from docsync.session import tune
 
@@ -33,6 +33,14 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -42,6 +50,8 @@ QUERIES = {
     "op4_language": op4_language,
     "op5_packing": op5_packing,
     "op6_minhash": op6_minhash,
+    "op7_toxicity": op7_toxicity,
+    "op10_warc": op10_warc,
     "op9_decontamination": op9_decontamination,
 }
 

@@ -74,23 +74,27 @@ def powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def hash_words(
-    data: np.ndarray, bounds: np.ndarray, separator: np.ndarray
-) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of each word, and the n + 1 word offsets of the texts.
-
-    ``bounds`` are byte offsets into ``data`` and start at 0. A word never crosses a text end.
-    """
-    texts = len(bounds) - 1
+def word_bounds(data: np.ndarray, bounds: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start of each word, and which bytes are in words. A word never crosses a text end."""
     word = ~separator[data]
-    if not word.any():
-        return np.zeros(0, np.uint64), np.zeros(texts + 1, np.int64)
     first = word.copy()
     first[1:] &= ~word[:-1]
     inner = bounds[1:-1]
     inner = inner[inner < len(data)]
     first[inner] |= word[inner]
-    starts = np.flatnonzero(first)
+    return np.flatnonzero(first), word
+
+
+def hash_words(
+    data: np.ndarray, bounds: np.ndarray, separator: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of each word, and the n + 1 word offsets of the texts.
+
+    ``bounds`` are byte offsets into ``data`` and start at 0.
+    """
+    starts, word = word_bounds(data, bounds, separator)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
     place = np.arange(len(data))
     since = np.zeros(len(data), np.int64)
     since[starts] = starts
@@ -101,6 +105,32 @@ def hash_words(
     return mix(np.add.reduceat(value, starts)), np.searchsorted(starts, bounds).astype(np.int64)
 
 
+def hash_stems(
+    data: np.ndarray, bounds: np.ndarray, separator: np.ndarray, lengths: tuple[int, ...]
+) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words' first bytes, for each of ``lengths`` that a word is longer than.
+
+    With the number of the word that each belongs to, in no particular order.
+    """
+    starts, word = word_bounds(data, bounds, separator)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    size = np.add.reduceat(word.astype(np.int64), starts)
+    power = powers(max(lengths))
+    hashes, owners = [], []
+    total, done = np.zeros(len(starts), np.uint64), 0
+    number = np.arange(len(starts))
+    for n in sorted(lengths):
+        longer = size > n
+        starts, size, total, number = starts[longer], size[longer], total[longer], number[longer]
+        for j in range(done, n):
+            total = total + BYTE_VALUES[data[starts + j]] * power[j]
+        done = n
+        hashes.append(mix(total ^ (np.uint64(n) << np.uint64(56))))
+        owners.append(number)
+    return np.concatenate(hashes), np.concatenate(owners)
+
+
 def word_batches(
     column: pa.Array, separator: np.ndarray, lower: np.ndarray = LOWER
 ) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
