@@ -267,10 +267,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, cell: int = 256) -> Data
         block_of.join(cells, "block")
         .withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("cells")).cast("int"))
     )
-    sets = materialize(
-        # Always by shuffle: a broadcast of ids would grow with the corpus.
-        docs.join(placed.hint("merge"), "doc_id").mapInArrow(_sets, "doc_id long, shingles binary, block long, cells int, own int"),
-        "sets",
+    # Always by shuffle: a broadcast of ids would grow with the corpus.
+    sets = docs.join(placed.hint("merge"), "doc_id").mapInArrow(
+        _sets, "doc_id long, shingles binary, block long, cells int, own int"
     )
     pieces = materialize(
         sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docsync.llm import decontaminate, langid, packing, quality, toxicity, warc
+from docsync.llm import cover_tree, decontaminate, html_text, langid, packing, quality, toxicity, warc
 from docsync.llm.minhash import near_duplicates
 from docsync.session import tune
 
@@ -21,6 +21,15 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return cover_tree.top_k(rows.where("vec_id % 50 = 0"), rows, k=5)
+
+
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -47,14 +56,29 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_quality": op2_quality,
+    "op3_cover_tree": op3_cover_tree,
     "op4_language": op4_language,
     "op5_packing": op5_packing,
     "op6_minhash": op6_minhash,
     "op7_toxicity": op7_toxicity,
+    "op8_html": op8_html,
     "op10_warc": op10_warc,
     "op9_decontamination": op9_decontamination,
 }
 
+# Exact scores as sums over positions; the query set is one row in fifty against all rows.
+TOP_K = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum([z[1] * z[2] for z in list_zip(q.e, d.e)]) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 ORACLE: dict[str, str] = {
+    "op3_cover_tree": TOP_K,
     "op9_decontamination": decontaminate.ORACLE,
 }
