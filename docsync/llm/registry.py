@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docsync.llm import cover_tree, decontaminate, html_text, langid, packing, quality, toxicity, warc
+from docsync.llm import cover_tree, decontaminate, html_text, langid, licenses, packing, quality, toxicity, warc
 from docsync.llm.minhash import near_duplicates
 from docsync.session import tune
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.rate(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -55,6 +59,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_licenses": op1_licenses,
     "op2_quality": op2_quality,
     "op3_cover_tree": op3_cover_tree,
     "op4_language": op4_language,
@@ -79,6 +84,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 ORACLE: dict[str, str] = {
+    "op1_licenses": licenses.oracle(),
     "op3_cover_tree": TOP_K,
     "op9_decontamination": decontaminate.ORACLE,
 }
