@@ -21,10 +21,10 @@ CUE = "licen[cs]e|copyright|spdx|permission|redistribut|warrant|free software|pu
 COMMENT_MARK = r"(?m)^[ \t]*(//+|/\*+|\*+/|\*+|#+|;+|--+|<!--|%+)[ \t]*"
 # Beginnings of licence sentences; a line that begins so starts a sentence.
 STARTS = (
-    "licensed under|released under|distributed under|available under|this work is|this work has|this file is|this software is|"
+    "licensed under|released under|this work is|this work has|this file is|this software is|"
     "this program is|this library is|permission is|permission to|redistribution|redistributions|neither the name|the above copyright|"
     "the software is|in no event|spdx-license-identifier|copyright|all rights|unless required|you may obtain|you may not|"
-    "you should have|you can redistribute|see the license|see the gnu|subject to the terms"
+    "you should have|you can redistribute|see the license|see the gnu"
 )
 
 # Known sentences in normal form: identifier and pattern of the whole sentence.
@@ -32,7 +32,7 @@ STARTS = (
 SENTENCES = [
     ("ApacheGrant", "licensed under the apache license version 2 0( the license)?"),
     ("ApacheUse", "you may not use this file except in compliance with the license"),
-    ("ApacheCopy", "you may obtain a copy of the license at https? www apache org licenses license 2 0"),
+    ("ApacheCopy", "you may obtain a copy of the license at( https? www apache org licenses license 2 0)?"),
     ("ApacheAsIs", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
     ("ApacheSee", "see the license for the specific language governing permissions and limitations under the license"),
     ("MITName", "(this (work|file|software|project) is )?(released|licensed|distributed|available) under the( terms of the)? mit license"),
@@ -116,7 +116,8 @@ CUTS = [
     (r"\r?\n[ \t\r]*\n", MARK),
     (rf"(?i)\n[ \t]*({STARTS})", MARK + "{0}"),
     (r"(?i)(spdx-license-identifier:[ \t]*[^ \t\n]+)", "{0}" + MARK),
-    (r"([.!?;:])[ \t\r\n]+", "{0}" + MARK),
+    (r"([.!?;])[ \t\r\n]+", "{0}" + MARK),
+    (r"(:)[ \t\r]*\n", "{0}" + MARK),
 ]
 
 
