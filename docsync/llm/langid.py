@@ -56,8 +56,8 @@ def count_ngrams(text: str, letters: np.ndarray) -> np.ndarray | None:
         for n in range(1, ORDERS + 1):
             gram = gram[: len(code) - n + 1] * np.uint32(0x01000193) + code[n - 1 :]
             place = (gram * np.uint32(0x9E3779B1)) >> np.uint32(20)
-            place = place[code != 32] if n == 1 else place
-            place = place[ORDERS - n :] if start else place
+            fresh = slice(ORDERS - n if start else 0, None)
+            place = place[fresh][code[fresh] != 32] if n == 1 else place[fresh]
             total += np.bincount(place, minlength=DIMENSIONS)
     return total if seen else None
 
