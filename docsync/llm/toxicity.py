@@ -20,19 +20,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsync.llm.sample import bounded_sample
-from docsync.llm.words import LOWER, NOT_ALNUM, chunks, hash_stems, hash_words, utf8
+from docsync.llm.words import LOWER, NOT_ALNUM, chunks, hash_stems, hash_words, mix, utf8
 
 ROWS = 8000
 LISTS = 8
 STEMS = (4, 5, 6)
 LEAST_TEXTS, LEAST_Z, LEAST_RATIO = 5, 5.0, 3.0
-SKETCH = 4
+SKETCH = 3
 EM_ROUNDS = 30
 STEPS, RATE, PENALTY = 800, 0.1, 1e-3
 POSITIVE = 0.7
@@ -55,12 +54,19 @@ def hash_list(words: list[str]) -> np.ndarray:
     return hash_words(LOWER[np.frombuffer(b"".join(raw), np.uint8)], bounds, NOT_ALNUM)[0]
 
 
-def terms(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of words and stems, and the text of each."""
+def terms(data: np.ndarray, bounds: np.ndarray, sketch: bool = False) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Hashes of words and stems, the text of each, and a sketch of each text.
+
+    The sketch is the least hashes of neighbouring words; near copies mostly have it in common.
+    """
     hashes, at = hash_words(data, bounds, NOT_ALNUM)
     stems, word = hash_stems(data, bounds, NOT_ALNUM, STEMS)
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(at))
-    return np.concatenate((hashes, stems)), np.concatenate((text, text[word]))
+    if not sketch:
+        return np.concatenate((hashes, stems)), np.concatenate((text, text[word])), []
+    pairs = mix(hashes[:-1] * np.uint64(3) + hashes[1:])
+    sketches = [np.unique(pairs[a : max(b - 1, a)])[:SKETCH].tobytes() + (hashes[a:b].tobytes() if b - a < 2 else b"") for a, b in itertools.pairwise(at)]
+    return np.concatenate((hashes, stems)), np.concatenate((text, text[word])), sketches
 
 
 def style(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -82,18 +88,19 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Label, the distinct word and stem hashes and the style of each text."""
     for batch in batches:
         data, bounds = utf8(batch.column(1))
-        words, styles = [], []
+        words, styles, sketches = [], [], []
         for low, high in chunks(bounds):
             own, own_bounds = data[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low]
-            hashes, text = terms(LOWER[own], own_bounds)
+            hashes, text, sketch = terms(LOWER[own], own_bounds, sketch=True)
+            sketches += sketch
             styles += [row.tobytes() for row in style(own, own_bounds)]
             order = np.argsort(text, kind="stable")
             at = np.searchsorted(text[order], np.arange(high - low + 1))
             for a, b in itertools.pairwise(at):
                 words.append(np.unique(hashes[order[a:b]]).tobytes())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(words, pa.binary()), pa.array(styles, pa.binary())],
-            names=["toxic", "words", "style"],
+            [batch.column(0), pa.array(words, pa.binary()), pa.array(styles, pa.binary()), pa.array(sketches, pa.binary())],
+            names=["toxic", "words", "style", "sketch"],
         )
 
 
@@ -136,7 +143,10 @@ class LabelModel:
 
 
 def fit_label_model(votes: np.ndarray, prior: float, lexical: np.ndarray) -> LabelModel:
-    """EM over the votes alone. ``lexical``: voters whose firing speaks for toxicity at the start."""
+    """EM over the votes alone; the share of toxic texts, ``prior``, is given and stays.
+
+    ``lexical``: voters whose firing speaks for toxicity at the start.
+    """
     n, k = votes.shape
     prior = float(np.clip(prior, 0.01, 0.9))
     belief = np.where(votes[:, lexical].any(axis=1), 0.9, 0.05)
@@ -152,7 +162,6 @@ def fit_label_model(votes: np.ndarray, prior: float, lexical: np.ndarray) -> Lab
         np.fill_diagonal(corr, 0)
         model = LabelModel(on, off, prior, np.clip(corr, 0, None))
         belief = model.posterior(votes)
-        prior = float(np.clip(belief.mean(), 0.01, 0.9))
     return model
 
 
@@ -200,11 +209,10 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = ROWS) -> Model:
     )
     chosen = bounded_sample(known, "doc_id", limit)
     rows = docs.join(F.broadcast(chosen), "doc_id").select("toxic", F.col("text").cast("string").alias("text"))
-    got = rows.mapInArrow(_labelled, "toxic double, words binary, style binary").toPandas()
+    got = rows.mapInArrow(_labelled, "toxic double, words binary, style binary, sketch binary").toPandas()
     got = got.sort_values(["toxic", "words"]).reset_index(drop=True)
-    # Copies would pass for independent evidence: texts of the same least hashes count once.
-    sketch = got["words"].map(lambda w: np.frombuffer(w, np.uint64)[:SKETCH].tobytes())
-    got = got[~pd.DataFrame({"t": got["toxic"], "s": sketch}).duplicated().to_numpy()].reset_index(drop=True)
+    # Copies would pass for independent evidence: texts of one sketch count once.
+    got = got.drop_duplicates(["toxic", "sketch"]).reset_index(drop=True)
     n = len(got)
     if n == 0 or got["toxic"].nunique() < 2:
         share = float(got["toxic"].mean()) if n else 0.0
@@ -253,7 +261,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             out = np.full(batch.num_rows, bias)
             for low, high in chunks(bounds):
                 own = LOWER[data[bounds[low] : bounds[high]]]
-                hashes, owner = terms(own, bounds[low : high + 1] - bounds[low])
+                hashes, owner, _ = terms(own, bounds[low : high + 1] - bounds[low])
                 hit = np.flatnonzero(maybe[hashes & mask])
                 place = np.searchsorted(words, hashes[hit])
                 true = words[np.minimum(place, len(words) - 1)] == hashes[hit] if len(words) else np.zeros(0, bool)

@@ -407,7 +407,8 @@ def test_label_model_finds_accurate_and_correlated_voters():
     one = fire(0.6, 0.02)
     copy = np.where(rng.random(4000) < 0.95, one, 1 - one)
     votes = np.stack([one, copy, fire(0.5, 0.02), fire(0.5, 0.01), fire(0.05, 0.05)], axis=1)
-    model = toxicity.fit_label_model(votes, 0.2, np.array([True, True, True, True, False]))
+    votes = np.concatenate((votes, votes[:, :4].sum(axis=1, keepdims=True) == 0), axis=1)
+    model = toxicity.fit_label_model(votes, 0.2, np.array([True, True, True, True, False, False]))
     assert model.on_toxic[2] > 0.3 and model.on_clean[2] < 0.1
     assert model.correlation[0, 1] > 2 * model.correlation[2, 3]
     assert ((model.posterior(votes) > 0.5) == truth).mean() > 0.85
