@@ -166,13 +166,17 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4 + int(length)
 
 
-RECORD = "kind string, record_id string, concurrent_to string, refers_to string, target_uri string, date string, payload_digest string, headers map<string,string>, payload binary"
+RECORD = (
+    "kind string, record_id string, concurrent_to string, refers_to string, target_uri string, date string, "
+    "payload_digest string, headers map<string,string>, payload_bytes long, payload_sha1 string, payload binary"
+)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([
         *((n, pa.string()) for n in ("kind", "record_id", "concurrent_to", "refers_to", "target_uri", "date", "payload_digest")),
-        ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary()),
+        ("headers", pa.map_(pa.string(), pa.string())), ("payload_bytes", pa.int64()), ("payload_sha1", pa.string()),
+        ("payload", pa.binary()),
     ])
     keys = ("warc-type", "warc-record-id", "warc-concurrent-to", "warc-refers-to", "warc-target-uri", "warc-date", "warc-payload-digest")
     for batch in batches:
@@ -181,7 +185,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for headers, block in parse_records(content.as_py() or b""):
                 if headers.get("content-type", "").startswith("application/http"):
                     _, _, block = block.partition(b"\r\n\r\n")
-                rows.append([*(headers.get(k) for k in keys), list(headers.items()), block])
+                rows.append([*(headers.get(k) for k in keys), list(headers.items()), len(block), digest(block), block])
                 size += len(block)
                 if size > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
@@ -192,20 +196,25 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """A row per record of the archives below ``path``; http headers are cut off the payload.
 
+    ``payload_bytes`` and ``payload_sha1`` are measured on what was read.
     A file is one value while it is parsed and must stay below 2 GB.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.where("length > 0").select("content").mapInArrow(_read, RECORD)
 
 
-def captures(records: DataFrame) -> DataFrame:
+PARTS = ("record_id", "target_uri", "date", "payload_digest", "refers_to", "headers", "payload_bytes", "payload_sha1", "payload")
+
+
+def captures(records: DataFrame, parts: tuple[str, ...] = PARTS) -> DataFrame:
     """One row per capture: ``response``, ``request`` and ``metadata`` as nested columns.
 
+    ``parts`` are the columns of the response to keep; without its payload little is shuffled.
+
     A capture is a response or revisit record; requests and metadata join it by their
     concurrent-to identifier, grouped to arrays (usually of one). Records that name no capture
     present in the archives are left out; of records with one identifier one counts.
     """
-    parts = ["record_id", "target_uri", "date", "payload_digest", "refers_to", "headers", "payload"]
     cast = lambda kinds: records.where(F.col("kind").isin(*kinds))
     main = cast(["response", "revisit"]).select("record_id", "kind", F.struct(*parts).alias("response"))
     main = main.dropDuplicates(["record_id"])
@@ -223,7 +232,7 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = fresh_dir(spark, "warc")
     write_warc(pages, path)
-    rows = captures(read_warc(spark, path))
+    rows = captures(read_warc(spark, path), tuple(c for c in PARTS if c != "payload"))
 
     def number(header: str) -> Column:
         return F.col("response.headers")[header].cast("long")
@@ -231,9 +240,10 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     metadata = F.decode(F.col("metadata")[0]["payload"], "UTF-8")
     return rows.select(
         number("x-page-id").alias("page_id"),
-        F.when(F.col("kind") == "response", F.length("response.payload"))
+        F.when(F.col("kind") == "response", F.col("response.payload_bytes"))
         .otherwise(F.regexp_extract(metadata, r"payload-bytes: (\d+)", 1)).cast("long").alias("payload_bytes"),
-        F.regexp_replace("response.payload_digest", "^sha1:", "").alias("payload_digest"),
+        F.when(F.col("kind") == "response", F.col("response.payload_sha1"))
+        .otherwise(F.regexp_replace("response.payload_digest", "^sha1:", "")).alias("payload_digest"),
         F.col("kind").alias("record_type"),
         number("x-refers-to-page").alias("refers_to"),
         F.size("request").alias("n_requests"),
