@@ -118,7 +118,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_warc(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """Archive ``pages(page_id, url, html)`` under ``path``: three records per row.
+    """Archive ``pages(page_id, url, html)`` under ``path``, gzipped: three records per row.
 
     A null html is an empty payload, a null url an empty one. Of equal payloads of at least
     ``least_bytes`` bytes the largest page_id is a response and the others revisit it. page_id
@@ -138,7 +138,7 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     )
     rows.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(_records, "value string").write.option(
         "lineSep", RECORD_END
-    ).option("maxRecordsPerFile", str(per_file)).text(path)
+    ).option("compression", "gzip").option("maxRecordsPerFile", str(per_file)).text(path)
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
