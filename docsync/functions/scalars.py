@@ -21,12 +21,27 @@ JSON_TIMES = {
 # ---- dates ---------------------------------------------------------------------------------
 
 
+# A year of four digits, then optionally month, day, time, fraction and zone, each in full.
+_ISO_DATE = (
+    r"^\d{4}(-(0[1-9]|1[0-2])(-(0[1-9]|[12]\d|3[01])"
+    r"([T ]([01]\d|2[0-3])(:[0-5]\d(:[0-5]\d([.,]\d{1,9})?)?)?(Z|[+-]\d{2}(:?\d{2})?)?)?)?)?$"
+)
+
+
 def parse_date(col: Column) -> Column:
-    """ISO-8601 text or epoch milliseconds to a timestamp; null when it is neither."""
+    """ISO-8601 text or epoch milliseconds to a timestamp; null when it is neither.
+
+    Four digits are a year; whole numbers of another length are milliseconds. A date without a
+    time is its first moment. Times without a date and one-digit parts are no dates.
+    """
     text = F.trim(col.cast("string"))
-    return F.coalesce(
-        F.when(~text.rlike(r"^[+-]?\d+$"), F.try_to_timestamp(text)),
-        F.timestamp_millis(text.try_cast("bigint")),
+    padded = F.when(F.length(text) == 4, F.concat(text, F.lit("-01-01"))).when(
+        F.length(text) == 7, F.concat(text, F.lit("-01"))
+    ).otherwise(text)
+    hours = F.regexp_replace(padded, r"([T ]\d{2})(Z|[+-].*)?$", "$1:00$2")
+    zoned = F.regexp_replace(F.regexp_replace(hours, r"(:\d{2}.*[+-]\d{2})$", "$1:00"), r"([+-]\d{2})(\d{2})$", "$1:$2")
+    return F.when(text.rlike(_ISO_DATE), F.try_to_timestamp(F.translate(zoned, ",", "."))).otherwise(
+        F.when(text.rlike(r"^[+-]?\d+$"), F.timestamp_millis(text.try_cast("bigint")))
     )
 
 

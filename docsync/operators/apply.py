@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docsync.functions import fingerprint
 from docsync.operators.extract import ID, live_ids, touched
 
 
@@ -26,10 +27,14 @@ def apply_deletes(target: DataFrame, ids: DataFrame, keys: Sequence[str] = ID) -
 
 
 def latest(changes: DataFrame, order: str | Column, keys: Sequence[str] = ID) -> DataFrame:
-    """Newest row per id. Copies of one id collapse inside each task before the shuffle."""
+    """Newest row per id. Copies of one id collapse inside each task before the shuffle.
+
+    Of rows that are equally new the one of the largest content hash stays, whatever their order.
+    """
     payload = F.struct(*[F.col(c) for c in changes.columns])
     order = F.col(order) if isinstance(order, str) else order
-    newest = changes.groupBy(*keys).agg(F.max_by(payload, order).alias("_row"))
+    content = fingerprint(changes, [c for c in changes.columns if c not in keys])
+    newest = changes.groupBy(*keys).agg(F.max_by(payload, F.struct(order, content)).alias("_row"))
     return newest.select("_row.*")
 
 

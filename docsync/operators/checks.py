@@ -60,11 +60,23 @@ def counts(df: DataFrame, ts_col: str | None = None) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"), high.alias("high_water"))
 
 
-def stable(read_fn: Callable[[], DataFrame], ts_col: str | None, wait: float = 0) -> bool:
-    """True when count and newest timestamp are the same in two samples ``wait`` seconds apart."""
-    first = counts(read_fn(), ts_col).first()
+def stable(
+    read_fn: Callable[[], DataFrame],
+    ts_col: str | None,
+    wait: float = 0,
+    version_fn: Callable[[], int] | None = None,
+) -> bool:
+    """True when two samples ``wait`` seconds apart agree.
+
+    Compared are count and newest timestamp, and the version of a source that has versions.
+    """
+
+    def sample():
+        return version_fn() if version_fn else None, counts(read_fn(), ts_col).first()
+
+    first = sample()
     time.sleep(wait)
-    return first == counts(read_fn(), ts_col).first()
+    return first == sample()
 
 
 def plan(

@@ -74,12 +74,12 @@ def number(
 
 
 def first_images(journal: DataFrame) -> DataFrame:
-    """Journal row with the lowest seq per id: the state before the run, even after replays."""
-    rest = [c for c in journal.columns if c != "id"]
-    first = journal.groupBy("id").agg(
-        F.min_by(F.struct(*[F.col(c) for c in rest]), "seq").alias("_row")
-    )
-    return first.select(*[F.col("id") if c == "id" else F.col("_row")[c].alias(c) for c in journal.columns])
+    """Journal row with the lowest seq per id: the state before the run, even after replays.
+
+    The lowest numbers come from ids and numbers alone; documents are not aggregated.
+    """
+    lowest = journal.groupBy("id").agg(F.min("seq").alias("seq"))
+    return journal.join(lowest, ["id", "seq"], "left_semi").select(*journal.columns)
 
 
 def first_images_ranked(journal: DataFrame) -> DataFrame:

@@ -109,6 +109,11 @@ def align(df: DataFrame, schema: T.StructType, extra: str = "drop") -> DataFrame
     )
 
 
+def extend(schema: T.StructType, given: T.StructType) -> T.StructType:
+    """``schema`` and behind it the columns of ``given`` that it lacks."""
+    return T.StructType([*schema.fields, *(f for f in given.fields if f.name not in schema.names)])
+
+
 def misfit(df: DataFrame, schema: T.StructType, strict: bool = False) -> Column:
     """Why a typed row does not fit the target schema, null when it does."""
     have = {f.name: f.dataType for f in df.schema.fields}

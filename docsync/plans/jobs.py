@@ -4,10 +4,11 @@ A run pins the target version it started from and goes through the phases
 
     DELTA_SYNC -> DELTA_DONE -> GATE_PASSED -> RECONCILE_DONE -> DONE
 
-Each phase stages its change set, then writes the journal, then makes the change set visible and
-last records the new phase. A phase that is repeated after a crash reads the same pinned version
-and so writes the same journal; a change set that became visible already is recognised by the
-run and batch in its commit and not applied again.
+Each phase stages its change set and records that, then writes the journal, then makes the change
+set visible and last records the new phase. A phase that is repeated after a crash takes up the
+staged change set, so that journal and change set always hold the same rows, whatever the source
+did meanwhile; a change set that became visible already is recognised by the run and batch in its
+commit and not applied again. Counters follow the commit.
 """
 
 from __future__ import annotations
@@ -30,15 +31,17 @@ from docsync.operators.diff import presence
 from docsync.operators.extract import delta
 from docsync.operators.journal import number, preimage, undo_changes
 from docsync.operators.outcome import DEAD_LETTER, rejected
-from docsync.operators.schema import align, misfit, remove_fields
-from docsync.session import fresh_dir, tune
+from docsync.operators.schema import align, extend, misfit, remove_fields
+from docsync.session import fresh_dir, materialize, tune
 from docsync.sources import files, store
-from docsync.sources.journal_store import JOURNAL, append_journal, read_journal
+from docsync.sources.journal_store import JOURNAL, append_journal, batch_path, read_journal
 
+# Phases of a run, in order.
 PHASES = ("DELTA_SYNC", "DELTA_DONE", "GATE_PASSED", "RECONCILE_DONE", "DONE")
 # Outcomes, from good to bad.
 OUTCOMES = ("ok", "dead_letters", "interrupted", "failed")
 
+# Counter names.
 STATE = struct_of(
     table="string",
     run_id="string",
@@ -66,6 +69,10 @@ STATE = struct_of(
     outcome="string",
     message="string",
     seconds="double",
+    src_version="int",
+    staged="string",
+    layer="string",
+    offending="string",
 )
 
 
@@ -75,7 +82,10 @@ class SyncConfig:
 
     ``source`` is a function returning the source rows, or the root of a versioned table.
     ``target`` is the root of a versioned table with a string or integer ``id``. ``ts_field``
-    None copies everything. ``home`` is the folder of run states, journals and dead letters.
+    None copies everything; it must be a timestamp column. ``home`` is the folder of run states,
+    journals and dead letters. ``unknown`` says what happens to source columns that the target
+    lacks: ``extend`` adds them to the target, ``drop`` leaves them out; ``strict`` rejects rows
+    that have a value there.
     """
 
     table: str
@@ -93,17 +103,22 @@ class SyncConfig:
     assume_yes: bool = False
     sample_rows: int = checks.SAMPLE_ROWS
     full_compare: bool = False
-    freeze_wait: float = 0
+    freeze_wait: float = 10.0
+    unknown: str = "extend"
 
     @property
     def source_name(self) -> str:
         return self.source if isinstance(self.source, str) else self.source.__name__
 
-    def read_source(self, spark: SparkSession) -> DataFrame:
+    def read_source(self, spark: SparkSession, version: int | None = None) -> DataFrame:
+        """The source rows; of a versioned table those of ``version``, by default the newest."""
         if isinstance(self.source, str):
-            return store.read_table(spark, self.source)
+            return store.read_table(spark, self.source, version or None)
         return self.source(spark)
 
+    def source_version(self, spark: SparkSession) -> int:
+        return store.current_version(spark, self.source) if isinstance(self.source, str) else 0
+
     @property
     def journal(self) -> str:
         return f"{self.home}/{self.table}/journal"
@@ -112,6 +127,10 @@ class SyncConfig:
     def states(self) -> str:
         return f"{self.home}/{self.table}/runs"
 
+    @property
+    def failures(self) -> str:
+        return f"{self.home}/{self.table}/failures"
+
     @property
     def dead(self) -> str:
         return f"{self.home}/{self.table}/dead"
@@ -147,6 +166,10 @@ class RunState:
     outcome: str | None = None
     message: str | None = None
     seconds: float = 0.0
+    src_version: int = 0
+    staged: str | None = None
+    layer: str | None = None
+    offending: str | None = None
     started: float = field(default_factory=time.time, repr=False, compare=False)
 
 
@@ -157,13 +180,13 @@ class RunConflict(RuntimeError):
 # ---- run state ---------------------------------------------------------------------------
 
 
-def _save(spark: SparkSession, cfg: SyncConfig, state: RunState) -> None:
+def _save(spark: SparkSession, cfg: SyncConfig, state: RunState, folder: str | None = None) -> None:
     """Appends the next step; of two processes driving one run, only one can."""
     state.step += 1
     state.seconds += time.time() - state.started
     state.started = time.time()
     record = {k: v for k, v in asdict(state).items() if k != "started"}
-    path = f"{cfg.states}/{state.run_id}-{state.step:06d}.json"
+    path = f"{folder or cfg.states}/{state.run_id}-{state.step:06d}.json"
     if not files.create_json(spark, path, record):
         raise RunConflict(f"run {state.run_id} of {cfg.table} is driven by another process")
 
@@ -179,10 +202,11 @@ def load_state(spark: SparkSession, cfg: SyncConfig) -> RunState | None:
 
 def state_table(spark: SparkSession, home: str) -> DataFrame:
     """One row per table and run: its last step."""
-    tables = [t for t in files.names(spark, home) if files.exists(spark, f"{home}/{t}/runs")]
-    if not tables:
+    kinds = [f"{home}/{t}/{kind}" for t in files.names(spark, home) for kind in ("runs", "failures")]
+    kinds = [path for path in kinds if files.exists(spark, path)]
+    if not kinds:
         return spark.createDataFrame([], STATE)
-    steps = spark.read.schema(STATE).json([f"{home}/{t}/runs" for t in tables])
+    steps = spark.read.schema(STATE).json(kinds)
     row = F.struct(*[F.col(c) for c in STATE.names])
     last = steps.groupBy("table", "run_id").agg(F.max_by(row, "step").alias("s"))
     return last.select("s.*")
@@ -236,8 +260,10 @@ def copy_table(
 ) -> DataFrame:
     """Full copy as a new version; totals ``source_rows, created, updated, failed, target_rows, ok``.
 
-    The cutover marker is written only after the counts agree. Its time is taken before the
-    source is read, so nothing written meanwhile is missed later.
+    Rows that do not fit are written to ``_dead`` below the table as dead letters. Only a copy
+    without them becomes visible, and with it the cutover marker; else the old version stays and
+    the target counts are its own. The marker's time is taken before the source is read, so
+    nothing written meanwhile is missed later.
     """
     spark = tune(src.sparkSession)
     cutover = cutover or dt.datetime.now(dt.timezone.utc)
@@ -251,18 +277,27 @@ def copy_table(
     totals = marked.agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_reject").isNotNull()).alias("bad")
     ).first()
-    store.write_version(align(marked.where("_reject is null"), schema), root, buckets)
-    written = store.read_table(spark, root)
-    target_rows = written.count()
-    updated = 0
-    if before:
-        old = store.read_table(spark, root, before)
-        updated = presence(old, written).where("n_src > 0 and n_tgt > 0").count()
+    target_rows = updated = created = 0
+    if totals["bad"]:
+        document = to_document([F.col(f"`{c}`") for c in src.columns])
+        records = marked.where("_reject is not null").select(
+            "id", F.col("_reject").alias("reject"), document.alias("source")
+        )
+        rejected(records, "copy").write.json(f"{root}/_dead/{uuid.uuid4().hex}")
+        target_rows = store.read_table(spark, root, before).count() if before else 0
+    else:
+        version = store.write_version(align(src, schema), root, buckets, expect=before)
+        written = store.read_table(spark, root, version)
+        target_rows = written.count()
+        if before:
+            old = store.read_table(spark, root, before)
+            updated = presence(old, written).where("n_src > 0 and n_tgt > 0").count()
+        created = target_rows - updated
     ok = totals["bad"] == 0 and target_rows == totals["rows"]
     if ok:
         moment = cutover.astimezone(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
         store.set_marker(spark, root, "cutover_at", moment)
-    row = (totals["rows"], target_rows - updated, updated, totals["bad"], target_rows, ok)
+    row = (totals["rows"], created, updated, totals["bad"], target_rows, ok)
     return spark.createDataFrame(
         [row],
         "source_rows bigint, created bigint, updated bigint, failed bigint, "
@@ -282,7 +317,12 @@ def preflight(spark: SparkSession, cfg: SyncConfig) -> dt.datetime | None:
             root = cfg.source if isinstance(cfg.source, str) else cfg.target
             since = store.get_marker(spark, root, "cutover_at")
         bound = checks.lower_bound(since, cfg.margin)
-    if not checks.stable(lambda: cfg.read_source(spark), cfg.ts_field, cfg.freeze_wait):
+    if cfg.ts_field is not None:
+        kind = cfg.read_source(spark).schema[cfg.ts_field].dataType
+        if not isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            raise GateFailed(f"{cfg.ts_field} is {kind.simpleString()}, not a timestamp")
+    versioned = (lambda: cfg.source_version(spark)) if isinstance(cfg.source, str) else None
+    if not checks.stable(lambda: cfg.read_source(spark), cfg.ts_field, cfg.freeze_wait, versioned):
         raise GateFailed("the source is still taking writes: stop them first")
     return bound
 
@@ -294,23 +334,23 @@ def _bound_column(src: DataFrame, cfg: SyncConfig, since: str | None):
     return moment.cast(src.schema[cfg.ts_field].dataType)
 
 
-def delta_sync(spark: SparkSession, cfg: SyncConfig, state: RunState, op: str = "gt") -> None:
-    """Extract, set misfits aside, journal, apply."""
-    src = cfg.read_source(spark)
-    commit = store.read_commit(spark, cfg.target, state.base_version)
-    schema = store.schema_of(commit)
+def _target_schema(spark: SparkSession, cfg: SyncConfig, src: DataFrame, version: int) -> T.StructType:
+    """The target's schema for this run: with the source's further columns, if they are kept."""
+    schema = store.schema_of(store.read_commit(spark, cfg.target, version))
+    if cfg.unknown == "extend" and not cfg.strict:
+        return extend(schema, remove_fields(src, cfg.remove).schema)
+    return schema
+
+
+def _stage_delta(spark: SparkSession, cfg: SyncConfig, state: RunState, schema: T.StructType, op: str) -> None:
+    """The window's rows to the shared folder, in one pass over the source, and their counters."""
+    src = cfg.read_source(spark, state.src_version)
     window = delta(src, cfg.ts_field, _bound_column(src, cfg, state.since), op)
     state.total = window.count()
-
-    # One pass over the source: the change set goes to the shared folder, and everything after
-    # it reads that, not the source.
     staged = remove_fields(window, cfg.remove)
     seen = Observation()
-    high = F.max(cfg.ts_field) if cfg.ts_field else F.lit(None).cast("timestamp")
-    reject = misfit(staged, schema, cfg.strict)
-    if cfg.ts_field and cfg.ts_field not in staged.columns:
-        high = F.lit(None).cast("timestamp")
-    marked = staged.withColumn("_reject", reject).observe(
+    high = F.max(cfg.ts_field) if cfg.ts_field in staged.columns else F.lit(None).cast("timestamp")
+    marked = staged.withColumn("_reject", misfit(staged, schema, cfg.strict)).observe(
         seen,
         F.count(F.lit(1)).alias("seen"),
         F.count_if(F.col("_reject").isNotNull()).alias("dead"),
@@ -318,21 +358,33 @@ def delta_sync(spark: SparkSession, cfg: SyncConfig, state: RunState, op: str =
     )
     path = fresh_dir(spark, f"{cfg.table}-delta")
     marked.write.parquet(path)
-    changes = spark.read.schema(marked.schema).parquet(path)
     facts = seen.get
     state.seen, state.dl_count = facts["seen"], facts["dead"]
     state.watermark = str(facts["high"]) if facts["high"] is not None else None
+    state.staged = path
+
 
-    if facts["dead"]:
-        bad = changes.where("_reject is not null")
-        document = to_document([F.col(f"`{c}`") for c in staged.columns])
-        records = rejected(
-            bad.select("id", F.col("_reject").alias("reject"), document.alias("source")), "delta"
+def delta_sync(spark: SparkSession, cfg: SyncConfig, state: RunState, op: str = "gt") -> None:
+    """Extract, set misfits aside, journal, apply.
+
+    What is staged stays staged: a repeated phase does not look at the source again.
+    """
+    schema = _target_schema(spark, cfg, cfg.read_source(spark, state.src_version), state.base_version)
+    if not state.staged:
+        _stage_delta(spark, cfg, state, schema, op)
+        _save(spark, cfg, state)
+    changes = spark.read.parquet(state.staged)
+    if state.dl_count or state.attempt:
+        columns = [c for c in changes.columns if c != "_reject"]
+        document = to_document([F.col(f"`{c}`") for c in columns])
+        bad = changes.where("_reject is not null").select(
+            "id", F.col("_reject").alias("reject"), document.alias("source")
         )
-        _write_dead(records, cfg, state, "delta")  # replaces those of an earlier attempt
-    good = align(changes.where("_reject is null"), schema).withColumn("op", F.lit("index"))
-    state.synced = _apply(spark, cfg, state, good, f"delta-{state.attempt}")
-    state.phase = "DELTA_DONE"
+        # Of several attempts the last one counts, also when nothing is left to reject.
+        _write_dead(rejected(bad, "delta"), cfg, state, f"delta-{state.attempt:04d}")
+    good = align(changes.where("_reject is null").drop("_reject"), schema).withColumn("op", F.lit("index"))
+    state.synced = _apply(spark, cfg, state, good, schema, f"delta-{state.attempt}")["n"]
+    state.phase, state.staged = "DELTA_DONE", None
 
 
 def _write_dead(records: DataFrame, cfg: SyncConfig, state: RunState, batch: str) -> None:
@@ -341,76 +393,81 @@ def _write_dead(records: DataFrame, cfg: SyncConfig, state: RunState, batch: str
 
 
 def read_dead(spark: SparkSession, cfg: SyncConfig, run_id: str) -> DataFrame:
-    """Dead letters of one run."""
+    """Dead letters of one run: those of the delta's last attempt and of the repairs."""
     root = f"{cfg.dead}/run_id={run_id}"
-    if not files.exists(spark, root):
+    named = files.names(spark, root)
+    attempts = sorted(n for n in named if n.startswith("batch_id=delta"))
+    chosen = [n for n in named if not n.startswith("batch_id=delta")] + attempts[-1:]
+    if not chosen:
         return spark.createDataFrame([], DEAD_LETTER)
-    paths = [f"{root}/{n}" for n in files.names(spark, root)]
-    return spark.read.schema(DEAD_LETTER).json(paths)
+    return spark.read.schema(DEAD_LETTER).json([f"{root}/{n}" for n in chosen])
 
 
 def _apply(
     spark: SparkSession,
     cfg: SyncConfig,
     state: RunState,
-    changes: DataFrame,
+    changes: DataFrame | None,
+    schema: T.StructType,
     batch: str,
-) -> int:
-    """Stage, journal, make visible. Returns the number of rows in the change set.
+) -> dict:
+    """Stage, record, journal, make visible. Returns the rows of the change set, by kind.
 
     The staged change set and the target share their buckets, so the pre-image join reads
-    both in place.
+    both in place. ``changes`` may be None when the state names a staged change set.
     """
     tag = {"run_id": state.run_id, "batch": batch}
-    newest = store.read_commit(spark, cfg.target)
-    if newest["tag"] == tag:
+    made = store.find_commit(spark, cfg.target, tag, state.base_version)
+    if made is not None:
         # Made visible before the crash; the journal was complete by then.
-        layer = _committed_rows(spark, cfg, state, batch)
-        state.version = newest["version"]
-        return layer
-    is_delta = batch.startswith("delta")
-    expect = state.base_version if is_delta else state.version
-    name = store.stage_changes(changes, cfg.target)
-    pinned = store.read_commit(spark, cfg.target, expect)
-    layer = store.read_layer(spark, cfg.target, name, pinned)
-    # An id that comes twice would be applied twice. Grouping the staged rows needs no shuffle.
-    offending = checks.bad_keys(layer).count()
-    if offending:
-        raise GateFailed(f"{offending} changed ids are null, empty or repeated")
-    kinds = F.when(F.col(store.OP) == "delete", "delete").otherwise(
-        "delta" if is_delta else "repair"
-    )
-    ids = number(layer.select("id", kinds.alias("kind")), state.journal_seq)
-    before = store.read_table(spark, cfg.target, expect)
-    rows = preimage(ids, before, F.col("kind"), cfg.routing, store.matching(before, layer))
-    counted = Observation()
-    kept = rows.observe(counted, F.count(F.lit(1)).alias("n"))
-    if append_journal(kept, cfg.journal, state.run_id, batch):
-        n = counted.get["n"]
+        done = _journaled(spark.read.schema(JOURNAL).parquet(batch_path(cfg.journal, state.run_id, batch)))
+        state.version = made["version"]
     else:
-        n = layer.count()
-    state.journal_seq += n
-    state.version = store.commit_changes(spark, cfg.target, name, expect, tag)
-    return n
-
-
-def _committed_rows(spark: SparkSession, cfg: SyncConfig, state: RunState, batch: str) -> int:
-    path = f"{cfg.journal}/run_id={state.run_id}/batch_id={batch}"
-    n = spark.read.schema(JOURNAL).parquet(path).count()
-    state.journal_seq += n
-    return n
+        is_delta = batch.startswith("delta")
+        expect = state.base_version if is_delta else state.version
+        if not state.layer:
+            # An id that comes twice would be applied twice.
+            offending = checks.bad_keys(changes).count()
+            if offending:
+                state.staged = None
+                raise GateFailed(f"{offending} changed ids are null, empty or repeated")
+            state.layer = store.stage_changes(changes, cfg.target, schema)
+            _save(spark, cfg, state)
+        pinned = {**store.read_commit(spark, cfg.target, expect), "schema": schema.jsonValue()}
+        layer = store.read_layer(spark, cfg.target, state.layer, pinned)
+        kinds = F.when(F.col(store.OP) == "delete", "delete").otherwise(
+            "delta" if is_delta else "repair"
+        )
+        ids = number(layer.select("id", kinds.alias("kind")), state.journal_seq)
+        before = store.read_table(spark, cfg.target, expect)
+        rows = preimage(ids, before, F.col("kind"), cfg.routing, store.matching(before, layer))
+        append_journal(rows, cfg.journal, state.run_id, batch, uncommitted=True)
+        done = _journaled(spark.read.schema(JOURNAL).parquet(batch_path(cfg.journal, state.run_id, batch)))
+        state.version = store.commit_changes(spark, cfg.target, state.layer, expect, tag, schema)
+    state.layer = None
+    state.journal_seq += done["n"]
+    return done
+
+
+def _journaled(journal: DataFrame) -> dict:
+    """Rows of a journal batch: all, deletes, repairs."""
+    return journal.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("op") == "delete").alias("deletes"),
+        F.count_if(F.col("op") == "repair").alias("repairs"),
+    ).first().asDict()
 
 
 def gate(spark: SparkSession, cfg: SyncConfig, state: RunState) -> None:
     """Stops unless the delta was complete; dead letters are judged by the current schema."""
     if state.dl_count:
-        schema = store.schema_of(store.read_commit(spark, cfg.target))
-        given = remove_fields(cfg.read_source(spark), cfg.remove).schema
+        given = remove_fields(cfg.read_source(spark, state.src_version), cfg.remove).schema
+        schema = _target_schema(spark, cfg, cfg.read_source(spark, state.src_version), store.current_version(spark, cfg.target))
         dead = read_dead(spark, cfg, state.run_id)
         rows = dead.select(from_document(F.col("source"), given).alias("d")).select("d.*")
         if rows.where(misfit(rows, schema, cfg.strict).isNotNull()).isEmpty():
             # All fit now: go through the delta again under the new schema.
-            state.phase, state.attempt = "DELTA_SYNC", state.attempt + 1
+            state.phase, state.attempt, state.staged = "DELTA_SYNC", state.attempt + 1, None
             state.base_version = state.version = store.current_version(spark, cfg.target)
             return
     checks.gate(state.seen, state.total, state.dl_count, cfg.allow_partial)
@@ -419,7 +476,14 @@ def gate(spark: SparkSession, cfg: SyncConfig, state: RunState) -> None:
 
 def reconcile(spark: SparkSession, cfg: SyncConfig, state: RunState) -> None:
     """Find target-only and source-only ids in one pass; guard; journal; delete and repair."""
-    src = cfg.read_source(spark)
+    src = cfg.read_source(spark, state.src_version)
+    schema = _target_schema(spark, cfg, src, state.version)
+    made = store.find_commit(
+        spark, cfg.target, {"run_id": state.run_id, "batch": "reconcile"}, state.base_version
+    )
+    if state.layer or made:
+        _reconciled(state, _apply(spark, cfg, state, None, schema, "reconcile"))
+        return
     tgt = store.read_table(spark, cfg.target, state.version)
     src_rows = src.count()
 
@@ -462,7 +526,6 @@ def reconcile(spark: SparkSession, cfg: SyncConfig, state: RunState) -> None:
 
     state.deleted_planned, state.repaired_planned = found["deletes"], found["repairs"]
     if found["deletes"] or found["repairs"]:
-        schema = store.schema_of(store.read_commit(spark, cfg.target, state.version))
         deletes = align(to_delete, schema).withColumn("op", F.lit("delete"))
         rows = remove_fields(src.join(to_repair, "id", "left_semi"), cfg.remove)
         reject = misfit(rows, schema, cfg.strict)
@@ -474,27 +537,31 @@ def reconcile(spark: SparkSession, cfg: SyncConfig, state: RunState) -> None:
                 bad, F.count_if(F.col("_reject").isNotNull()).alias("dead")
             ).write.parquet(staged_path)
             marked = spark.read.schema(marked.schema).parquet(staged_path)
-            dead = bad.get["dead"]
-        else:
-            dead = 0
-        if dead:
+        if found["repairs"] and bad.get["dead"]:
             document = to_document([F.col(f"`{c}`") for c in rows.columns])
             refused = marked.where("_reject is not null").select(
                 "id", F.col("_reject").alias("reject"), document.alias("source")
             )
             _write_dead(rejected(refused, "repair"), cfg, state, "repair")
-            state.dl_count += dead
-        repairs = align(marked.where("_reject is null"), schema).withColumn("op", F.lit("index"))
-        _apply(spark, cfg, state, deletes.unionByName(repairs), "reconcile")
-        state.deleted_applied = found["deletes"]
-        state.repaired_applied = found["repairs"] - dead
+        repairs = align(marked.where("_reject is null").drop("_reject"), schema).withColumn("op", F.lit("index"))
+        _reconciled(state, _apply(spark, cfg, state, deletes.unionByName(repairs), schema, "reconcile"))
+    state.phase = "RECONCILE_DONE"
+
+
+def _reconciled(state: RunState, done: dict) -> None:
+    """Counters as journaled. Planned repairs that are not among them were set aside or are gone."""
+    state.deleted_applied, state.repaired_applied = done["deletes"], done["repairs"]
+    state.dl_count += state.repaired_planned - done["repairs"]
     state.phase = "RECONCILE_DONE"
 
 
 def verify(spark: SparkSession, cfg: SyncConfig, state: RunState | None = None) -> DataFrame:
-    """Report of the newest target version against the source, as ``checks.verify``."""
-    src = remove_fields(cfg.read_source(spark), cfg.remove)
-    tgt = store.read_table(spark, cfg.target)
+    """Report of the newest target version against the source, as ``checks.verify``.
+
+    The source is compared as it was written: in the target's types, without the contents of
+    rows that do not fit, and without those of their ids that the target never got.
+    """
+    src, content, tgt = _compared(spark, cfg, state)
     planned = {}
     if state is not None and state.differences:
         differing = spark.read.parquet(state.differences)
@@ -505,12 +572,47 @@ def verify(spark: SparkSession, cfg: SyncConfig, state: RunState | None = None)
                 "to_delete": differing.where("n_src = 0"),
                 "to_repair": differing.where("n_tgt = 0"),
             }
-    report = checks.verify(src, tgt, full=cfg.full_compare, **planned)
+    report = checks.verify(src, tgt, **planned)
+    if cfg.full_compare:
+        report = report.unionByName(checks.difference_row("content_full", checks.content_diff(*content)))
     if cfg.sample_rows > 0:
-        report = report.unionByName(_sample_report(src, tgt, cfg.sample_rows))
+        report = report.unionByName(checks.difference_row("content_sample", _sample_diff(*content, cfg.sample_rows)))
     return report
 
 
+def _compared(spark: SparkSession, cfg: SyncConfig, state: RunState | None) -> tuple:
+    """Source rows for ids, (source, target) rows for contents, target rows."""
+    src = remove_fields(cfg.read_source(spark, state.src_version if state else None), cfg.remove)
+    tgt = store.read_table(spark, cfg.target)
+    reject = misfit(src, tgt.schema, cfg.strict)
+    fits = align(src.where(reject.isNull()), tgt.schema)
+    if state is None or not state.dl_count:
+        return align(src, tgt.schema), (fits, tgt), tgt
+    refused = src.where(reject.isNotNull()).select("id")
+    absent = refused.join(tgt.select("id"), "id", "left_anti")
+    same = tgt.join(refused, "id", "left_anti")
+    return align(src, tgt.schema).join(absent, "id", "left_anti"), (fits, same), tgt
+
+
+def offending_ids(spark: SparkSession, cfg: SyncConfig, state: RunState) -> DataFrame:
+    """``check, id`` of what a verification found: extra, missing and differing ids."""
+    src, content, tgt = _compared(spark, cfg, state)
+    sides = presence(src.select("id"), tgt.select("id"))
+    ids = F.col("id").cast("string").alias("id")
+    parts = [
+        sides.where("n_src = 0").select(F.lit("extra_ids").alias("check"), ids),
+        sides.where("n_tgt = 0").select(F.lit("missing_ids").alias("check"), ids),
+    ]
+    if cfg.full_compare:
+        parts.append(checks.content_diff(*content).select(F.lit("content_full").alias("check"), ids))
+    if cfg.sample_rows > 0:
+        parts.append(_sample_diff(*content, cfg.sample_rows).select(F.lit("content_sample").alias("check"), ids))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def _version_before(spark: SparkSession, cfg: SyncConfig, state: RunState) -> int:
     """The version the reconcile step of this run started from."""
     mine = {"run_id": state.run_id, "batch": "reconcile"}
@@ -520,17 +622,11 @@ def _version_before(spark: SparkSession, cfg: SyncConfig, state: RunState) -> in
     return state.base_version
 
 
-def _sample_report(src: DataFrame, tgt: DataFrame, n: int) -> DataFrame:
-    """Compares ``n`` documents, found by literal ids.
-
-    The ids are at most ``n``, so they fit a filter, which skips whole buckets and row groups
-    of the tables; a join would read everything.
-    """
-    chosen = [row["id"] for row in checks.sample(src, n).collect()]
-    wanted = F.col("id").isin(chosen)
-    ours, theirs = src.where(wanted), tgt.where(wanted)
-    differing = checks.content_diff(ours, theirs)
-    return checks.difference_row("content_sample", differing)
+def _sample_diff(src: DataFrame, tgt: DataFrame, n: int) -> DataFrame:
+    """Differing ids among ``n`` sampled ones; the sample meets both sides as a small join."""
+    chosen = materialize(checks.sample(src, n).select("id"), "sample")
+    ours, theirs = (rows.join(chosen, "id", "left_semi") for rows in (src, tgt))
+    return checks.content_diff(ours, theirs)
 
 
 # ---- run, resume, undo -------------------------------------------------------------------
@@ -550,7 +646,9 @@ def _advance(spark: SparkSession, cfg: SyncConfig, state: RunState) -> RunState:
             _save(spark, cfg, state)
         failed = [r["check"] for r in verify(spark, cfg, state).where("not ok").collect()]
         if failed:
-            raise GateFailed("verification failed: " + ", ".join(failed))
+            state.offending = fresh_dir(spark, f"{cfg.table}-offending")
+            offending_ids(spark, cfg, state).write.parquet(state.offending)
+            raise GateFailed(f"verification failed: {', '.join(failed)}; ids: {state.offending}")
         state.phase, state.message = "DONE", None
         state.outcome = "dead_letters" if state.dl_count else "ok"
         _save(spark, cfg, state)
@@ -561,7 +659,7 @@ def _advance(spark: SparkSession, cfg: SyncConfig, state: RunState) -> RunState:
     except RunConflict:
         raise
     except Exception as error:
-        state.outcome, state.message = "failed", str(error)[:500]
+        state.outcome, state.message = "failed", str(error)
         _save(spark, cfg, state)
         raise
     return state
@@ -569,7 +667,7 @@ def _advance(spark: SparkSession, cfg: SyncConfig, state: RunState) -> RunState:
 
 def _new_run_id(spark: SparkSession, cfg: SyncConfig) -> str:
     moment = dt.datetime.now(dt.timezone.utc).strftime("%Y%m%dT%H%M%SZ")
-    taken = {n.rsplit("-", 1)[0] for n in files.names(spark, cfg.states)}
+    taken = {n.rsplit("-", 1)[0] for kind in (cfg.states, cfg.failures) for n in files.names(spark, kind)}
     run_id, n = moment, 1
     while run_id in taken:
         n += 1
@@ -595,6 +693,7 @@ def run(spark: SparkSession, cfg: SyncConfig) -> RunState:
         since=bound.isoformat() if bound is not None else None,
         base_version=version,
         version=version,
+        src_version=cfg.source_version(spark),
     )
     _save(spark, cfg, state)
     return _advance(spark, cfg, state)
@@ -628,28 +727,41 @@ def abandon(spark: SparkSession, cfg: SyncConfig) -> None:
         _save(spark, cfg, state)
 
 
-def undo(spark: SparkSession, cfg: SyncConfig, run_id: str | None = None) -> int:
-    """Puts the target back to the state before a run, by default the newest; new version number.
+def undo(
+    spark: SparkSession, cfg: SyncConfig, run_id: str | None = None, force: bool = False
+) -> int:
+    """Puts the target back to the state before a run, by default the newest that changed it.
 
-    Only valid while nobody else has written to the target since.
+    Returns the new version number. Refused when the run has no journal, and when the target was
+    written by others since, unless ``force`` accepts that their changes to the same ids go.
     """
     tune(spark)
-    if run_id is None:
-        state = load_state(spark, cfg)
-        if state is None:
-            raise RunConflict(f"no run of {cfg.table} to undo")
-        run_id = state.run_id
-    journal = read_journal(spark, cfg.journal, run_id)
-    schema = store.schema_of(store.read_commit(spark, cfg.target))
+    runs = sorted({n.rsplit("-", 1)[0] for n in files.names(spark, cfg.states)}, reverse=True)
+    wanted = [run_id] if run_id else runs
+    journals = ((r, read_journal(spark, cfg.journal, r)) for r in wanted)
+    run_id, journal = next(((r, j) for r, j in journals if not j.isEmpty()), (None, None))
+    if journal is None:
+        raise RunConflict(f"no journal of {cfg.table} to undo")
+    version = store.current_version(spark, cfg.target)
+    for number_ in reversed(store.versions(spark, cfg.target)):
+        tag = store.read_commit(spark, cfg.target, number_)["tag"]
+        if tag.get("run_id") == run_id:
+            break
+        if not force:
+            raise RunConflict(f"{cfg.target} was written since run {run_id}: version {number_}")
+    schema = store.schema_of(store.read_commit(spark, cfg.target, version))
     changes = undo_changes(journal, schema, cfg.routing)
     name = store.stage_changes(changes, cfg.target)
     return store.commit_changes(
-        spark, cfg.target, name, tag={"run_id": run_id, "batch": f"undo-{uuid.uuid4().hex}"}
+        spark, cfg.target, name, version, {"run_id": run_id, "batch": f"undo-{uuid.uuid4().hex}"}
     )
 
 
 def run_many(spark: SparkSession, configs: Sequence[SyncConfig]) -> DataFrame:
-    """Runs tables one after another; a failure does not stop the others. Summary per table."""
+    """Runs tables one after another; a failure does not stop the others.
+
+    Summary with a row per configured table; one that was not reached is ``interrupted``.
+    """
     for cfg in configs:
         try:
             open_run = load_state(spark, cfg)
@@ -663,25 +775,30 @@ def run_many(spark: SparkSession, configs: Sequence[SyncConfig]) -> DataFrame:
     states = state_table(spark, homes[0])
     for home in homes[1:]:
         states = states.unionByName(state_table(spark, home))
-    return summary(states.where(F.col("table").isin([cfg.table for cfg in configs])))
+    names = spark.createDataFrame([(n,) for n in sorted({c.table for c in configs})], "table string")
+    done = names.join(summary(states), "table", "left")
+    return done.withColumn("outcome", F.coalesce("outcome", F.lit(OUTCOMES[2])))
 
 
 def _record_failure(spark: SparkSession, cfg: SyncConfig, error: Exception) -> None:
-    """Failures before the first recorded step (a bad cutover, say) also appear in the summary."""
+    """Failures before the first recorded step (a bad cutover, say) also appear in the summary.
+
+    They are kept apart from the runs: a failure is no run to resume or undo.
+    """
     state = load_state(spark, cfg)
     if state is not None and state.outcome == "failed":
         return
     fresh = RunState(
         table=cfg.table, run_id=_new_run_id(spark, cfg), phase="DONE", src=cfg.source_name,
         dst=cfg.target, ts_field=cfg.ts_field, remove_fields=cfg.remove,
-        outcome="failed", message=str(error)[:500],
+        outcome="failed", message=str(error),
     )
-    _save(spark, cfg, fresh)
+    _save(spark, cfg, fresh, cfg.failures)
 
 
 __all__ = [
     "OUTCOMES", "PHASES", "RunConflict", "RunState", "STATE", "SyncConfig", "abandon",
-    "copy_table", "delta_sync", "gate", "load_state", "preflight", "rates",
+    "copy_table", "delta_sync", "gate", "load_state", "offending_ids", "preflight", "rates",
     "read_dead", "reconcile", "resume", "run", "run_many", "severity", "state_table",
     "summary", "undo", "verify", "worst",
 ]

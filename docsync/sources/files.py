@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -32,7 +33,7 @@ def names(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_json(spark: SparkSession, path: str) -> dict | None:
-    """Content of a control file; None while another process is still writing it."""
+    """Content of a control file; None when it is not whole."""
     fs, where = _fs(spark, path)
     stream = fs.open(where)
     try:
@@ -46,16 +47,31 @@ def read_json(spark: SparkSession, path: str) -> dict | None:
 
 
 def create_json(spark: SparkSession, path: str, value: dict) -> bool:
-    """Writes a new control file; False when it exists, so that one of two writers loses."""
+    """Writes a new control file; False when it exists, so that one of two writers loses.
+
+    The content goes to a name of its own and is then renamed without overwriting: a file under
+    its final name is always whole.
+    """
     fs, where = _fs(spark, path)
+    if fs.exists(where):
+        return False
+    jvm = spark.sparkContext._jvm
+    fs.mkdirs(where.getParent())
+    draft = jvm.org.apache.hadoop.fs.Path(where.getParent(), f"_{where.getName()}.{uuid.uuid4().hex}")
+    stream = fs.create(draft, False)
+    try:
+        stream.write(bytearray(json.dumps(value, default=str), "utf-8"))
+    finally:
+        stream.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()
+    )
+    plain = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
     try:
-        stream = fs.create(where, False)
+        context.rename(fs.makeQualified(draft), fs.makeQualified(where), plain)
     except Exception as error:  # the JVM error type differs between file systems
+        fs.delete(draft, False)
         if fs.exists(where):
             return False
         raise error
-    try:
-        stream.write(bytearray(json.dumps(value, default=str), "utf-8"))
-    finally:
-        stream.close()
     return True

@@ -13,14 +13,22 @@ JOURNAL = struct_of(
 )
 
 
-def append_journal(df: DataFrame, root: str, run_id: str, batch: str) -> bool:
+def batch_path(root: str, run_id: str, batch: str) -> str:
+    return f"{root}/run_id={run_id}/batch_id={batch}"
+
+
+def append_journal(
+    df: DataFrame, root: str, run_id: str, batch: str, uncommitted: bool = False
+) -> bool:
     """Writes one batch of a run; False when the batch is in the journal already.
 
     The first complete write of a batch stays: a replay would record rows that the run itself
-    has changed. What a failed attempt left behind is overwritten.
+    has changed. What a failed attempt left behind is overwritten. ``uncommitted`` says that the
+    batch's change set is not visible yet, so that its journal is written anew and matches what
+    will be made visible.
     """
-    path = f"{root}/run_id={run_id}/batch_id={batch}"
-    if files.complete(df.sparkSession, path):
+    path = batch_path(root, run_id, batch)
+    if not uncommitted and files.complete(df.sparkSession, path):
         return False
     columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in JOURNAL.fields]
     df.select(*columns).write.mode("overwrite").parquet(path)

@@ -4,7 +4,8 @@ A version is a base snapshot plus the change sets applied since. Base and change
 bucketed by ``id`` into the same number of buckets, so reading a version (base without the
 changed ids, plus the changed rows) and comparing or joining versions by id needs no shuffle of
 the documents. Applying a change set costs as much as the change set, not as much as the table.
-After ``COMPACT_AFTER`` change sets the next one is folded into a new base.
+After ``MOST_LAYERS`` change sets they are folded into one change set, which costs as much as
+they hold; a new base is only written when :func:`compact` is called.
 
 A version becomes visible by one small commit file that only one writer can create. Nothing that
 a reader may have open is ever changed.
@@ -19,11 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docsync.operators.apply import apply_deletes, apply_upserts
 from docsync.sources import files
 
-COMPACT_AFTER = 8
-PRUNE_BELOW = 1000
+MOST_LAYERS = 8
 OP = "_op"
 
 
@@ -115,13 +114,12 @@ def current_version(spark: SparkSession, root: str) -> int:
 
 
 def _commit(spark: SparkSession, root: str, after: int, record: dict) -> int:
-    # A writer that died while creating its commit file leaves an unreadable one behind;
-    # numbering continues past it.
+    # A commit file is renamed into place whole. One that cannot be read may still belong to a
+    # live writer of another kind, so it blocks as well.
     taken = [v for v in versions(spark, root) if v > after]
-    blocked = [v for v in taken if files.read_json(spark, _commit_path(root, v)) is not None]
-    if blocked:
-        raise CommitConflict(f"{root} is at version {blocked[-1]}, expected {after}")
-    version = max([after, *taken]) + 1
+    if taken:
+        raise CommitConflict(f"{root} is at version {taken[-1]}, expected {after}")
+    version = after + 1
     record = {
         **record,
         "version": version,
@@ -132,6 +130,15 @@ def _commit(spark: SparkSession, root: str, after: int, record: dict) -> int:
     return version
 
 
+def find_commit(spark: SparkSession, root: str, tag: dict, after: int = 0) -> dict | None:
+    """The commit with this tag among the versions above ``after``, newest first."""
+    for version in reversed([v for v in versions(spark, root) if v > after]):
+        record = read_commit(spark, root, version)
+        if record is not None and record["tag"] == tag:
+            return record
+    return None
+
+
 def write_version(
     df: DataFrame,
     root: str,
@@ -141,12 +148,12 @@ def write_version(
 ) -> int:
     """Writes ``df`` as a complete new version and returns its number.
 
-    ``buckets`` should give files of about one GB at the table's final size; an existing
-    table keeps its number.
+    ``buckets`` should give files of about one GB at the table's size; an existing table keeps
+    its number unless another one is named.
     """
     spark = df.sparkSession
     after = current_version(spark, root) if expect is None else expect
-    if after:
+    if after and not buckets:
         buckets = read_commit(spark, root, after)["buckets"]
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     data = f"base-{uuid.uuid4().hex}"
@@ -169,14 +176,15 @@ def layer_schema(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(OP, T.StringType()), *schema.fields])
 
 
-def stage_changes(changes: DataFrame, root: str) -> str:
+def stage_changes(changes: DataFrame, root: str, schema: T.StructType | None = None) -> str:
     """Writes a change set next to the table without making it visible; returns its name.
 
     ``changes`` has the table's columns and ``op`` (``index`` or ``delete``), each id once.
+    ``schema`` is the table's schema from this change set on, when it gains columns.
     """
     spark = changes.sparkSession
     commit = read_commit(spark, root)
-    schema = schema_of(commit)
+    schema = schema or schema_of(commit)
     name = f"chg-{uuid.uuid4().hex}"
     columns = [F.col(f"`{f.name}`") for f in schema.fields]
     rows = changes.select(F.col("op").alias(OP), *columns)
@@ -198,16 +206,28 @@ def commit_changes(
     name: str,
     expect: int | None = None,
     tag: dict | None = None,
+    schema: T.StructType | None = None,
 ) -> int:
     """Makes a staged change set visible as the next version."""
     after = current_version(spark, root) if expect is None else expect
     commit = read_commit(spark, root, after)
-    version = _commit(
-        spark, root, after, {**commit, "layers": [*commit["layers"], name], "tag": tag or {}}
-    )
-    if len(commit["layers"]) + 1 > COMPACT_AFTER:
-        version = compact(spark, root, tag)
-    return version
+    if schema is not None:
+        commit = {**commit, "schema": schema.jsonValue()}
+    layers = [*commit["layers"], name]
+    if len(layers) > MOST_LAYERS:
+        layers = [_fold(spark, root, {**commit, "layers": layers})]
+    return _commit(spark, root, after, {**commit, "layers": layers, "tag": tag or {}})
+
+
+def _fold(spark: SparkSession, root: str, commit: dict) -> str:
+    """One change set with the effect of all of a commit's; the base is not read."""
+    layers = [read_layer(spark, root, name, commit) for name in commit["layers"]]
+    rows = layers[0]
+    for layer in layers[1:]:
+        rows = rows.join(layer.select("id"), "id", "left_anti").select(*rows.columns).unionByName(layer)
+    name = f"chg-{uuid.uuid4().hex}"
+    write_bucketed(rows, f"{root}/{name}", commit["buckets"])
+    return name
 
 
 def read_table(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
@@ -222,31 +242,33 @@ def read_table(spark: SparkSession, root: str, version: int | None = None) -> Da
 
 def overlay(rows: DataFrame, layer: DataFrame) -> DataFrame:
     """Rows with one change set on top."""
-    gone = layer.select("id").hint("shuffle_hash")
-    kept = rows.join(gone, "id", "left_anti").select(*rows.columns)
+    kept = rows.join(layer.select("id"), "id", "left_anti").select(*rows.columns)
     written = layer.where(F.col(OP) == "index").select(*rows.columns)
     return kept.unionByName(written)
 
 
 def matching(rows: DataFrame, layer: DataFrame) -> DataFrame:
-    """Rows of a version that a change set touches.
+    """Rows of a version that a change set touches; both meet bucket by bucket."""
+    return rows.join(layer.select("id"), "id", "left_semi").select(*rows.columns)
 
-    The ids of a small change set (at most ``PRUNE_BELOW``) become a literal filter, which skips
-    buckets and row groups. For a larger one base and change set meet bucket by bucket.
-    """
-    few = [r["id"] for r in layer.select("id").limit(PRUNE_BELOW + 1).collect()]
-    if len(few) <= PRUNE_BELOW:
-        return rows.where(F.col("id").isin(few))
-    return rows.join(layer.select("id").hint("shuffle_hash"), "id", "left_semi").select(*rows.columns)
 
+def compact(
+    spark: SparkSession,
+    root: str,
+    tag: dict | None = None,
+    version: int | None = None,
+    buckets: int | None = None,
+) -> int:
+    """Folds base and change sets of ``version``, the newest by default, into a new base.
 
-def compact(spark: SparkSession, root: str, tag: dict | None = None) -> int:
-    """Folds all change sets into a new base."""
-    commit = read_commit(spark, root)
-    if not commit["layers"]:
+    Fails with a conflict when another writer moves the table meanwhile. ``buckets`` deals the
+    rows anew, for a table that has outgrown its number.
+    """
+    commit = read_commit(spark, root, version)
+    if not commit["layers"] and buckets in (None, commit["buckets"]):
         return commit["version"]
     rows = read_table(spark, root, commit["version"])
-    return write_version(rows, root, tag=tag or commit["tag"], expect=commit["version"])
+    return write_version(rows, root, buckets, tag=tag or commit["tag"], expect=commit["version"])
 
 
 # ---- markers -----------------------------------------------------------------------------
@@ -280,8 +302,8 @@ def get_marker(spark: SparkSession, root: str, key: str, override: str | None =
 
 
 __all__ = [
-    "COMPACT_AFTER", "CommitConflict", "apply_deletes", "apply_upserts", "commit_changes",
-    "compact", "current_version", "get_marker", "markers", "matching", "overlay", "read_bucketed",
+    "MOST_LAYERS", "CommitConflict", "commit_changes", "compact", "current_version", "find_commit",
+    "get_marker", "markers", "matching", "overlay", "read_bucketed",
     "read_commit", "read_layer", "read_table", "schema_of", "set_marker", "stage_changes",
     "versions", "write_bucketed", "write_version",
 ]

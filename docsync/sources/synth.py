@@ -35,8 +35,8 @@ ATTRIBUTE_KEYS = [
     "bluetooth_version", "charging_type", "origin_country", "eco_label",
     "assembly_required", "max_load_kg",
 ]
-UPDATED_TITLE = "UPDATED by rollback simulation"
-CREATED_TITLE = "Rollback test create"
+UPDATED_TITLE = "changed title"
+CREATED_TITLE = "added row"
 
 SEED = 42
 TEXT_POOL = 2000

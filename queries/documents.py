@@ -74,7 +74,11 @@ def q_dates(spark, sf):
     text = (
         F.when(n % 4 == 0, F.date_format(ts, fn.scalars.ISO_FORMAT))
         .when(n % 4 == 1, millis)
-        .when(n % 4 == 2, F.date_format(ts, "yyyy-MM-dd"))
+        .when(n % 12 == 2, F.date_format(ts, "yyyy-MM-dd"))
+        .when(n % 12 == 6, F.date_format(ts, "yyyy"))
+        .when(n % 12 == 10, F.date_format(ts, "yyyy-MM"))
+        .when(n % 12 == 3, F.date_format(ts, "HH:mm"))
+        .when(n % 12 == 7, F.lit("2024-1-5"))
         .otherwise("yesterday")
     )
     parsed = fx.table(spark, sf, "events").select(n, text.alias("text")).withColumn("at", fn.parse_date(F.col("text")))
@@ -389,7 +393,7 @@ _MUTATION = """WITH t AS (SELECT count(*) AS n, max(o_orderkey) AS top FROM orde
   w AS (SELECT top + g.g AS i, md5('42|' || (top + g.g) || '|create') AS h
         FROM d, (SELECT unnest(range(1, 1 + (SELECT cr FROM d))) AS g) g),
   n AS (SELECT i, 'doc-' || i AS id, 'SKU-NEW-' || i AS sku,
-          'Rollback test create ' || i || ' ' ||
+          'added row ' || i || ' ' ||
           ['fast', 'durable', 'compact', 'premium', 'eco', 'smart', 'classic', 'pro', 'lite', 'max'][CAST(CAST('0x' || substr(h, 1, 8) AS BIGINT) % 10 + 1 AS INTEGER)] AS title,
           CAST(CAST('0x' || substr(h, 9, 8) AS BIGINT) % 499901 + 100 AS DOUBLE) / 100 AS price FROM w)
 """
@@ -405,7 +409,9 @@ ORACLE = {
     "q_stamp": pair_sql("SELECT id, TIMESTAMP '2001-01-01 00:00:00' AS modified_at FROM src"),
     "q_clean_ids": "SELECT 'doc-' || event_id AS id FROM events WHERE event_id % 10 NOT IN (1, 2)",
     "q_dates": """WITH t AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN date_trunc('second', ts)
-          WHEN 1 THEN date_trunc('millisecond', ts) WHEN 2 THEN CAST(date_trunc('day', ts) AS TIMESTAMP) END AS moment FROM events)
+          WHEN 1 THEN date_trunc('millisecond', ts)
+          WHEN 2 THEN CAST(CASE event_id % 12 WHEN 2 THEN date_trunc('day', ts) WHEN 6 THEN date_trunc('year', ts) ELSE date_trunc('month', ts) END AS TIMESTAMP)
+          END AS moment FROM events)
         SELECT event_id, moment, strftime(moment, '%Y-%m-%dT%H:%M:%SZ') AS iso, CAST(floor(epoch_us(moment) / 1000000) AS BIGINT) AS epoch,
           strftime(moment, '%Y%m%dT%H%M%SZ') AS run_id, moment - INTERVAL 300 SECOND AS earlier FROM t""",
     "q_canonical_json": """SELECT event_id,
@@ -416,12 +422,12 @@ ORACLE = {
         lpad(CAST(doc_id AS VARCHAR), 8, '0') AS padded, regexp_matches(text, 'cluster_block|[0-9]{3}') AS hit FROM documents""",
     "q_id_suffix": "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN -1 ELSE c_custkey END AS suffix FROM customer",
     "q_generate": _generate_sql(),
-    "q_mutate": _MUTATION + """SELECT 'update' AS op, id, CAST(NULL AS VARCHAR) AS sku, 'UPDATED by rollback simulation ' || i AS title,
+    "q_mutate": _MUTATION + """SELECT 'update' AS op, id, CAST(NULL AS VARCHAR) AS sku, 'changed title ' || i AS title,
           CAST(NULL AS VARCHAR) AS status, CAST(NULL AS BOOLEAN) AS is_active, CAST(NULL AS DOUBLE) AS price,
           TIMESTAMP '2001-01-01 00:00:00' AS updated_at FROM u
         UNION ALL SELECT 'delete', id, NULL, NULL, NULL, NULL, NULL, NULL FROM x
         UNION ALL SELECT 'create', id, sku, title, 'active', true, price, TIMESTAMP '2001-01-01 00:00:00' FROM n""",
-    "q_mutate_apply": _MUTATION + """SELECT ids.id, CASE WHEN u.id IS NULL THEN prio ELSE 'UPDATED by rollback simulation ' || ids.i END AS title,
+    "q_mutate_apply": _MUTATION + """SELECT ids.id, CASE WHEN u.id IS NULL THEN prio ELSE 'changed title ' || ids.i END AS title,
           CAST(NULL AS VARCHAR) AS sku FROM ids LEFT JOIN u ON ids.id = u.id WHERE ids.id NOT IN (SELECT id FROM x)
         UNION ALL SELECT id, title, sku FROM n""",
     "q_running_bytes": """SELECT id, part, size, CAST(sum(size) OVER (PARTITION BY part ORDER BY id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from unittest import mock
+
 from pyspark.sql import functions as F
 
 from docsync.operators.checks import GateFailed
+from docsync.operators.outcome import DEAD_LETTER
 from docsync.plans import jobs
 from docsync.session import fresh_dir
 from docsync.sources import store
+from docsync.sources.journal_store import read_journal
 from docsync.streaming.sync import sync_once
 from queries import fixtures as fx
 from queries.fixtures import pair_sql
@@ -25,7 +30,7 @@ def _config(spark, sf, home, table="orders", **settings):
 
     # The silent updates of the fixture would fail the content sample, as they should (see
     # q_verify); here the run itself is looked at.
-    settings = {"since": SINCE, "ts_field": "ts", "margin": 0, "sample_rows": 0, **settings}
+    settings = {"since": SINCE, "ts_field": "ts", "margin": 0, "sample_rows": 0, "freeze_wait": 0, **settings}
     return jobs.SyncConfig(table=table, source=orders, target=root, home=f"{home}/runs", **settings)
 
 
@@ -68,18 +73,93 @@ def q_run_counters(spark, sf):
     )
 
 
+def _must_fail(kind, fn, *args):
+    """Runs what has to raise ``kind``."""
+    try:
+        fn(*args)
+    except kind:
+        return
+    raise AssertionError(f"{fn.__name__} did not stop")
+
+
 def q_resume(spark, sf):
     """Stopped by the delete guard, then resumed with consent."""
     home = fresh_dir(spark, "resume")
     cfg = _config(spark, sf, home, max_delete_ratio=0.0)
-    try:
-        jobs.run(spark, cfg)
-    except GateFailed:
-        cfg = jobs.SyncConfig(**{**cfg.__dict__, "assume_yes": True})
-        jobs.resume(spark, cfg)
+    _must_fail(GateFailed, jobs.run, spark, cfg)
+    jobs.resume(spark, jobs.SyncConfig(**{**cfg.__dict__, "assume_yes": True}))
+    return store.read_table(spark, cfg.target)
+
+
+def _crash_then_resume(spark, sf, label):
+    """A run that dies just before its first commit; meanwhile the source gains updates."""
+    cfg = _config(spark, sf, fresh_dir(spark, label))
+    with mock.patch.object(store, "commit_changes", side_effect=OSError("lost")):
+        _must_fail(OSError, jobs.run, spark, cfg)
+
+    def orders(session):
+        rows = fx.source(session, sf)
+        late = F.col("id") % 13 == 0
+        moved = F.when(late, fx.ntz(dt.datetime(2002, 1, 1))).otherwise(F.col("ts"))
+        return rows.withColumn("price", F.when(late, 0.0).otherwise(F.col("price"))).withColumn("ts", moved)
+
+    cfg = jobs.SyncConfig(**{**cfg.__dict__, "source": orders})
+    jobs.resume(spark, cfg)
+    return cfg
+
+
+def q_resume_crash(spark, sf):
+    """Crash, changed source, resume, undo: the target as it was, row for row."""
+    cfg = _crash_then_resume(spark, sf, "crash")
+    jobs.undo(spark, cfg)
     return store.read_table(spark, cfg.target)
 
 
+def q_resume_crash_counters(spark, sf):
+    """The resumed run holds what the crashed one had staged, and counts it once."""
+    cfg = _crash_then_resume(spark, sf, "crash")
+    state = jobs.load_state(spark, cfg)
+    journal = read_journal(spark, cfg.journal, state.run_id)
+    return journal.agg(
+        F.count(F.lit(1)).alias("journaled"), F.countDistinct("seq").alias("numbers"), F.max("seq").alias("last"),
+        F.count_if(F.col("op") == "delta").alias("deltas"),
+    ).select(F.lit(state.journal_seq).cast("long").alias("counted"), "*")
+
+
+def q_verify_run(spark, sf):
+    """A whole run with full comparison: it fails, and names the rows that changed silently."""
+    cfg = _config(spark, sf, fresh_dir(spark, "verify"), full_compare=True)
+    _must_fail(GateFailed, jobs.run, spark, cfg)
+    return spark.read.parquet(jobs.load_state(spark, cfg).offending)
+
+
+def q_verify_run_types(spark, sf):
+    """A source in other types with one more column: verified, and the column kept."""
+    home = fresh_dir(spark, "types")
+    cfg = _config(spark, sf, home, full_compare=True, sample_rows=50)
+
+    def orders(session):
+        rows = fx.source(session, sf)
+        return rows.withColumn("cust", F.col("cust").cast("string")).withColumn("note", F.lit("n"))
+
+    cfg = jobs.SyncConfig(**{**cfg.__dict__, "source": orders, "ts_field": None})
+    state = jobs.run(spark, cfg)
+    rows = store.read_table(spark, cfg.target)
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count("note").alias("notes"), F.sum("cust").alias("cust")).withColumn("outcome", F.lit(state.outcome))
+
+
+def q_copy_rejects(spark, sf):
+    """A copy with rows that do not fit: the old version stays, the dead letters are complete."""
+    root = fresh_dir(spark, "rejects")
+    jobs.copy_table(fx.target(spark, sf), root)
+    bad = fx.source(spark, sf).withColumn(
+        "cust", F.when(F.col("id") % 3 == 0, F.lit("n/a")).otherwise(F.col("cust").cast("string"))
+    )
+    totals = jobs.copy_table(bad, root, fx.target(spark, sf).schema)
+    dead = spark.read.schema(DEAD_LETTER).json(f"{root}/_dead/*").agg(F.countDistinct("_id").alias("dead"))
+    return totals.withColumn("dead", F.lit(dead.first()[0]).cast("long"))
+
+
 def q_undo_run(spark, sf):
     cfg = _config(spark, sf, fresh_dir(spark, "undo"))
     jobs.run(spark, cfg)
@@ -135,14 +215,18 @@ def q_rates(spark, sf):
 
 
 def q_stream_once(spark, sf):
-    """Changes arrive as files; a second pass finds nothing new."""
+    """Changes arrive as files, some ids twice and the older one last; a second pass finds nothing new."""
     home = fresh_dir(spark, "stream")
     root = f"{home}/orders"
     store.write_version(fx.target(spark, sf), root)
     changes = fx.changes(spark, sf)
     changes.repartition(3, "id").write.parquet(f"{home}/in")
+    # Superseded versions of every other change, in files of a later time.
+    older = changes.where("id % 2 = 0").withColumn("status", F.lit("O")).withColumn("ts", F.col("ts") - F.expr("INTERVAL 1 DAY"))
     args = (spark, f"{home}/in", changes.schema, root, f"{home}/checkpoint", f"{home}/journal", f"{home}/dead", "ts")
-    first = sync_once(*args, files_per_batch=1)
+    sync_once(*args, files_per_batch=1)
+    older.write.mode("append").parquet(f"{home}/in")
+    first = sync_once(*args, files_per_batch=2)
     second = sync_once(*args, files_per_batch=1)
     if first != second:
         raise AssertionError("the second pass changed the table")
@@ -167,6 +251,14 @@ ORACLE = {
     ),
     "q_run": _FINAL,
     "q_resume": _FINAL,
+    "q_resume_crash": pair_sql("SELECT * FROM tgt"),
+    "q_resume_crash_counters": pair_sql(_COUNTS + " SELECT d + x + m AS counted, d + x + m AS journaled, d + x + m AS numbers, d + x + m AS last, d AS deltas FROM c"),
+    "q_verify_run": pair_sql("""SELECT 'content_full' AS "check", CAST(id AS VARCHAR) AS id FROM base WHERE k = 'silent'"""),
+    "q_verify_run_types": pair_sql("SELECT count(*) AS n, count(*) AS notes, CAST(sum(cust) AS BIGINT) AS cust, 'ok' AS outcome FROM src"),
+    "q_copy_rejects": pair_sql(
+        """SELECT count(*) AS source_rows, 0 AS created, 0 AS updated, count(*) FILTER (id % 3 = 0) AS failed,
+             (SELECT count(*) FROM tgt) AS target_rows, false AS ok, count(*) FILTER (id % 3 = 0) AS dead FROM src"""
+    ),
     "q_run_counters": pair_sql(
         _COUNTS + """ SELECT 'orders' AS "table", 'DONE' AS phase, d AS total, d AS seen, d AS synced, 0 AS dl_count,
            x AS deleted_planned, x AS deleted_applied, m AS repaired_planned, m AS repaired_applied,

@@ -37,7 +37,7 @@ def config(spark, home, rows=None, schema=SCHEMA, **settings):
     def source(session):
         return session.createDataFrame(data, schema)
 
-    settings = {"since": CUTOVER, "sample_rows": 5, **settings}
+    settings = {"since": CUTOVER, "sample_rows": 5, "freeze_wait": 0, **settings}
     return SyncConfig(table="t", source=source, target=root, home=f"{home}/runs", **settings)
 
 
@@ -272,13 +272,127 @@ def test_old_version_stays_readable_and_layers_compact(spark, home):
     root = f"{home}/target"
     store.write_version(spark.createDataFrame(target_rows(), SCHEMA), root, buckets=4)
     first = store.read_table(spark, root)
-    for n in range(store.COMPACT_AFTER + 1):
+    for n in range(store.MOST_LAYERS + 1):
         change = spark.createDataFrame([(f"doc-{n:02d}", f"v{n}", NEW)], SCHEMA)
         store.commit_changes(spark, root, store.stage_changes(change.withColumn("op", F.lit("index")), root))
-    assert store.read_commit(spark, root)["layers"] == []
+    # The ninth small change folds the change sets and leaves the base alone.
+    assert len(store.read_commit(spark, root)["layers"]) == 1
+    assert store.read_commit(spark, root)["base"] == store.read_commit(spark, root, 1)["base"]
     titles = {r["id"]: r["title"] for r in store.read_table(spark, root).collect()}
     assert titles["doc-08"] == "v8" and titles["doc-09"] == "orig-9"
     assert {r["title"] for r in first.collect()} == {t for _, t, _ in target_rows()}
     with pytest.raises(store.CommitConflict):
         store.commit_changes(spark, root, "x", expect=1)
     assert len(files.names(spark, f"{root}/_commits")) == store.current_version(spark, root)
+
+
+def test_half_written_commit_is_a_conflict(spark, home):
+    cfg = config(spark, home)
+    staged = store.stage_changes(store.read_table(spark, cfg.target).withColumn("op", F.lit("index")), cfg.target)
+    with open(f"{cfg.target}/_commits/{2:010d}.json", "w") as half:
+        half.write('{"version": 2, "ba')
+    with pytest.raises(store.CommitConflict):
+        store.commit_changes(spark, cfg.target, staged, expect=1)
+
+
+def test_of_two_writers_one_wins_and_no_draft_is_seen(spark, home):
+    path = f"{home}/x/1.json"
+    assert files.create_json(spark, path, {"a": 1})
+    assert not files.create_json(spark, path, {"a": 2})
+    assert files.read_json(spark, path) == {"a": 1} and files.names(spark, f"{home}/x") == ["1.json"]
+
+
+def test_resume_applies_what_was_staged(spark, home, monkeypatch):
+    cfg = config(spark, home)
+
+    def lost(*args, **kwargs):
+        raise OSError("lost")
+
+    monkeypatch.setattr(store, "commit_changes", lost)
+    with pytest.raises(OSError):
+        jobs.run(spark, cfg)
+    monkeypatch.undo()
+    assert jobs.load_state(spark, cfg).journal_seq == 0
+    # The source gains an update of a row that the delta did not have.
+    data = [(i, "LATE" if i == "doc-12" else t, NEW if i == "doc-12" else ts) for i, t, ts in source_rows()]
+
+    def source(session):
+        return session.createDataFrame(data, SCHEMA)
+
+    state = jobs.resume(spark, jobs.SyncConfig(**{**cfg.__dict__, "source": source, "sample_rows": 0}))
+    journal = read_journal(spark, cfg.journal, state.run_id)
+    assert state.journal_seq == journal.count() == 11 and duplicate_seqs(journal).count() == 0
+    assert content(spark, cfg)["doc-12"] == "orig-12"
+    jobs.undo(spark, cfg)
+    assert content(spark, cfg) == {i: t for i, t, _ in target_rows()}
+
+
+def test_undo_looks_past_failures_and_refuses_what_it_cannot_do(spark, home):
+    cfg = config(spark, home)
+    with pytest.raises(jobs.RunConflict, match="no journal"):
+        jobs.undo(spark, cfg)
+    jobs.run(spark, cfg)
+    late = jobs.SyncConfig(**{**cfg.__dict__, "since": "garbage"})
+    assert jobs.run_many(spark, [late]).first()["outcome"] == "failed"
+    store.write_version(store.read_table(spark, cfg.target), cfg.target)
+    with pytest.raises(jobs.RunConflict, match="written since"):
+        jobs.undo(spark, cfg)
+    jobs.undo(spark, cfg, force=True)
+    assert content(spark, cfg) == {i: t for i, t, _ in target_rows()}
+
+
+def test_other_types_and_new_columns_verify(spark, home):
+    rows = [(i, t, ts, "7", "x") for i, t, ts in source_rows()]
+    root = f"{home}/target"
+    target = spark.createDataFrame([(i, t, ts, 7) for i, t, ts in target_rows()], SCHEMA + ", n int")
+    store.write_version(target, root, buckets=4)
+    cfg = config(spark, home, rows, SCHEMA + ", n string, extra string", full_compare=True)
+    with pytest.raises(GateFailed, match="content_full"):  # rows before the cutover lack the new column
+        jobs.run(spark, cfg)
+    state = jobs.load_state(spark, cfg)
+    assert {r["id"] for r in spark.read.parquet(state.offending).where("check = 'content_full'").collect()} == {f"doc-{i:02d}" for i in range(9, 20)}
+    jobs.abandon(spark, cfg)
+    assert jobs.run(spark, jobs.SyncConfig(**{**cfg.__dict__, "ts_field": None})).outcome == "ok"
+    assert {r["extra"] for r in store.read_table(spark, root).collect()} == {"x"}
+    dropped = config(spark, f"{home}/b", rows, SCHEMA + ", n string, extra string", unknown="drop", full_compare=True)
+    assert jobs.run(spark, dropped).outcome == "ok"
+
+
+def test_copy_with_misfits_leaves_the_old_version(spark, home):
+    root = f"{home}/target"
+    jobs.copy_table(spark.createDataFrame([("a", 1), ("b", 2)], "id string, n int"), root, buckets=2)
+    bad = spark.createDataFrame([("a", "1"), ("b", "two"), ("c", "3")], "id string, n string")
+    totals = jobs.copy_table(bad, root, spark.createDataFrame([], "id string, n int").schema).first()
+    assert (totals["ok"], totals["failed"], totals["target_rows"]) == (False, 1, 2)
+    assert store.current_version(spark, root) == 1
+    assert [r["_id"] for r in spark.read.json(f"{root}/_dead/*").collect()] == ["b"]
+
+
+def test_text_timestamps_are_refused(spark, home):
+    with pytest.raises(GateFailed, match="not a timestamp"):
+        jobs.run(spark, config(spark, home, ts_field="title"))
+
+
+def test_compaction_can_deal_a_table_anew(spark, home):
+    cfg = config(spark, home)
+    jobs.run(spark, cfg)
+    before = content(spark, cfg)
+    store.compact(spark, cfg.target, buckets=8)
+    commit = store.read_commit(spark, cfg.target)
+    assert (commit["buckets"], commit["layers"]) == (8, []) and content(spark, cfg) == before
+    with pytest.raises(store.CommitConflict):
+        store.compact(spark, cfg.target, version=1, buckets=2)
+
+
+def test_dates_are_strict(spark):
+    from docsync.functions import parse_date
+
+    cases = {
+        "12:30": None, "T10:00": None, "2024": dt.datetime(2024, 1, 1), "2024-03": dt.datetime(2024, 3, 1), "2024-1-5": None,
+        "2024-01-05": dt.datetime(2024, 1, 5), "2024-01-05T10": dt.datetime(2024, 1, 5, 10), "2024-01-05T10:20": dt.datetime(2024, 1, 5, 10, 20),
+        "2024-01-05T10:20:30.5Z": dt.datetime(2024, 1, 5, 10, 20, 30, 500000), "2024-01-05 10:20:30": dt.datetime(2024, 1, 5, 10, 20, 30),
+        "2024-01-05T10:20:30+0200": dt.datetime(2024, 1, 5, 8, 20, 30), "2024-01-05T10:20:30-02": dt.datetime(2024, 1, 5, 12, 20, 30),
+        "1700000000000": dt.datetime(2023, 11, 14, 22, 13, 20), "2024-13-01": None, "yesterday": None, "": None,
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", parse_date(F.col("t")).cast("timestamp_ntz").alias("at"))
+    assert {r["t"]: r["at"] for r in rows.collect()} == cases

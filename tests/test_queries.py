@@ -5,15 +5,16 @@ import os
 import pytest
 
 import __spark_entry__ as driver
+import queries as registered
 from tests.oracle import compare, connect
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-ORACLE = driver.oracle_sql()
+ORACLE = registered.all_oracles()
 
 
 def test_every_query_has_an_oracle():
-    assert set(driver.queries()) == set(ORACLE)
+    assert set(registered.all_queries()) == set(registered.all_oracles())
 
 
 def test_entry_has_rows(spark):

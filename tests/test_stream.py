@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from docsync.operators.apply import latest
 from docsync.operators.journal import audit, duplicate_seqs, undo
 from docsync.sources import store
 from docsync.sources.journal_store import read_journal
@@ -50,6 +51,29 @@ def test_passes_pick_up_only_new_files(spark, home):
     assert sorted(back.collect()) == sorted(before.collect())
 
 
+def test_late_older_row_does_not_replace_a_newer_one(spark, home):
+    root = setup(spark, home)
+    args = (root, f"{home}/j", f"{home}/dead", "updated_at", "stream")
+    _apply_batch(rows(spark, [("d1", "new")], 5), 1, *args)
+    _apply_batch(rows(spark, [("d1", "late"), ("d2", "fresh")], 3), 2, *args)
+    assert (titles(spark, root)["d1"], titles(spark, root)["d2"]) == ("new", "fresh")
+    # A foreign commit in between: the batch is still known.
+    store.write_version(store.read_table(spark, root), root)
+    version = store.current_version(spark, root)
+    _apply_batch(rows(spark, [("d2", "again")], 9), 2, *args)
+    assert store.current_version(spark, root) == version
+
+
+def test_equally_new_rows_are_told_apart_by_content(spark, home):
+    for order in (["a", "b"], ["b", "a"]):
+        root = setup(spark, f"{home}/{order[0]}")
+        for n, title in enumerate(order):
+            _apply_batch(rows(spark, [("d1", title)], 5), n, root, f"{home}/{order[0]}/j", f"{home}/{order[0]}/dead", "updated_at", "s")
+        winner = titles(spark, root)["d1"]
+        both = rows(spark, [("d1", t) for t in order], 5)
+        assert latest(both, "updated_at").first()["title"] == winner
+
+
 def test_redelivered_batch_changes_nothing(spark, home):
     root = setup(spark, home)
     batch = rows(spark, [("d1", "a")], 1)
