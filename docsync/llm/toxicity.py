@@ -31,6 +31,7 @@ ROWS = 8000
 LISTS = 8
 STEMS = (4, 5, 6)
 LEAST_TEXTS, LEAST_Z, LEAST_RATIO = 5, 5.0, 3.0
+CERTAIN_Z = 8.0
 SKETCH = 3
 EM_ROUNDS = 30
 STEPS, RATE, PENALTY = 800, 0.1, 1e-3
@@ -224,6 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = ROWS) -> Model:
     usual = texts >= LEAST_TEXTS
     label = got["toxic"].to_numpy()
     ratio, z = association(row, word, len(vocabulary), label)
+    first_z = z
     mined = np.flatnonzero(usual & (z >= LEAST_Z) & (ratio >= LEAST_RATIO))
     mined = mined[np.argsort(-z[mined], kind="stable")]
     lists = [vocabulary[mined[i::LISTS]] for i in range(LISTS)]
@@ -240,7 +242,18 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = ROWS) -> Model:
     number = np.full(len(vocabulary), -1)
     number[used] = np.arange(len(used))
     keep = number[word] >= 0
-    weights, bias = logistic(row[keep], number[word[keep]], n, len(used), soft)
+    # Texts with one listed word and nothing else known are rare; each listed word beyond doubt
+    # also counts as such a text, with the label model's posterior for its list's vote alone.
+    certain = np.isin(mined, used) & (first_z[mined] >= CERTAIN_Z)
+    listed = mined[certain]
+    lone = np.zeros((len(mined), votes.shape[1]))
+    lone[np.arange(len(mined)), np.arange(len(mined)) % LISTS] = 1
+    lone = model.posterior(lone)[certain]
+    weights, bias = logistic(
+        np.concatenate((row[keep], n + np.arange(len(listed)))),
+        np.concatenate((number[word[keep]], number[listed])),
+        n + len(listed), len(used), np.concatenate((soft, lone)),
+    )
     return Model(vocabulary[used], weights, bias, model)
 
 
