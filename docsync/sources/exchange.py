@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import json
+import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -37,16 +36,17 @@ def write_ndjson(changes: DataFrame, path: str, two_lines: bool = False) -> None
 
     The default is one object per line, which any reader can split. ``two_lines`` writes the
     action and, unless it is a delete, the source on the next line; both are one text value, so
-    nothing can come between them.
+    nothing can come between them. These files are gzipped, so that no reader splits them.
     """
     if not two_lines:
         lines = changes.select(
             F.to_json(F.struct("op", F.col("id").cast("string").alias("id"), "routing", "doc"))
         )
-    else:
-        source = F.when(F.col("op") != "delete", F.coalesce("doc", F.lit("{}")))
-        lines = changes.select(F.concat_ws("\n", action_line(), source))
-    lines.toDF("value").write.text(path)
+        lines.toDF("value").write.text(path)
+        return
+    source = F.when(F.col("op") != "delete", F.coalesce("doc", F.lit("{}")))
+    lines = changes.select(F.concat_ws("\n", action_line(), source))
+    lines.toDF("value").write.option("compression", "gzip").text(path)
 
 
 CHANGE = struct_of(op="string", id="string", routing="string", doc="string")
@@ -55,25 +55,45 @@ CHANGE = struct_of(op="string", id="string", routing="string", doc="string")
 def read_ndjson(spark: SparkSession, path: str, two_lines: bool = False) -> DataFrame:
     """Reads a change set back.
 
-    In the two-line form a source belongs to the line before it, so a file is read as a whole;
-    write it in parts of at most ``BYTE_CAP`` bytes (see :func:`write_parts`).
+    In the two-line form a source belongs to the line before it. The files must be compressed, as
+    written here: such a file is read by one task, line by line and in order, however long it is.
+    Blank lines are skipped.
     """
     if not two_lines:
         return spark.read.schema(CHANGE).json(path)
-    whole = spark.read.text(path, wholetext=True)
-    return whole.mapInPandas(_pair_lines, CHANGE)
+    lines = spark.read.text(path)
+    plain = [f for f in lines.inputFiles() if not f.endswith((".gz", ".zst", ".snappy", ".lz4", ".deflate"))]
+    if plain:
+        raise ValueError(f"two-line files must be compressed to be read in order: {plain[0]}")
+    pairs = lines.mapInArrow(_pair_lines, "action string, doc string")
+    meta = F.from_json("action", "map<string, struct<_id: string, routing: string>>")
+    op = F.map_keys("m")[0]
+    return pairs.select(meta.alias("m"), "doc").select(
+        op.alias("op"), F.col("m")[op]["_id"].alias("id"), F.col("m")[op]["routing"].alias("routing"), "doc"
+    )
+
 
+DELETE_LINE = re.compile(r'\s*\{\s*"delete"')
 
-def _pair_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _pair_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each action line with the source line behind it; deletes have none."""
+    action = None
     for batch in batches:
-        rows = []
-        for text in batch["value"]:
-            lines = (line for line in text.split("\n") if line.strip())
-            for line in lines:
-                op, meta = next(iter(json.loads(line).items()))
-                doc = None if op == "delete" else next(lines, "{}")
-                rows.append((op, meta.get("_id"), meta.get("routing"), doc))
-        yield pd.DataFrame(rows, columns=CHANGE.names, dtype="object")
+        actions, docs = [], []
+        for line in batch.column(0).to_pylist():
+            if not line.strip():
+                continue
+            if action is None and not DELETE_LINE.match(line):
+                action = line
+                continue
+            actions.append(line if action is None else action)
+            docs.append(None if action is None else line)
+            action = None
+        yield pa.RecordBatch.from_arrays([pa.array(actions, pa.string()), pa.array(docs, pa.string())], names=["action", "doc"])
+    if action is not None:
+        # An action at the end of the input lost its source.
+        yield pa.RecordBatch.from_arrays([pa.array([action]), pa.array(["{}"])], names=["action", "doc"])
 
 
 def pack(df: DataFrame, cap: int = BYTE_CAP, size: str = "size") -> DataFrame:
@@ -128,11 +148,38 @@ def running_bytes(df: DataFrame, part: str, size: str = "size", order: str = "id
     )
 
 
-def write_parts(changes: DataFrame, path: str, cap: int = BYTE_CAP) -> None:
-    """Two-line files below ``path/part_no=N``, none larger than ``cap`` unless one row is."""
+PARTS_PER_FILE = 64
+
+
+def write_parts(
+    changes: DataFrame, path: str, cap: int = BYTE_CAP, parts_per_file: int = PARTS_PER_FILE
+) -> None:
+    """Two-line files of several parts each, a blank line behind each part.
+
+    No part is larger than ``cap`` unless it is one row. A part is one text value of the writer.
+    """
     source = F.when(F.col("op") != "delete", F.coalesce("doc", F.lit("{}")))
     sized = changes.select(
         action_line().alias("action"), source.alias("source")
     ).withColumn("size", pair_bytes(F.col("action"), F.col("source")))
     lines = pack(sized, cap).select("part_no", F.concat_ws("\n", "action", "source").alias("value"))
-    lines.write.partitionBy("part_no").text(path)
+    parts = lines.mapInArrow(_join_parts, "value string")
+    parts.write.option("compression", "gzip").option("lineSep", "\n\n").option(
+        "maxRecordsPerFile", str(parts_per_file)
+    ).text(path)
+
+
+def _join_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one part number, which follow each other, as one text."""
+    current, lines = None, []
+    for batch in batches:
+        done = []
+        for part, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if part != current and lines:
+                done.append("\n".join(lines))
+                lines = []
+            current = part
+            lines.append(line)
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], names=["value"])
+    if lines:
+        yield pa.RecordBatch.from_arrays([pa.array(["\n".join(lines)])], names=["value"])

@@ -258,8 +258,15 @@ def q_plan(spark, sf):
 
 
 def q_freeze(spark, sf):
+    """A source that stands still, one that gains rows, and one whose version alone moves."""
     still = checks.stable(lambda: fx.source(spark, sf), "ts")
-    return checks.counts(fx.source(spark, sf), "ts").withColumn("stable", F.lit(still))
+    moving = iter([fx.target(spark, sf), fx.source(spark, sf)])
+    version = iter([1, 2])
+    return checks.counts(fx.source(spark, sf), "ts").withColumns({
+        "stable": F.lit(still),
+        "moving": F.lit(checks.stable(lambda: next(moving), "ts")),
+        "rewritten": F.lit(checks.stable(lambda: fx.source(spark, sf), "ts", version_fn=lambda: next(version))),
+    })
 
 
 def q_remove_fields(spark, sf):
@@ -377,7 +384,7 @@ ORACLE = {
            SELECT source_total, target_total, delta, source_total - target_total AS net,
                   CAST(ceil(bytes / target_total * delta) AS BIGINT) AS journal_bytes FROM c"""
     ),
-    "q_freeze": pair_sql("SELECT count(*) AS n, max(ts) AS high_water, true AS stable FROM src"),
+    "q_freeze": pair_sql("SELECT count(*) AS n, max(ts) AS high_water, true AS stable, (SELECT count(*) = (SELECT count(*) FROM src) FROM tgt) AS moving, false AS rewritten FROM src"),
     "q_remove_fields": pair_sql("SELECT id, status, cust, ts AS modified, 3 AS width FROM src"),
 }
 _FIRST = pair_sql(

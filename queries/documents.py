@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -9,7 +10,7 @@ from docsync import functions as fn
 from docsync.functions.types import struct_of
 from docsync.operators import schema
 from docsync.operators.extract import clean_ids
-from docsync.session import fresh_dir, spread
+from docsync.session import fresh_dir, materialize, spread
 from docsync.sources import documents, exchange, journal_store, synth
 from queries import compare
 from queries import fixtures as fx
@@ -166,12 +167,19 @@ def q_running_bytes(spark, sf):
 
 
 def q_pack(spark, sf):
-    """Totals over packed parts; no part of several rows may exceed the cap."""
+    """Totals over packed parts.
+
+    No part of several rows may exceed the cap, and no part may leave out a next row that fits.
+    """
     docs = fx.table(spark, sf, "documents").select("doc_id", F.octet_length("text").alias("size"))
-    parts = exchange.pack(docs, 20_000).groupBy("part_no").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("size").cast("bigint").alias("bytes")
+    packed = materialize(exchange.pack(docs, 20_000).withColumn("place", F.monotonically_increasing_id()), "packed")
+    parts = packed.groupBy("part_no").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").cast("bigint").alias("bytes"), F.min_by("size", "place").alias("first")
     )
+    run = Window.partitionBy(F.shiftright("part_no", 32)).orderBy("part_no")
+    parts = parts.withColumn("next", F.lead("first").over(run))
     return parts.agg(
+        F.count_if(F.col("bytes") + F.col("next") <= 20_000).alias("loose"),
         F.sum("n").alias("docs"), F.sum("bytes").alias("bytes"),
         F.count_if((F.col("n") > 1) & (F.col("bytes") > 20_000)).alias("too_large"),
     )
@@ -432,7 +440,7 @@ ORACLE = {
         UNION ALL SELECT id, title, sku FROM n""",
     "q_running_bytes": """SELECT id, part, size, CAST(sum(size) OVER (PARTITION BY part ORDER BY id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running
         FROM (SELECT doc_id AS id, lang AS part, octet_length(encode(text)) AS size FROM documents)""",
-    "q_pack": "SELECT count(*) AS docs, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, 0 AS too_large FROM documents",
+    "q_pack": "SELECT count(*) AS docs, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, 0 AS too_large, 0 AS loose FROM documents",
     "q_ndjson": pair_sql(
         """, c AS (SELECT 'index' AS op, CAST(id AS VARCHAR) AS id, CASE WHEN cust % 2 = 0 THEN CAST(cust AS VARCHAR) END AS routing,
                status, 'tab' || chr(9) || 'and' || chr(10) || 'line' AS t FROM chg

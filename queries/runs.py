@@ -182,11 +182,17 @@ def q_versions(spark, sf):
 
 
 def q_summary(spark, sf):
-    """Two tables, one of them with a cutover in the future."""
+    """A good table, one with a cutover in the future, one interrupted, and one never reached."""
     home = fresh_dir(spark, "many")
     good = _config(spark, sf, home)
     bad = _config(spark, sf, home, table="orders_late", since="2999-01-01T00:00:00+00:00")
-    return jobs.run_many(spark, [bad, good])
+
+    def interrupted(session):
+        raise KeyboardInterrupt
+
+    stopped = jobs.SyncConfig(**{**good.__dict__, "table": "orders_stopped", "source": interrupted})
+    unreached = jobs.SyncConfig(**{**good.__dict__, "table": "orders_unreached"})
+    return jobs.run_many(spark, [bad, good, stopped, unreached])
 
 
 def q_worst(spark, sf):
@@ -272,7 +278,8 @@ ORACLE = {
     "q_summary": pair_sql(
         _COUNTS + """ SELECT 'orders' AS "table", 'DONE' AS phase, d AS seen, d AS synced, x AS deleted, m AS repaired,
            0 AS dead_letters, 'ok' AS outcome FROM c
-           UNION ALL SELECT 'orders_late', 'DONE', 0, 0, 0, 0, 0, 'failed'"""
+           UNION ALL SELECT 'orders_late', 'DONE', 0, 0, 0, 0, 0, 'failed'
+           UNION ALL SELECT t, NULL, NULL, NULL, NULL, NULL, NULL, 'interrupted' FROM (SELECT unnest(['orders_stopped', 'orders_unreached']) AS t)"""
     ),
     "q_worst": """SELECT event_type, CASE max(s) WHEN 2 THEN 'interrupted' WHEN 1 THEN 'dead_letters' ELSE 'ok' END AS outcome,
           max(s) AS severity
