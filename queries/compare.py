@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docsync.operators import apply, checks, diff, extract, journal
 from docsync.operators.schema import remove_fields
+from docsync.session import materialize
 from queries import fixtures as fx
 from queries.fixtures import pair_sql
 
@@ -156,7 +157,8 @@ def full_journal(spark, sf):
     more = fx.to_delete(spark, sf).select("id", F.lit("delete").alias("op"))
     repairs = fx.to_repair(spark, sf).select("id", F.lit("repair").alias("op"))
     numbered = journal.number(ids.unionByName(more).unionByName(repairs))
-    return journal.preimage(numbered, fx.target(spark, sf), F.col("op"))
+    # Written once, as a run does: every reader would compute it again otherwise.
+    return materialize(journal.preimage(numbered, fx.target(spark, sf), F.col("op")), "journal")
 
 
 def q_journal(spark, sf):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from docsync.operators.apply import apply_deletes, apply_upserts
 from docsync.operators.diff import only_in
 from docsync.operators.extract import delta
-from docsync.session import materialize, spread, tune
+from docsync.session import spread, tune
 
 CUTOVER = dt.datetime(2001, 1, 1)
 OLD = dt.datetime(1994, 12, 31)
@@ -76,15 +76,20 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def after_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(apply_upserts(target(spark, sf_dir), changes(spark, sf_dir)), "after")
+    return apply_upserts(target(spark, sf_dir), changes(spark, sf_dir))
+
+
+def after_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the target after the delta, without touching its documents."""
+    return target(spark, sf_dir).select("id").union(changes(spark, sf_dir).select("id")).distinct()
 
 
 def to_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(only_in(after_delta(spark, sf_dir), source(spark, sf_dir)), "gone")
+    return only_in(after_ids(spark, sf_dir), source(spark, sf_dir))
 
 
 def to_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(only_in(source(spark, sf_dir), after_delta(spark, sf_dir)), "added")
+    return only_in(source(spark, sf_dir), after_ids(spark, sf_dir))
 
 
 def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
