@@ -9,13 +9,15 @@
    sets, so that no task grows with the block. Only a spanning forest leaves a piece.
 4. Components over the verified links.
 
-All pairs inside a block are compared, so the bands only have to bring a pair into one block:
-with 24 bands of 5 values a pair of similarity 0.85 shares no band with probability below 1e-6.
+All pairs inside a block are compared, so the bands only have to bring a pair into one block.
+Their number follows from the similarity asked for: a pair that just reaches it shares no band with
+probability below ``MISS`` (24 bands of 5 values for 0.85, 35 for 0.8).
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +29,7 @@ from docsync.llm.components import components
 from docsync.llm.words import GOLD, WHITE_SPACE, mix, word_batches
 from docsync.session import materialize
 
-BANDS, BAND_ROWS = 24, 5
-SIGNATURE = BANDS * BAND_ROWS
+BAND_ROWS, MISS = 5, 1e-6
 SHINGLE = 5
 _ODD = np.array(
     [0x9FB21C651E98DF25, 0xA24BAED4963EE407, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD],
@@ -57,7 +58,15 @@ def shingles(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate(sets) if sets else hashes[:0], at
 
 
-def superminhash(values: np.ndarray, at: np.ndarray, size: int = SIGNATURE) -> np.ndarray:
+def bands_for(percent: int) -> int:
+    """Bands needed for a similarity. Signatures have at most 255 values, enough from 0.75 on."""
+    bands = math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** BAND_ROWS))) if percent < 100 else 1
+    if bands * BAND_ROWS > 255:
+        raise ValueError(f"similarity of {percent} % is too low for {BAND_ROWS} values a band")
+    return bands
+
+
+def superminhash(values: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     """One signature of ``size`` values per set.
 
     Element by element, a random permutation of the places is drawn step by step; at step j the
@@ -87,8 +96,9 @@ def superminhash(values: np.ndarray, at: np.ndarray, size: int = SIGNATURE) -> n
 
 def band_keys(signatures: np.ndarray) -> np.ndarray:
     """One 64-bit key per signature and band."""
-    parts = signatures.reshape(len(signatures), BANDS, BAND_ROWS).astype(np.uint64)
-    keys = mix((parts * _ODD[:BAND_ROWS]).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * GOLD)
+    bands = signatures.shape[1] // BAND_ROWS
+    parts = signatures.reshape(len(signatures), bands, BAND_ROWS).astype(np.uint64)
+    keys = mix((parts * _ODD[:BAND_ROWS]).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * GOLD)
     return keys.view(np.int64)
 
 
@@ -101,40 +111,43 @@ def _small_sets(offsets: np.ndarray, limit: int = 100_000) -> Iterator[tuple[int
         row = end
 
 
-def _signatures(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _signatures(values: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     """Signatures; the places of one very large set are drawn in slices and merged by minimum."""
     out = []
     for low, high in _small_sets(at):
         own, own_at = values[at[low] : at[high]], at[low : high + 1] - at[low]
         if high - low == 1 and len(own) > 100_000:
             slices = [own[i : i + 100_000] for i in range(0, len(own), 100_000)]
-            out.append(np.minimum.reduce([superminhash(s, np.array([0, len(s)])) for s in slices]))
+            out.append(np.minimum.reduce([superminhash(s, np.array([0, len(s)]), size) for s in slices]))
         else:
-            out.append(superminhash(own, own_at))
+            out.append(superminhash(own, own_at, size))
     return np.concatenate(out)
 
 
-def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for low, high, hashes, offsets in word_batches(batch.column(1), WHITE_SPACE):
-            values, at = shingles(hashes, offsets)
-            count = np.diff(at)
-            some = count > 0
-            sums = []
-            for salt in (np.uint64(3), np.uint64(11)):
-                total = np.concatenate(([np.uint64(0)], np.cumsum(mix(values * GOLD + salt), dtype=np.uint64)))
-                sums.append((total[at[1:]] - total[at[:-1]]).view(np.int64))
-            keys = band_keys(_signatures(values, at))
-            bands = pa.ListArray.from_arrays(
-                np.concatenate(([0], np.cumsum(some * BANDS))).astype(np.int32), pa.array(keys[some].reshape(-1))
-            )
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(low, high - low),
-                    pa.array(sums[0]), pa.array(sums[1]), pa.array(count), bands,
-                ],
-                names=["doc_id", "set_hi", "set_lo", "n_shingles", "bands"],
-            )
+def _fingerprint(bands: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, hashes, offsets in word_batches(batch.column(1), WHITE_SPACE):
+                values, at = shingles(hashes, offsets)
+                count = np.diff(at)
+                some = count > 0
+                sums = []
+                for salt in (np.uint64(3), np.uint64(11)):
+                    total = np.concatenate(([np.uint64(0)], np.cumsum(mix(values * GOLD + salt), dtype=np.uint64)))
+                    sums.append((total[at[1:]] - total[at[:-1]]).view(np.int64))
+                keys = band_keys(_signatures(values, at, bands * BAND_ROWS))
+                lists = pa.ListArray.from_arrays(
+                    np.concatenate(([0], np.cumsum(some * bands))).astype(np.int32), pa.array(keys[some].reshape(-1))
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(low, high - low),
+                        pa.array(sums[0]), pa.array(sums[1]), pa.array(count), lists,
+                    ],
+                    names=["doc_id", "set_hi", "set_lo", "n_shingles", "bands"],
+                )
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +256,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, cell: int = 256) -> Data
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = materialize(
-        docs.mapInArrow(_fingerprint, "doc_id long, set_hi long, set_lo long, n_shingles long, bands array<long>"),
+        docs.mapInArrow(_fingerprint(bands_for(percent)), "doc_id long, set_hi long, set_lo long, n_shingles long, bands array<long>"),
         "prints",
     )
     some = prints.where("n_shingles > 0 AND doc_id IS NOT NULL")

@@ -310,11 +310,16 @@ def test_superminhash_estimates_similarity():
     rng = np.random.default_rng(4)
     a = rng.integers(0, 2**63, 500).astype(np.uint64)
     b = np.concatenate((a[:400], rng.integers(0, 2**63, 100).astype(np.uint64)))
-    s = minhash.superminhash(np.concatenate((a, b)), np.array([0, 500, 1000]))
+    s = minhash.superminhash(np.concatenate((a, b)), np.array([0, 500, 1000]), 120)
     assert abs((s[0] == s[1]).mean() - 400 / 600) < 0.15
     # Each place gets its least value whatever the order of the elements.
-    t = minhash.superminhash(a[::-1].copy(), np.array([0, 500]))
+    t = minhash.superminhash(a[::-1].copy(), np.array([0, 500]), 120)
     assert (t[0] == s[0]).all()
+    # A set smaller than the signature fills all places.
+    assert (minhash.superminhash(a[:1], np.array([0, 1]), 120) < 120 << 24).all()
+    assert (minhash.bands_for(85), minhash.bands_for(80), minhash.bands_for(100)) == (24, 35, 1)
+    with pytest.raises(ValueError):
+        minhash.bands_for(50)
 
 
 # Decontamination
