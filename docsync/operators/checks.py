@@ -85,9 +85,16 @@ def plan(
     ts_col: str | None,
     since=None,
     row_bytes: Column | None = None,
+    mean_bytes: float | None = None,
 ) -> DataFrame:
-    """Dry run as one row. The journal estimate is the delta times the measured row size."""
+    """Dry run as one row. The journal estimate is the delta times the target's row size.
+
+    ``mean_bytes`` is that size when it is known, and no document is read then; otherwise it is
+    measured on all rows, by ``row_bytes`` or as JSON.
+    """
     size = row_bytes if row_bytes is not None else F.octet_length(F.to_json(F.struct("*")))
+    if mean_bytes is not None:
+        size = F.lit(None)
     in_window = F.lit(True) if ts_col is None else F.col(ts_col) > F.lit(since)
     none = F.lit(None).cast("bigint")
     left = src.select(
@@ -102,7 +109,7 @@ def plan(
         F.coalesce(F.sum("d"), F.lit(0)).alias("delta"),
         F.sum("b").alias("_bytes"),
     )
-    mean = F.try_divide(F.col("_bytes"), F.col("target_total"))
+    mean = F.try_divide(F.col("_bytes"), F.col("target_total")) if mean_bytes is None else F.lit(mean_bytes)
     return totals.select(
         "source_total",
         "target_total",

@@ -327,6 +327,17 @@ def preflight(spark: SparkSession, cfg: SyncConfig) -> dt.datetime | None:
     return bound
 
 
+def plan(spark: SparkSession, cfg: SyncConfig) -> DataFrame:
+    """What a run would do, as one row of :func:`checks.plan`; no document of the target is read."""
+    tune(spark)
+    src, tgt = cfg.read_source(spark), store.read_table(spark, cfg.target)
+    since = None
+    if cfg.ts_field is not None:
+        bound = preflight(spark, cfg)
+        since = dt.datetime.fromisoformat(bound.isoformat())
+    return checks.plan(src, tgt, cfg.ts_field, since, mean_bytes=store.mean_row_bytes(spark, cfg.target))
+
+
 def _bound_column(src: DataFrame, cfg: SyncConfig, since: str | None):
     if since is None or cfg.ts_field is None:
         return None
@@ -798,7 +809,7 @@ def _record_failure(spark: SparkSession, cfg: SyncConfig, error: Exception) -> N
 
 __all__ = [
     "OUTCOMES", "PHASES", "RunConflict", "RunState", "STATE", "SyncConfig", "abandon",
-    "copy_table", "delta_sync", "gate", "load_state", "offending_ids", "preflight", "rates",
+    "copy_table", "delta_sync", "gate", "load_state", "offending_ids", "plan", "preflight", "rates",
     "read_dead", "reconcile", "resume", "run", "run_many", "severity", "state_table",
     "summary", "undo", "verify", "worst",
 ]

@@ -32,6 +32,17 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(where))
 
 
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a folder."""
+    fs, where = _fs(spark, path)
+    return fs.getContentSummary(where).getLength()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, where = _fs(spark, path)
+    fs.delete(where, True)
+
+
 def read_json(spark: SparkSession, path: str) -> dict | None:
     """Content of a control file; None when it is not whole."""
     fs, where = _fs(spark, path)

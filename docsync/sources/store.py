@@ -160,6 +160,8 @@ def write_version(
     write_bucketed(df, f"{root}/{data}", buckets)
     record = {
         "base": data,
+        "rows": read_bucketed(spark, f"{root}/{data}", df.schema, buckets).count(),
+        "bytes": files.size(spark, f"{root}/{data}"),
         "layers": [],
         "buckets": buckets,
         "schema": df.schema.jsonValue(),
@@ -271,6 +273,29 @@ def compact(
     return write_version(rows, root, buckets, tag=tag or commit["tag"], expect=commit["version"])
 
 
+def mean_row_bytes(spark: SparkSession, root: str) -> float:
+    """Stored bytes per row of the newest base, as recorded when it was written."""
+    commit = read_commit(spark, root)
+    return commit["bytes"] / commit["rows"] if commit.get("rows") else 0.0
+
+
+def expire(spark: SparkSession, root: str, before: int) -> list[str]:
+    """Removes versions below ``before`` and the folders that only they use; names what went.
+
+    Folders of change sets that are staged but not visible yet belong to no version and stay.
+    The newest version always stays. Reads of a removed version that are under way fail.
+    """
+    listed = versions(spark, root)
+    old = [v for v in listed[:-1] if v < before]
+    used = lambda vs: {n for v in vs for c in [read_commit(spark, root, v)] for n in (c["base"], *c["layers"])}
+    gone = sorted(used(old) - used([v for v in listed if v not in old]))
+    for version in old:
+        files.remove(spark, _commit_path(root, version))
+    for name in gone:
+        files.remove(spark, f"{root}/{name}")
+    return gone
+
+
 # ---- markers -----------------------------------------------------------------------------
 
 
@@ -302,8 +327,8 @@ def get_marker(spark: SparkSession, root: str, key: str, override: str | None =
 
 
 __all__ = [
-    "MOST_LAYERS", "CommitConflict", "commit_changes", "compact", "current_version", "find_commit",
-    "get_marker", "markers", "matching", "overlay", "read_bucketed",
+    "MOST_LAYERS", "CommitConflict", "commit_changes", "compact", "current_version", "expire", "find_commit",
+    "get_marker", "markers", "matching", "mean_row_bytes", "overlay", "read_bucketed",
     "read_commit", "read_layer", "read_table", "schema_of", "set_marker", "stage_changes",
     "versions", "write_bucketed", "write_version",
 ]

@@ -396,3 +396,26 @@ def test_dates_are_strict(spark):
     }
     rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", parse_date(F.col("t")).cast("timestamp_ntz").alias("at"))
     assert {r["t"]: r["at"] for r in rows.collect()} == cases
+
+
+def test_plan_reads_no_target_document(spark, home):
+    cfg = config(spark, home)
+    planned = jobs.plan(spark, cfg)
+    row = planned.first()
+    assert (row["source_total"], row["target_total"], row["delta"], row["net"]) == (21, 20, 10, 1)
+    commit = store.read_commit(spark, cfg.target)
+    assert commit["rows"] == 20 and row["journal_bytes"] == -(-commit["bytes"] * 10 // 20)
+    scans = [line for line in planned._jdf.queryExecution().toString().split("\n") if "title" in line and "ReadSchema" in line]
+    assert not scans
+
+
+def test_expired_versions_go_and_staged_changes_stay(spark, home):
+    cfg = config(spark, home)
+    jobs.run(spark, cfg)
+    store.compact(spark, cfg.target)
+    staged = store.stage_changes(store.read_table(spark, cfg.target).withColumn("op", F.lit("index")), cfg.target)
+    newest, before = store.current_version(spark, cfg.target), content(spark, cfg)
+    gone = store.expire(spark, cfg.target, newest)
+    assert len(gone) == 3 and store.versions(spark, cfg.target) == [newest]
+    assert content(spark, cfg) == before and staged in files.names(spark, cfg.target)
+    assert store.expire(spark, cfg.target, newest + 9) == []
