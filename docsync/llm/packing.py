@@ -17,6 +17,8 @@ grow with the input. All work and memory is per shard.
 from __future__ import annotations
 
 import itertools
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,6 +31,8 @@ from docsync.session import materialize
 
 CAPACITY = 1024
 END = 2
+# Texts with white space all through such a window go to tokenizers; tiktoken fails on runs of some million.
+WINDOW = 1 << 15
 SHARD = 4096
 ISLANDS, POPULATION, CHILDREN, EPOCHS = 3, 4, 6, 2
 # Bit position of the shard number in a sequence id.
@@ -42,14 +46,32 @@ def ranks_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def blank_run(text: str) -> bool:
+    """Whether ``text`` holds a run of white space that may overflow tiktoken's stack.
+
+    Any run of ``2 * WINDOW`` characters covers a window that starts at a multiple of ``WINDOW``.
+    """
+    return len(text) >= WINDOW and any(text[at : at + WINDOW].isspace() for at in range(0, len(text) - WINDOW + 1, WINDOW))
+
+
 def load_encoder(path: str):
-    """A function from text to ids. A ``.json`` file is read by tokenizers, else by tiktoken."""
-    if path.endswith(".json"):
-        from tokenizers import Tokenizer
+    """A function from text to ids, those of tokenizers with ``add_special_tokens=False``.
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+    A ``.json`` file is read by tokenizers, else by tiktoken. Beside ranks lies the ``.json`` of
+    the same name: texts that hold one of its added tokens, or a very long run of white space,
+    are encoded by tokenizers. Without it there are no added tokens, and such runs are an error.
+    """
+    from tokenizers import Tokenizer
+
+    whole = path if path.endswith(".json") else os.path.splitext(path)[0] + ".json"
+    slow, added = None, None
+    if whole == path or os.path.exists(whole):
+        tokenizer = Tokenizer.from_file(whole)
+        slow = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+        if whole == path:
+            return slow
+        words = [token.content for token in tokenizer.get_added_tokens_decoder().values()]
+        added = re.compile("|".join(map(re.escape, words))) if words else None
     import base64
 
     import public_tokenizers
@@ -58,7 +80,13 @@ def load_encoder(path: str):
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return encoding.encode_ordinary
+
+    def encode(text: str) -> list[int]:
+        if slow and (blank_run(text) or added and added.search(text)):
+            return slow(text)
+        return encoding.encode_ordinary(text)
+
+    return encode
 
 
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:

@@ -218,6 +218,20 @@ def test_packing_many_shards_and_json_vocabulary(spark):
     assert len(rows) == 600 and len(by_sequence) <= -(-total // 1024) + 7
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|", "x<|endoftext|><|endoftext|>\n", "a" + " " * 1_200_000 + "b", "\n" * 1_200_000, "a" + " \n" * 600_000],
+)
+def test_packing_added_tokens_and_long_blanks(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    wanted = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert packing.load_encoder(packing.ranks_path())(text) == wanted
+    assert packing.load_encoder(path)(text) == wanted
+
+
 def test_crossover_keeps_every_item():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 1024, 500)
