@@ -2,8 +2,8 @@
 
 1. Each text becomes token ids and is cut into pieces; ids are made once, and only their
    digests and lengths are kept.
-2. Pieces are dealt by hash into shards of about ``SHARD`` pieces. Pieces that fill a sequence
-   alone are done.
+2. Pieces are dealt by hash of the row and its number among equal rows into shards of about
+   ``SHARD`` pieces. Pieces that fill a sequence alone are done.
 3. Every shard is evolved on several islands, a row each. A solution says which bin each piece
    is in. Crossover injects well-filled bins of one parent whole, keeps those bins of the other
    that share no piece with them, and best-fits the pieces left over. Between epochs each
@@ -35,6 +35,8 @@ END = 2
 WINDOW = 1 << 15
 SHARD = 4096
 ISLANDS, POPULATION, CHILDREN, EPOCHS = 3, 4, 6, 2
+# Number of a row among equal ones, and how many such numbers are made from one row.
+REPEAT, REPEATS = "repeat_of_row", 1 << 16
 # Bit position of the shard number in a sequence id.
 SHARD_STEP = 1 << 24
 
@@ -262,19 +264,33 @@ def _places(capacity: int):
     return run
 
 
+def _number_repeats(pieces: DataFrame) -> DataFrame:
+    """Equal rows numbered from 0 in the column ``REPEAT``: they are counted, then written out again."""
+    most = F.lit(REPEATS).cast("long")
+    counted = pieces.groupBy(*pieces.columns).agg(F.count(F.lit(1)).alias(REPEAT))
+    # In steps, so that no row's array of numbers is long.
+    steps = counted.withColumn("low", F.explode(F.sequence(F.lit(0).cast("long"), F.col(REPEAT) - 1, most)))
+    numbers = F.sequence(F.col("low"), F.least(F.col("low") + most, F.col(REPEAT)) - 1)
+    return steps.select(*pieces.columns, F.explode(numbers).alias(REPEAT))
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_size: int = SHARD) -> DataFrame:
     """``pieces(doc_id, piece, length, ...)`` with ``sequence_id`` and ``offset``.
 
     Each length is 1 to ``capacity``. Offsets in a sequence have no gaps. Repeated rows are
-    packed as often as they come.
+    packed as often as they come. Shards are dealt by the whole row and its number among equal
+    rows, so that repeats of a key, null ones too, spread over all of them.
     """
     spark = pieces.sparkSession
-    pieces = materialize(pieces, "pieces")
-    count = pieces.where(F.col("length") < capacity).count()
-    shards = max(1, -(-count // shard_size))
+    names = pieces.columns
+    pieces = materialize(_number_repeats(pieces), "pieces")
     full = F.col("length") >= capacity
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.lit("shard")), F.lit(shards)))
-    columns = ",".join(f"`{c}`" for c in pieces.columns)
+    counts = pieces.agg(F.count_if(~full).alias("short"), F.count_if(full).alias("full")).first()
+    shards, full_shards = (max(1, -(-n // shard_size)) for n in counts)
+    # Full pieces have shards of their own, so that neither kind thins out the other's.
+    own_shards = F.when(full, F.lit(full_shards)).otherwise(F.lit(shards))
+    columns = ",".join(f"`{c}`" for c in names)
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64(*names, REPEAT, F.lit("shard")), own_shards)).drop(REPEAT)
     ranked = materialize(
         dealt.where(~full).withColumn(
             "rank", F.expr(f"row_number() OVER (PARTITION BY shard ORDER BY length DESC, {columns})")
@@ -313,9 +329,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_size: int = SHARD) -
     # Sequences of one full piece are numbered below zero, by row.
     alone = dealt.where(full).withColumn("offset", F.lit(0).cast("long")).withColumn(
         "sequence_id",
-        -1 - F.expr(f"(row_number() OVER (PARTITION BY shard ORDER BY {columns}) - 1) * {shards}L + shard"),
+        -1 - F.expr(f"(row_number() OVER (PARTITION BY shard ORDER BY {columns}) - 1) * {full_shards}L + shard"),
     )
-    out = [*pieces.columns, "sequence_id", "offset"]
+    out = [*names, "sequence_id", "offset"]
     return shared.select(out).unionByName(alone.select(out))
 
 

@@ -232,6 +232,19 @@ def test_packing_added_tokens_and_long_blanks(text):
     assert packing.load_encoder(path)(text) == wanted
 
 
+def test_packing_spreads_repeated_keys(spark, monkeypatch):
+    monkeypatch.setattr(packing, "REPEATS", 64)
+    repeats = [(None, 0, 0, 1 + i % 900, i) for i in range(600)] + [(7, 0, 0, 10, 1)] * 600 + [(8, 0, 0, 1024, 1)] * 500
+    table = spark.createDataFrame(repeats, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = packing.pack(table, shard_size=100).collect()
+    check_packing(rows, None)
+    assert collections.Counter(tuple(r)[:5] for r in rows) == collections.Counter(repeats)
+    for key in (None, 7):
+        shards = collections.Counter(r.sequence_id // packing.SHARD_STEP for r in rows if r.doc_id == key)
+        assert len(shards) == 12 and max(shards.values()) < 100
+    assert len({r.sequence_id for r in rows if r.length == 1024}) == 500
+
+
 def test_crossover_keeps_every_item():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 1024, 500)
