@@ -28,6 +28,10 @@ STEPS, RATE, PENALTY = 200, 0.1, 1e-3
 BATCH_NODES = 20_000
 
 DROPPED = frozenset("script style noscript template head title svg iframe object select option textarea button".split())
+# All else ends a head whose end tag is left out.
+IN_HEAD = frozenset("html head title base link meta script style noscript noframes template".split())
+# A second one ends the first.
+NOT_NESTED = frozenset("button select option".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements that start a block; all others are inside the text of one.
 GROUPS = {
@@ -80,7 +84,13 @@ class Builder(HTMLParser):
         self.tree = Tree()
         # Open elements: tag, node (of the nearest block), node's groups, under away, under main, labelled.
         self.open = [("", -1, "box", False, False, False)]
-        self.drop: list[str] = []
+        # Open dropped elements: tag, number of blocks open inside before it, its event.
+        self.drop: list[tuple[str, int, int]] = []
+        # Since the first of them: open blocks, all that was read, and events that begin unclosed elements.
+        self.inside: list[str] = []
+        self.events: list[tuple[str, str, list]] = []
+        self.unclosed: set[int] = set()
+        self.replaying = self.skip = False
         self.run: list[str] = []
         self.linked = self.links = 0
         self.node("", ("box", ()), False, False, False)
@@ -130,14 +140,53 @@ class Builder(HTMLParser):
         self.flush()
         del self.open[at:]
 
+    def end_drop(self):
+        self.drop, self.inside, self.events, self.unclosed = [], [], [], set()
+
+    def end_unclosed(self, at):
+        """End the dropped elements from ``at`` on, which miss their end tags.
+
+        Each takes what follows up to the next edge of a block; the rest is read again.
+        """
+        self.unclosed.update(event for _, _, event in self.drop[at:])
+        if at:
+            del self.inside[self.drop[at][1] :], self.drop[at:]
+            return
+        events, unclosed = self.events, self.unclosed
+        self.end_drop()
+        if self.replaying:
+            return
+        self.replaying = True
+        for number, (handle, what, attrs) in enumerate(events):
+            if number in unclosed and not self.drop:
+                self.skip = True
+            elif handle == "start":
+                self.handle_starttag(what, attrs)
+            elif handle == "end":
+                self.handle_endtag(what)
+            else:
+                self.handle_data(what)
+        self.end_drop()
+        self.replaying = self.skip = False
+
+    def last_drop(self, tag):
+        return next((at for at in range(len(self.drop) - 1, -1, -1) if self.drop[at][0] == tag), None)
+
     def handle_starttag(self, tag, attrs):
-        if self.drop:
-            if tag == self.drop[-1]:
-                self.drop.append(tag)
+        if self.drop and (self.drop[-1][0] == "head" and tag not in IN_HEAD or self.drop[0][0] == "head" and tag == "body"):
+            self.end_drop()
+        if self.drop and tag in NOT_NESTED and (at := self.last_drop(tag)) is not None:
+            self.end_unclosed(at)
+        if self.drop or tag in DROPPED:
+            if tag in DROPPED:
+                self.drop.append((tag, len(self.inside), len(self.events)))
+            elif tag in GROUP_OF:
+                self.inside.append(tag)
+            self.events.append(("start", tag, attrs))
             return
-        if tag in DROPPED:
-            self.drop.append(tag)
+        if self.skip and tag not in GROUP_OF:
             return
+        self.skip = False
         if tag in VOID:
             if tag == "hr":
                 self.flush()
@@ -169,9 +218,9 @@ class Builder(HTMLParser):
         self.open.append((tag, len(self.tree.parent) - 1, kind[0], away, main, label))
 
     def handle_endtag(self, tag):
-        if self.drop:
-            if tag == self.drop[-1]:
-                self.drop.pop()
+        if self.drop and not self.end_of_enclosing(tag):
+            return
+        if self.skip and tag not in GROUP_OF:
             return
         if tag == "a":
             self.links = max(self.links - 1, 0)
@@ -181,21 +230,54 @@ class Builder(HTMLParser):
         self.flush()
         for at in range(len(self.open) - 1, 0, -1):
             if self.open[at][0] == tag:
+                self.skip = False
                 self.close_down_to(at)
                 return
 
+    def end_of_enclosing(self, tag):
+        """An end tag inside a dropped element; true if it closes a block around it."""
+        at = self.last_drop(tag)
+        if at == 0:
+            self.end_drop()
+            return False
+        self.events.append(("end", tag, []))
+        if at is not None:
+            del self.inside[self.drop[at][1] :], self.drop[at:]
+        elif tag in GROUP_OF and tag in self.inside:
+            block = len(self.inside) - 1 - self.inside[::-1].index(tag)
+            within = next((i for i, d in enumerate(self.drop) if d[1] > block), None)
+            if within is not None:
+                self.end_unclosed(within)
+            del self.inside[block:]
+        elif tag in GROUP_OF and any(o[0] == tag for o in self.open[1:]):
+            self.events.pop()
+            self.end_unclosed(0)
+            return True
+        return False
+
     def handle_data(self, data):
-        if not self.drop:
+        if self.drop and self.drop[-1][0] == "head" and data.strip():
+            self.end_drop()
+        if self.drop:
+            self.events.append(("data", data, []))
+        elif not self.skip:
             self.run.append(data)
             if self.links:
                 self.linked += len(data)
 
 
 def build(html: str, known: dict | None = None) -> Tree:
-    """The tree of a page. A dropped element that is never closed takes the rest of the page."""
+    """The tree of a page.
+
+    A dropped element whose end tag is missing takes what follows up to the next edge of a block;
+    it counts as missing when a block around the element or the page ends first. A head ends
+    before the first tag or text that may not be in one.
+    """
     builder = Builder({} if known is None else known)
     builder.feed(html)
     builder.close()
+    if builder.drop:
+        builder.end_unclosed(0)
     builder.flush()
     return builder.tree
 

@@ -88,6 +88,32 @@ def test_extract_awkward_rows(spark):
     assert html_text.extract(pages(spark).limit(0)).count() == 0
 
 
+MAIN = "<article><h1>A heading</h1><p>One longer sentence of text.</p>{}<p>Another sentence of the text.</p></article><footer>&copy; x</footer>"
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<html><head><title>T</title><body>" + MAIN.format(""), "<html><head><meta charset=x><title>T</title>" + MAIN.format(""),
+        "<head><title>T<body>" + MAIN.format(""), "<head><title>T" + MAIN.format(""), "<head><noscript><div>no</div></noscript>" + MAIN.format(""),
+        *(MAIN.format(f"<div><{t}>no</div>") for t in ("button", "svg", "object", "select", "noscript", "iframe", "textarea")),
+        *(MAIN.format(f"<{t}>no <b>no</b>") for t in ("button", "svg", "object", "select", "noscript", "template")),
+        MAIN.format("<select><option>no<option>no</select>"), MAIN.format("<button><p>no</p></button><svg><title>no</svg>"),
+        MAIN.format("<svg><object><div><button>no</div></object></svg>"), MAIN.format("<button>no<button>no</button>"), MAIN.format("<svg>" * 3000),
+        MAIN.format("<noscript><p>no</p></noscript><script>'<p>no'</script>"),
+    ],
+)
+def test_dropped_elements_without_end_tags(html):
+    runs = [x for x in html_text.build(html).text if x]
+    wanted = ["A heading", "One longer sentence of text.", "Another sentence of the text."]
+    assert [x for x in runs if x != "\u00a9 x"] == wanted
+    assert html_text.main_texts([html], html_text.train(), {}) == [wanted]
+
+
+def test_head_ends_at_text_of_the_body():
+    assert [x for x in html_text.build("<head><title>no</title>\n<link href=x>Plain <b>text</b>").text if x] == ["Plain text"]
+
+
 @needs_data
 def test_extract_given_pages(spark):
     import html
