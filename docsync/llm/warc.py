@@ -38,9 +38,22 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(kind: str, page) -> str:
+def payload_digest(payload: Column) -> Column:
+    """:func:`digest` of a text: five hexadecimal digits make four of base 32."""
+    sha1 = F.sha1(F.coalesce(payload, F.lit("")).cast("binary"))
+    parts = [F.lpad(F.conv(F.substring(sha1, at, 5), 16, 32), 4, "0") for at in range(1, 41, 5)]
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+
+
+def record_id(kind: str, capture) -> str:
     """The same identifier each time a task writes the record."""
-    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{kind}:{page}')}>"
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{kind}:{capture}')}>"
+
+
+def capture_name(page: Column, own_digest: Column, number: Column, repeated: Column) -> Column:
+    """What record ids are made of: the page_id, if that repeats also the digest and a number among equals."""
+    page = F.coalesce(page.cast("string"), F.lit("None"))
+    return F.when(repeated, F.concat_ws(":", page, own_digest, number.cast("string"))).otherwise(page)
 
 
 def one_line(text: str | None) -> str:
@@ -53,65 +66,66 @@ def build_record(kind: str, headers: list[tuple[str, str]], block: str) -> str:
     return "\r\n".join(lines) + "\r\n\r\n" + block
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        payloads = [(p.as_py() or "").encode() for p in batch.column(1)]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0), pa.array([digest(p) for p in payloads], pa.string()),
-                pa.array([len(p) for p in payloads], pa.int64()),
-            ],
-            names=["page_id", "digest", "bytes"],
-        )
-
-
 def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """``(page_id, digest, bytes, refers_to)``: of equal payloads all but the largest page_id refer to it.
+    """``(page_id, digest, bytes, repeated, refers_to, refers_repeated)``: of equal payloads all but the largest page_id refer to it.
 
-    The winner of each digest is a grouped maximum. A digest may hold a large part of all
-    rows, so the winners of repeated digests are copied to ``SALTS`` salts and joined on both.
+    ``repeated`` tells whether the page_id comes more than once, ``refers_repeated`` the same of
+    ``refers_to``. A null page_id is never referred to. The winner of each digest is a grouped
+    maximum. A digest may hold a large part of all rows, so the winners of repeated digests are
+    copied to ``SALTS`` salts and joined on both.
     """
+    html = F.col("html").cast("string")
     digests = materialize(
-        pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
-        .mapInArrow(_digests, "page_id long, digest string, bytes long"),
+        pages.select(
+            F.col("page_id").cast("long").alias("page_id"), payload_digest(html).alias("digest"),
+            F.coalesce(F.octet_length(html), F.lit(0)).cast("long").alias("bytes"),
+        ),
         "digests",
     )
+    many = digests.groupBy(F.col("page_id").alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    many = many.withColumn("found", F.lit(True))
+    digests = digests.join(many, F.col("page_id").eqNullSafe(F.col("id")), "left").select(
+        "page_id", "digest", "bytes", F.coalesce("found", F.lit(False)).alias("repeated")
+    )
     again = (
         digests.where(F.col("bytes") >= least_bytes).groupBy("digest", "bytes")
-        .agg(F.max("page_id").alias("winner"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        .agg(F.max(F.struct("page_id", "repeated")).alias("winner"), F.count(F.lit(1)).alias("n")).where("n > 1")
         .select("digest", "bytes", "winner", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     )
     salted = digests.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    refers = ~F.col("winner.page_id").eqNullSafe(F.col("page_id"))
     return salted.join(again, ["digest", "bytes", "salt"], "left").select(
-        "page_id", "digest", "bytes", F.when(F.col("winner") != F.col("page_id"), F.col("winner")).alias("refers_to")
+        "page_id", "digest", "bytes", "repeated", F.when(refers, F.col("winner.page_id")).alias("refers_to"),
+        F.when(refers, F.col("winner.repeated")).alias("refers_repeated"),
     )
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for page, url, html, own_digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for page, name, url, html, own_digest, refers_to, refers_name in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             html, uri = html or "", one_line(url)
             base = [("WARC-Target-URI", uri), ("WARC-Date", DATE)]
-            mine = [("WARC-Concurrent-To", record_id("response", page)), ("X-Page-Id", str(page))]
+            number = [] if page is None else [("X-Page-Id", str(page))]
+            mine = [("WARC-Concurrent-To", record_id("response", name)), *number]
             out.append(build_record(
                 "request",
-                [("WARC-Record-ID", record_id("request", page)), *base, *mine, ("Content-Type", "application/http; msgtype=request")],
+                [("WARC-Record-ID", record_id("request", name)), *base, *mine, ("Content-Type", "application/http; msgtype=request")],
                 f"GET {uri} HTTP/1.1\r\n\r\n",
             ))
             own = [
-                ("WARC-Record-ID", record_id("response", page)), *base, ("X-Page-Id", str(page)),
+                ("WARC-Record-ID", record_id("response", name)), *base, *number,
                 ("WARC-Payload-Digest", f"sha1:{own_digest}"), ("Content-Type", "application/http; msgtype=response"),
             ]
             head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(html.encode())}\r\n\r\n"
             if refers_to is None:
                 out.append(build_record("response", own, head + html))
             else:
-                own += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id("response", refers_to)), ("X-Refers-To-Page", str(refers_to))]
+                own += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id("response", refers_name)), ("X-Refers-To-Page", str(refers_to))]
                 out.append(build_record("revisit", own, head))
             out.append(build_record(
                 "metadata",
-                [("WARC-Record-ID", record_id("metadata", page)), *base, *mine, ("Content-Type", "application/warc-fields")],
+                [("WARC-Record-ID", record_id("metadata", name)), *base, *mine, ("Content-Type", "application/warc-fields")],
                 f"via: corpus\r\npayload-bytes: {len(html.encode())}\r\n",
             ))
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
@@ -121,22 +135,34 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     """Archive ``pages(page_id, url, html)`` under ``path``, gzipped: three records per row.
 
     A null html is an empty payload, a null url an empty one. Of equal payloads of at least
-    ``least_bytes`` bytes the largest page_id is a response and the others revisit it. page_id
-    should be unique; rows that repeat one are written as often as they come.
+    ``least_bytes`` bytes the largest page_id is a response and the others revisit it. Rows that
+    repeat a page_id are captures of their own, with ids of their own; of equal payloads under the
+    largest page_id each is a response, and one of them is the one revisited. A null page_id
+    has no header; it refers to others, but is not referred to.
     """
     pages = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.col("html").cast("string").alias("html"),
     )
-    known = materialize(revisits(pages, least_bytes), "revisits").dropDuplicates(["page_id", "bytes"])
-    mean = known.agg(F.avg("bytes")).first()[0] or 0
+    known = revisits(pages, least_bytes)
+    known = materialize(known.groupBy(*known.columns).agg(F.count(F.lit(1)).alias("equal")), "revisits")
+    mean = known.agg(F.sum(F.col("bytes") * F.col("equal")) / F.sum("equal")).first()[0] or 0
     per_file = 3 * max(1, int(FILE_BYTES // (mean + 2000)))
-    rows = pages.join(
-        known.select(F.col("page_id").alias("id"), "digest", "refers_to", F.col("bytes")),
-        F.col("page_id").eqNullSafe(F.col("id")) & (F.coalesce(F.octet_length("html"), F.lit(0)) == F.col("bytes")),
-        "left",
+    # One key, never null: the payloads are shuffled once, at every size, and numbered where they lie.
+    def key(own_digest: Column) -> Column:
+        return F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("None")), own_digest)
+
+    sought = known.select(key(F.col("digest")).alias("key"), "refers_to", "repeated", "refers_repeated")
+    own = pages.withColumn("digest", payload_digest(F.col("html"))).withColumn("key", key(F.col("digest")))
+    rows = own.join(sought.hint("merge"), "key").withColumn(
+        "number", F.expr("row_number() OVER (PARTITION BY key ORDER BY key)")
+    )
+    name = capture_name(F.col("page_id"), F.col("digest"), F.col("number"), F.col("repeated"))
+    refers_name = capture_name(F.col("refers_to"), F.col("digest"), F.lit(1), F.col("refers_repeated"))
+    rows = rows.select(
+        "page_id", name.alias("name"), "url", "html", "digest", "refers_to", refers_name.alias("refers_name")
     )
-    rows.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(_records, "value string").write.option(
+    rows.mapInArrow(_records, "value string").write.option(
         "lineSep", RECORD_END
     ).option("compression", "gzip").option("maxRecordsPerFile", str(per_file)).text(path)
 
@@ -235,7 +261,7 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     rows = captures(read_warc(spark, path), tuple(c for c in PARTS if c != "payload"))
 
     def number(header: str) -> Column:
-        return F.col("response.headers")[header].cast("long")
+        return F.col("response.headers")[header].try_cast("long")
 
     metadata = F.decode(F.col("metadata")[0]["payload"], "UTF-8")
     return rows.select(

@@ -150,6 +150,31 @@ def test_archive_round_trip(spark):
     assert warc.archive_round_trip(pages(spark).limit(0)).count() == 0
 
 
+def test_archive_of_repeated_and_null_ids(spark, home):
+    rows = [
+        (1, "a", "one"), (1, "b", "two"), (1, "b", "two"), (2, "c", "two"), (2, "c", "two"), (None, "d", "two"), (None, "e", "own"),
+        (None, "e", "own"), (None, None, None), (3, "f", "one"), (4, "g", "alone"),
+    ]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    last = {"two": 2, "one": 3}
+    wanted = []
+    for i, _, html in rows:
+        payload = (html or "").encode()
+        refers = last.get(html) if last.get(html) != i else None
+        wanted.append((i, len(payload), warc.digest(payload), "response" if refers is None else "revisit", refers, 1))
+    assert sorted(map(tuple, warc.archive_round_trip(table).collect()), key=repr) == sorted(wanted, key=repr)
+    warc.write_warc(table, home)
+    records = warc.read_warc(spark, home).collect()
+    ids = {r.record_id for r in records}
+    assert len(ids) == len(records) == 3 * len(rows)
+    payloads = {r.record_id: r.payload_sha1 for r in records if r.kind == "response"}
+    for r in records:
+        if r.kind == "revisit":
+            assert f"sha1:{payloads[r.refers_to]}" == r.payload_digest
+    captures = warc.captures(warc.read_warc(spark, home)).collect()
+    assert sorted(c.response.target_uri for c in captures) == sorted(u or "" for _, u, _ in rows)
+
+
 @needs_data
 def test_archive_of_given_pages(spark):
     table = spark.read.parquet(f"{SF}/pages.parquet")
