@@ -11,6 +11,7 @@ Fitted on at most ``ROWS_PER_LANGUAGE`` texts per language; every text is scored
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,9 +35,10 @@ PIECE = 1 << 18
 UNKNOWN = "und"
 
 
+@functools.cache
 def letter_table() -> np.ndarray:
-    """True for letters of the basic plane; everything above counts as a letter."""
-    return np.array([chr(c).isalpha() for c in range(0x10000)] + [True])
+    """True for letters, by code point; made once per process."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
 def count_ngrams(text: str, letters: np.ndarray) -> np.ndarray | None:
@@ -47,7 +49,7 @@ def count_ngrams(text: str, letters: np.ndarray) -> np.ndarray | None:
         # Pieces overlap by the n-gram length, so that no n-gram is lost or counted twice.
         piece = text[max(start - ORDERS + 1, 0) : start + PIECE].lower()
         code = np.frombuffer(piece.encode("utf-32-le", "replace"), np.uint32)
-        is_letter = letters[np.minimum(code, 0x10000)]
+        is_letter = letters[code]
         seen = seen or bool(is_letter.any())
         code = np.where(is_letter, code, 32)
         edge = np.full(1, 32, np.uint32)

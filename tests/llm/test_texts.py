@@ -147,6 +147,16 @@ def test_language_awkward_rows(spark):
     assert {r.lang_pred for r in langid.predict(documents(spark), langid.fit(no_documents(spark))).collect()} == {"und"}
 
 
+def test_emoji_are_not_letters(spark):
+    model = langid.fit(documents(spark))
+    texts = ["\U0001f600\U0001f680", "12 \U0001f600 3", "\U0001f600" * 300_000, "\U00020000\U00020001 \U0001d400"]
+    rows = {r.doc_id: r for r in langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert all((rows[i].lang_pred, rows[i].score, rows[i].rejected) == ("und", 0.0, True) for i in range(3))
+    assert rows[3].lang_pred != "und"
+    letters = langid.letter_table()
+    assert (langid.count_ngrams("abc \U0001f600 def", letters) == langid.count_ngrams("abc ! def", letters)).all()
+
+
 def test_long_text_counts_each_ngram_once():
     letters = langid.letter_table()
     text = "abc def " * 50_000
