@@ -120,6 +120,31 @@ CUTS = [
     (r"(:)[ \t\r]*\n", "{0}" + MARK),
 ]
 
+# The registered SQL is made of the tables above. The scan goes further, by these.
+# Between words any white space or comment mark.
+ANY_CUE = CUE.replace(" ", "[^a-z0-9]+")
+# Words that end no sentence; a line after them continues it.
+OPEN_ENDS = "a|above|all|and|by|of|or|provided that|reproduce|retain|that|the|to|whom"
+ALL_CUTS = [
+    *CUTS[:2],
+    (rf"(?i)(?<!\b(?:{OPEN_ENDS})[ \t\r]{{0,9}})\n[ \t]*({STARTS})", CUTS[2][1]),
+    CUTS[3],
+    # Not in "v. 2.0", and not before the version of the GPL-2 and LGPL notices.
+    (r"(?i)((?<!\bv)[.!?;])[ \t\r\n]++(?!either version)", CUTS[4][1]),
+    CUTS[5],
+    (r"(?i)(:)\s+(?=you can redistribute)", "{0}" + MARK),
+]
+# SPDX identifiers in normal form; ahead of the sentences above, which take -or-later for the bare version.
+SPDX = {
+    "BSD-2-Clause": ("SpdxBSD2", "bsd 2 clause"), "ISC": ("SpdxISC", "isc"), "MPL-2.0": ("SpdxMPL2", "mpl 2 0"),
+    "GPL-2.0-or-later": ("SpdxGPL2Later", "gpl 2 0 or later"), "GPL-3.0-or-later": ("SpdxGPL3Later", "gpl 3 0 or later"),
+    "LGPL-2.1-or-later": ("SpdxLGPL21Later", "lgpl 2 1 or later"), "AGPL-3.0-or-later": ("SpdxAGPL3Later", "agpl 3 0 or later"),
+    "CC-BY-4.0": ("SpdxCCBY", "cc by 4 0"), "CC-BY-SA-4.0": ("SpdxCCBYSA", "cc by sa 4 0"), "CC-BY-NC-4.0": ("SpdxCCBYNC", "cc by nc 4 0"),
+    "CC-BY-NC-SA-4.0": ("SpdxCCBYNCSA", "cc by nc sa 4 0"), "CC-BY-ND-4.0": ("SpdxCCBYND", "cc by nd 4 0"), "CC0-1.0": ("SpdxCC0", "cc0 1 0"),
+}
+ALL_SENTENCES = [*((name, f"spdx license identifier {x}") for name, x in SPDX.values()), *SENTENCES]
+ALL_RULES = [*RULES[:-1], *((licence, [name]) for licence, (name, _) in SPDX.items()), RULES[-1]]
+
 
 def step(names: list[str]) -> str:
     return "|" + "|".join(names) + "|"
@@ -127,7 +152,7 @@ def step(names: list[str]) -> str:
 
 def sentences(text: Column) -> Column:
     """Sentences in normal form."""
-    for pattern, by in CUTS:
+    for pattern, by in ALL_CUTS:
         text = F.regexp_replace(text, F.lit(pattern), F.lit(by.replace("{0}", "$1")))
     parts = F.split(F.translate(text, UPPER, LOWER), MARK)
     return F.transform(parts, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
@@ -136,7 +161,7 @@ def sentences(text: Column) -> Column:
 def identifier(sentence: Column) -> Column:
     """Identifier of a known sentence, else null."""
     found = None
-    for name, pattern in SENTENCES:
+    for name, pattern in ALL_SENTENCES:
         test = sentence.rlike(f"^({pattern})$")
         found = F.when(test, name) if found is None else found.when(test, name)
     return found
@@ -148,7 +173,7 @@ def match_rules(sequence: Column) -> Column:
     Neighbouring identifiers share a bar; bars are doubled for matching, so that a sequence
     matched twice in a row is found twice.
     """
-    rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(step(s).replace("|", "||")[1:-1]).alias("steps")) for n, s in RULES])
+    rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(step(s).replace("|", "||")[1:-1]).alias("steps")) for n, s in ALL_RULES])
     start = F.struct(F.replace(sequence, F.lit("|"), F.lit("||")).alias("rest"), F.array().cast("array<string>").alias("names"))
     return F.aggregate(
         rules, start,
@@ -167,7 +192,7 @@ def scan(docs: DataFrame) -> DataFrame:
     A null or empty text has none of them. Other columns are ignored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    cued = F.translate(text, UPPER, LOWER).rlike(CUE)
+    cued = F.translate(text, UPPER, LOWER).rlike(ANY_CUE)
     rows = docs.select("doc_id", F.when(cued, text).otherwise(F.lit("")).alias("t"))
     cut = rows.select("doc_id", F.filter(sentences(F.col("t")), lambda s: s.rlike(CUE + "|software|notice|license|liable|version")).alias("s"))
     known = cut.select("doc_id", F.filter(F.transform("s", identifier), lambda x: x.isNotNull()).alias("ids"))
@@ -185,7 +210,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same scan in SQL, made from the same tables."""
+    """The scan in SQL, by the tables that it shares with the code; it lacks ``ALL_CUTS``, ``ANY_CUE`` and ``SPDX``."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     # E-strings for the mark; patterns have no quote.
     mark = "chr(1)"

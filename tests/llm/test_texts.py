@@ -67,6 +67,55 @@ def test_licence_sequences(spark):
     assert got[6].licenses == ["CC-BY-NC-4.0"]
 
 
+GNU = (
+    "This {what} is free software{mark} you can redistribute it and/or modify\nit under the terms of the GNU {name} as published by\n"
+    "the Free Software Foundation{sep} either version {version} of the License, or\n(at your option) any later version.\n\n"
+    "This {what} is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\n"
+    "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU {name} for more details.\n"
+)
+GPL, LGPL, AGPL = "General Public License", "Lesser General Public License", "Affero General Public License"
+BSD = (
+    "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n"
+    "1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n"
+    "2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n"
+    "   and/or other materials provided with the distribution.\n\n{}"
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\"\nAND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE\n"
+    "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE\nDISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE\n"
+)
+NAMES_3 = (
+    "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n"
+    "   this software without specific prior written permission.\n\n"
+)
+CC = "This work is licensed under a Creative Commons {} 4.0 International License."
+NOTICES = [
+    ("GPL-2.0-or-later", GNU.format(what="program", mark=";", sep=";", name=GPL, version=2)),
+    ("GPL-3.0-or-later", GNU.format(what="program", mark=":", sep=",", name=GPL, version=3)),
+    ("LGPL-2.1-or-later", GNU.format(what="library", mark=";", sep=";", name=LGPL, version="2.1")),
+    ("AGPL-3.0-or-later", GNU.format(what="program", mark=":", sep=",", name=AGPL, version=3)),
+    ("BSD-2-Clause", BSD.format("")), ("BSD-3-Clause", BSD.format(NAMES_3)),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n"
+     "    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS,\n"
+     "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and\nlimitations under the License.\n"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.\n"),
+    ("CC-BY-4.0", CC.format("Attribution")), ("CC-BY-SA-4.0", CC.format("Attribution-ShareAlike")), ("CC-BY-NC-4.0", CC.format("Attribution-NonCommercial")),
+    ("CC-BY-NC-SA-4.0", CC.format("Attribution-NonCommercial-ShareAlike")), ("CC-BY-ND-4.0", CC.format("Attribution-NoDerivatives")),
+    ("CC0-1.0", "This work is licensed under CC0 1.0 Universal."), ("public domain", "This work has been placed in the public\ndomain."),
+    ("MIT", "This project is licensed under the terms of the MIT license."), ("GPL-2.0", "Licensed under the GNU General Public License, version 2."),
+    ("GPL-3.0", "Licensed under the GNU General Public License, version 3."), ("all rights reserved", "Copyright 2020 A. All rights\nreserved."),
+]
+
+
+def test_each_rule_on_its_published_notice(spark):
+    assert {n for n, _ in NOTICES} == {n for n, _ in licenses.RULES}
+    ids = [n for n, _ in NOTICES if n not in ("public domain", "all rights reserved")]
+    wanted = [*NOTICES, *((n, "# " + "\n# ".join(t.splitlines())) for n, t in NOTICES), *((n, f"// SPDX-License-Identifier: {n}\nint x;") for n in ids)]
+    table = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(wanted)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(table).collect()}
+    assert {i: got[i].licenses for i in got} == {i: [n] for i, (n, _) in enumerate(wanted)}
+    assert all(got[i].unmatched == 0 for i in got)
+
+
 # Quality
 
 
