@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docsync.llm import cover_tree, decontaminate, html_text, langid, licenses, packing, quality, toxicity, warc
+from docsync.llm import cover_tree, decontaminate, hard_negatives, html_text, langid, licenses, packing, quality, toxicity, warc
 from docsync.llm.minhash import near_duplicates
 from docsync.session import tune
 
@@ -64,6 +65,13 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.withColumn("label", moved)
+    return hard_negatives.mine(rows.where("vec_id % 50 = 0"), rows)
+
+
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_quality": op2_quality,
@@ -75,6 +83,7 @@ QUERIES = {
     "op8_html": op8_html,
     "op10_warc": op10_warc,
     "op9_decontamination": op9_decontamination,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 # Exact scores as sums over positions; the query set is one row in fifty against all rows.
@@ -93,4 +102,5 @@ ORACLE: dict[str, str] = {
     "op1_licenses": licenses.oracle(),
     "op3_cover_tree": TOP_K,
     "op9_decontamination": decontaminate.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
 }
