@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsync.llm import cover_tree, decontaminate, hard_negatives, html_text, langid, licenses, packing, quality, toxicity, warc
+from docsync.llm import cover_tree, decontaminate, hard_negatives, html_text, langid, lexical, licenses, packing, quality, toxicity, warc
 from docsync.llm.minhash import near_duplicates
 from docsync.session import tune
 
@@ -65,6 +65,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -83,6 +87,7 @@ QUERIES = {
     "op8_html": op8_html,
     "op10_warc": op10_warc,
     "op9_decontamination": op9_decontamination,
+    "op11_lexical": op11_lexical,
     "op12_hard_negatives": op12_hard_negatives,
 }
 
@@ -102,5 +107,6 @@ ORACLE: dict[str, str] = {
     "op1_licenses": licenses.oracle(),
     "op3_cover_tree": TOP_K,
     "op9_decontamination": decontaminate.ORACLE,
+    "op11_lexical": lexical.ORACLE,
     "op12_hard_negatives": hard_negatives.ORACLE,
 }
