@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsync.llm import cover_tree, decontaminate, hard_negatives, html_text, langid, lexical, licenses, packing, quality, toxicity, warc
+from docsync.llm import cover_tree, decontaminate, hard_negatives, html_text, langid, lexical, licenses, packing, quality, suffix_tree, toxicity, warc
 from docsync.llm.minhash import near_duplicates
 from docsync.session import tune
 
@@ -76,6 +76,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows.where("vec_id % 50 = 0"), rows)
 
 
+def op13_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_held_out(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_quality": op2_quality,
@@ -89,6 +93,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op11_lexical": op11_lexical,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_suffix_tree": op13_suffix_tree,
 }
 
 # Exact scores as sums over positions; the query set is one row in fifty against all rows.
