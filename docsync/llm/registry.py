@@ -15,11 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
     Tables written on the way are compressed by zstd: smaller on the shared disk than the
     default, and read through heap buffers, where the default codec leaves direct buffers to the
-    garbage collector.
+    garbage collector. Shuffle files go when the action that wrote them has ended.
     """
     tune(spark)
     spark.conf.set("spark.sql.parquet.compression.codec", "zstd")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
