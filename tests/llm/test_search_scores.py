@@ -287,7 +287,7 @@ def same_scores(got, want):
 @pytest.mark.parametrize("depth, head", [(2, 40), (1, 1 << 20), (3, 0)])
 def test_scores_equal_brute_force(spark, monkeypatch, depth, head):
     """Also with most or all entries looked up by the join, and counts sent in many parts."""
-    for name, value in (("HEAD", head), ("MIN_CONTEXT", 8), ("FLUSH", 3000), ("SLICE", 100)):
+    for name, value in (("HEAD", head), ("MIN_GRAM", 4), ("MIN_CONTEXT", 8), ("THRESHOLD", 6.0), ("FLUSH", 3000), ("SLICE", 100)):
         monkeypatch.setattr(suffix_tree, name, value)
     rows = texts_with_habits()
     want, kept = brute_scores(rows, depth)
