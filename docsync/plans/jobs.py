@@ -23,12 +23,12 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docsync.functions import from_document, to_document
+from docsync.functions import fingerprint, from_document, to_document
 from docsync.functions.types import struct_of
 from docsync.operators import checks
 from docsync.operators.checks import GateFailed
 from docsync.operators.diff import presence
-from docsync.operators.extract import delta
+from docsync.operators.extract import delta, touched
 from docsync.operators.journal import number, preimage, undo_changes
 from docsync.operators.outcome import DEAD_LETTER, rejected
 from docsync.operators.schema import align, extend, misfit, remove_fields
@@ -73,6 +73,8 @@ STATE = struct_of(
     staged="string",
     layer="string",
     offending="string",
+    from_version="int",
+    inclusive="boolean",
 )
 
 
@@ -82,8 +84,9 @@ class SyncConfig:
 
     ``source`` is a function returning the source rows, or the root of a versioned table.
     ``target`` is the root of a versioned table with a string or integer ``id``. ``ts_field``
-    None copies everything; it must be a timestamp column. ``home`` is the folder of run states,
-    journals and dead letters. ``unknown`` says what happens to source columns that the target
+    None copies everything; it must be a timestamp column. ``since`` is the cutover, by default the
+    marker's, or ``last``: behind the last good run (see :func:`continue_from`). ``home`` is the folder of
+    run states, journals and dead letters. ``unknown`` says what happens to source columns that the target
     lacks: ``extend`` adds them to the target, ``drop`` leaves them out; ``strict`` rejects rows
     that have a value there.
     """
@@ -170,6 +173,8 @@ class RunState:
     staged: str | None = None
     layer: str | None = None
     offending: str | None = None
+    from_version: int = 0
+    inclusive: bool = False
     started: float = field(default_factory=time.time, repr=False, compare=False)
 
 
@@ -308,12 +313,73 @@ def copy_table(
 # ---- phases ------------------------------------------------------------------------------
 
 
-def preflight(spark: SparkSession, cfg: SyncConfig) -> dt.datetime | None:
-    """Lower bound of the delta window; fails on a bad cutover or a moving source."""
+LAST = "last"
+
+
+def _runs(spark: SparkSession, cfg: SyncConfig) -> list[str]:
+    """Ids of the recorded runs, newest first."""
+    return sorted({n.rsplit("-", 1)[0] for n in files.names(spark, cfg.states)}, reverse=True)
+
+
+def _state_of(spark: SparkSession, cfg: SyncConfig, run_id: str) -> RunState | None:
+    """Last recorded step of a run."""
+    steps = [n for n in files.names(spark, cfg.states) if n.rsplit("-", 1)[0] == run_id]
+    records = (files.read_json(spark, f"{cfg.states}/{n}") for n in reversed(steps))
+    return next((RunState(**r) for r in records if r is not None), None)
+
+
+def _undone(spark: SparkSession, cfg: SyncConfig) -> dict[str, int]:
+    """Runs whose effect on the target was taken back, with the version that did it."""
+    tags = {v: store.read_commit(spark, cfg.target, v)["tag"] for v in store.versions(spark, cfg.target)}
+    return {t["run_id"]: v for v, t in tags.items() if t.get("batch", "").startswith("undo-")}
+
+
+def continue_from(spark: SparkSession, cfg: SyncConfig) -> RunState | None:
+    """The run that a run with ``since="last"`` continues: the newest good one that still holds.
+
+    A run no longer holds when it, or one before it, was undone since.
+
+    A versioned source is continued behind the version that run read, by the change sets committed
+    since (:func:`store.changes_between`): no timestamp is looked at. Any other source is read
+    from that run's watermark on, inclusively, since rows of the same time may have come later;
+    rows that the target holds already with the same content are then left out.
+    """
+    undone = _undone(spark, cfg)
+    for run_id in _runs(spark, cfg):
+        state = _state_of(spark, cfg, run_id)
+        if state is None or state.outcome != OUTCOMES[0] or state.src != cfg.source_name:
+            continue
+        if not any(u <= run_id and state.base_version < version for u, version in undone.items()):
+            return state
+    return None
+
+
+def _refuse_keys(schema: T.StructType) -> None:
+    """Journals are JSON, whose objects have string keys: other maps could not be undone."""
+
+    def check(kind: T.DataType, path: str) -> None:
+        if isinstance(kind, T.StructType):
+            for field in kind.fields:
+                check(field.dataType, f"{path}.{field.name}" if path else field.name)
+        elif isinstance(kind, T.ArrayType):
+            check(kind.elementType, path)
+        elif isinstance(kind, T.MapType):
+            if not isinstance(kind.keyType, T.StringType):
+                raise GateFailed(f"{path} is a map with {kind.keyType.simpleString()} keys, which a journal cannot hold")
+            check(kind.valueType, path)
+
+    check(schema, "")
+
+
+def preflight(spark: SparkSession, cfg: SyncConfig, continued: bool = False) -> dt.datetime | None:
+    """Lower bound of the delta window; fails on a bad cutover, a moving source or types that
+    could not be undone. A run that continues another has no cutover."""
     bound = None
-    if cfg.ts_field is not None:
+    for schema in (cfg.read_source(spark).schema, store.schema_of(store.read_commit(spark, cfg.target))):
+        _refuse_keys(schema)
+    if cfg.ts_field is not None and not continued:
         since = cfg.since
-        if since is None:
+        if since in (None, LAST):
             root = cfg.source if isinstance(cfg.source, str) else cfg.target
             since = store.get_marker(spark, root, "cutover_at")
         bound = checks.lower_bound(since, cfg.margin)
@@ -355,12 +421,17 @@ def _target_schema(spark: SparkSession, cfg: SyncConfig, src: DataFrame, version
 
 def _stage_delta(spark: SparkSession, cfg: SyncConfig, state: RunState, schema: T.StructType, op: str) -> None:
     """The window's rows to the shared folder, in one pass over the source, and their counters."""
-    src = cfg.read_source(spark, state.src_version)
-    window = delta(src, cfg.ts_field, _bound_column(src, cfg, state.since), op)
+    if state.from_version:
+        feed = store.changes_between(spark, cfg.source, state.from_version, state.src_version)
+        window = feed.where("change = 'upsert'").drop("change")
+    else:
+        src = cfg.read_source(spark, state.src_version)
+        op = "gte" if state.inclusive else op
+        window = delta(src, cfg.ts_field, _bound_column(src, cfg, state.since), op)
     state.total = window.count()
     staged = remove_fields(window, cfg.remove)
     seen = Observation()
-    high = F.max(cfg.ts_field) if cfg.ts_field in staged.columns else F.lit(None).cast("timestamp")
+    high = F.max(cfg.ts_field).cast("string") if cfg.ts_field in staged.columns else F.lit(None).cast("string")
     marked = staged.withColumn("_reject", misfit(staged, schema, cfg.strict)).observe(
         seen,
         F.count(F.lit(1)).alias("seen"),
@@ -371,7 +442,7 @@ def _stage_delta(spark: SparkSession, cfg: SyncConfig, state: RunState, schema:
     marked.write.parquet(path)
     facts = seen.get
     state.seen, state.dl_count = facts["seen"], facts["dead"]
-    state.watermark = str(facts["high"]) if facts["high"] is not None else None
+    state.watermark = facts["high"] or state.watermark
     state.staged = path
 
 
@@ -393,11 +464,34 @@ def delta_sync(spark: SparkSession, cfg: SyncConfig, state: RunState, op: str =
         )
         # Of several attempts the last one counts, also when nothing is left to reject.
         _write_dead(rejected(bad, "delta"), cfg, state, f"delta-{state.attempt:04d}")
-    good = align(changes.where("_reject is null").drop("_reject"), schema).withColumn("op", F.lit("index"))
+    good = align(changes.where("_reject is null").drop("_reject"), schema)
+    if state.inclusive or state.from_version:
+        good = _not_yet_applied(spark, cfg, state, good)
+    good = good.withColumn("op", F.lit("index"))
     state.synced = _apply(spark, cfg, state, good, schema, f"delta-{state.attempt}")["n"]
     state.phase, state.staged = "DELTA_DONE", None
 
 
+def _not_yet_applied(spark: SparkSession, cfg: SyncConfig, state: RunState, rows: DataFrame) -> DataFrame:
+    """Rows that the target does not hold with the same content.
+
+    Only ids and fingerprints of the rows that may have been applied meet: those at the
+    watermark itself, or all rows of a change feed.
+    """
+    payload = [c for c in rows.columns if c != "id"]
+    again = F.lit(True)
+    if state.inclusive and cfg.ts_field in rows.columns:
+        again = F.coalesce(F.col(cfg.ts_field) == _bound_column(rows, cfg, state.since), F.lit(False))
+    asked = rows.where(again)
+    held = touched(store.read_table(spark, cfg.target, state.base_version), asked)
+    if [c for c in payload if c not in held.columns]:
+        return rows  # new columns: every row is applied again
+    same = asked.select("id", fingerprint(asked, payload).alias("_print")).join(
+        held.select("id", fingerprint(held, payload).alias("_print")), ["id", "_print"], "left_semi"
+    )
+    return rows.join(same.select("id"), "id", "left_anti").select(*rows.columns)
+
+
 def _write_dead(records: DataFrame, cfg: SyncConfig, state: RunState, batch: str) -> None:
     path = f"{cfg.dead}/run_id={state.run_id}/batch_id={batch}"
     records.write.mode("overwrite").json(path)
@@ -692,7 +786,13 @@ def run(spark: SparkSession, cfg: SyncConfig) -> RunState:
     open_run = load_state(spark, cfg)
     if open_run is not None and open_run.phase != "DONE":
         raise RunConflict(f"run {open_run.run_id} is in phase {open_run.phase}: resume it")
-    bound = preflight(spark, cfg)
+    before = continue_from(spark, cfg) if cfg.since == LAST else None
+    feed = before is not None and before.src_version > 0
+    if before is not None and not feed and before.watermark is None:
+        before = None
+    bound = preflight(spark, cfg, before is not None)
+    if before is not None and not feed:
+        bound = dt.datetime.fromisoformat(before.watermark).replace(tzinfo=dt.timezone.utc)
     version = store.current_version(spark, cfg.target)
     state = RunState(
         table=cfg.table,
@@ -705,6 +805,9 @@ def run(spark: SparkSession, cfg: SyncConfig) -> RunState:
         base_version=version,
         version=version,
         src_version=cfg.source_version(spark),
+        watermark=before.watermark if before is not None else None,
+        from_version=before.src_version if feed else 0,
+        inclusive=before is not None and not feed,
     )
     _save(spark, cfg, state)
     return _advance(spark, cfg, state)
@@ -741,31 +844,42 @@ def abandon(spark: SparkSession, cfg: SyncConfig) -> None:
 def undo(
     spark: SparkSession, cfg: SyncConfig, run_id: str | None = None, force: bool = False
 ) -> int:
-    """Puts the target back to the state before a run, by default the newest that changed it.
+    """Puts the target back to the state before a run: rows, and the schema it started from.
 
-    Returns the new version number. Refused when the run has no journal, and when the target was
-    written by others since, unless ``force`` accepts that their changes to the same ids go.
+    By default that is the newest run with a visible change set that was not undone yet; runs that
+    ended before they changed anything do not count, and a second call undoes the run before.
+    Returns the new version number. Refused when there is nothing to undo, and when the target was
+    written by others since, unless ``force`` accepts that their changes to the same ids go; the
+    newest schema is kept then.
     """
     tune(spark)
-    runs = sorted({n.rsplit("-", 1)[0] for n in files.names(spark, cfg.states)}, reverse=True)
-    wanted = [run_id] if run_id else runs
-    journals = ((r, read_journal(spark, cfg.journal, r)) for r in wanted)
-    run_id, journal = next(((r, j) for r, j in journals if not j.isEmpty()), (None, None))
-    if journal is None:
-        raise RunConflict(f"no journal of {cfg.table} to undo")
-    version = store.current_version(spark, cfg.target)
+    undone, others = _undone(spark, cfg), None
     for number_ in reversed(store.versions(spark, cfg.target)):
-        tag = store.read_commit(spark, cfg.target, number_)["tag"]
-        if tag.get("run_id") == run_id:
+        owner = store.read_commit(spark, cfg.target, number_)["tag"].get("run_id")
+        if owner in undone and owner != run_id:
+            continue
+        if owner is not None and run_id is None and _state_of(spark, cfg, owner):
+            if read_journal(spark, cfg.journal, owner).isEmpty():
+                continue  # an empty change set
+            run_id = owner
+        if owner is not None and owner == run_id:
             break
-        if not force:
-            raise RunConflict(f"{cfg.target} was written since run {run_id}: version {number_}")
-    schema = store.schema_of(store.read_commit(spark, cfg.target, version))
-    changes = undo_changes(journal, schema, cfg.routing)
-    name = store.stage_changes(changes, cfg.target)
-    return store.commit_changes(
-        spark, cfg.target, name, version, {"run_id": run_id, "batch": f"undo-{uuid.uuid4().hex}"}
-    )
+        others = others or number_
+    else:
+        raise RunConflict(f"no journal of {cfg.table} to undo")
+    if run_id in undone:
+        raise RunConflict(f"run {run_id} of {cfg.table} was undone already")
+    if others and not force:
+        raise RunConflict(f"{cfg.target} was written since run {run_id}: version {others}")
+    version = store.current_version(spark, cfg.target)
+    state, start = _state_of(spark, cfg, run_id), None
+    if state is not None and not others and state.base_version in store.versions(spark, cfg.target):
+        start = store.read_commit(spark, cfg.target, state.base_version)
+    schema = store.schema_of(start or store.read_commit(spark, cfg.target, version))
+    changes = undo_changes(read_journal(spark, cfg.journal, run_id), schema, cfg.routing)
+    name = store.stage_changes(changes, cfg.target, schema)
+    tag = {"run_id": run_id, "batch": f"undo-{uuid.uuid4().hex}"}
+    return store.commit_changes(spark, cfg.target, name, version, tag, schema)
 
 
 def run_many(spark: SparkSession, configs: Sequence[SyncConfig]) -> DataFrame:
@@ -808,8 +922,8 @@ def _record_failure(spark: SparkSession, cfg: SyncConfig, error: Exception) -> N
 
 
 __all__ = [
-    "OUTCOMES", "PHASES", "RunConflict", "RunState", "STATE", "SyncConfig", "abandon",
-    "copy_table", "delta_sync", "gate", "load_state", "offending_ids", "plan", "preflight", "rates",
+    "LAST", "OUTCOMES", "PHASES", "RunConflict", "RunState", "STATE", "SyncConfig", "abandon",
+    "continue_from", "copy_table", "delta_sync", "gate", "load_state", "offending_ids", "plan", "preflight", "rates",
     "read_dead", "reconcile", "resume", "run", "run_many", "severity", "state_table",
     "summary", "undo", "verify", "worst",
 ]

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docsync.session import fresh_dir
 from docsync.sources import files
 
 MOST_LAYERS = 8
@@ -145,10 +146,11 @@ def write_version(
     buckets: int | None = None,
     tag: dict | None = None,
     expect: int | None = None,
+    compacted: bool = False,
 ) -> int:
     """Writes ``df`` as a complete new version and returns its number.
 
-    ``buckets`` should give files of about one GB at the table's size; an existing table keeps
+    ``compacted`` says that the rows are those of the version before. ``buckets`` should give files of about one GB at the table's size; an existing table keeps
     its number unless another one is named.
     """
     spark = df.sparkSession
@@ -163,6 +165,8 @@ def write_version(
         "rows": read_bucketed(spark, f"{root}/{data}", df.schema, buckets).count(),
         "bytes": files.size(spark, f"{root}/{data}"),
         "layers": [],
+        "change": None,
+        "compacted": compacted,
         "buckets": buckets,
         "schema": df.schema.jsonValue(),
         "tag": tag or {},
@@ -218,18 +222,73 @@ def commit_changes(
     layers = [*commit["layers"], name]
     if len(layers) > MOST_LAYERS:
         layers = [_fold(spark, root, {**commit, "layers": layers})]
-    return _commit(spark, root, after, {**commit, "layers": layers, "tag": tag or {}})
+    change = {"change": name, "compacted": False}
+    return _commit(spark, root, after, {**commit, **change, "layers": layers, "tag": tag or {}})
 
 
 def _fold(spark: SparkSession, root: str, commit: dict) -> str:
     """One change set with the effect of all of a commit's; the base is not read."""
     layers = [read_layer(spark, root, name, commit) for name in commit["layers"]]
+    name = f"chg-{uuid.uuid4().hex}"
+    write_bucketed(_net(layers), f"{root}/{name}", commit["buckets"])
+    return name
+
+
+def _net(layers: list[DataFrame]) -> DataFrame:
+    """The last change of each id over change sets from old to new; they meet bucket by bucket."""
     rows = layers[0]
     for layer in layers[1:]:
         rows = rows.join(layer.select("id"), "id", "left_anti").select(*rows.columns).unionByName(layer)
-    name = f"chg-{uuid.uuid4().hex}"
-    write_bucketed(rows, f"{root}/{name}", commit["buckets"])
-    return name
+    return rows
+
+
+class NoChangeFeed(LookupError):
+    """A version in between was written whole, so that its changes are not recorded."""
+
+
+def changes_between(
+    spark: SparkSession, root: str, after: int, upto: int | None = None, kinds: bool = False
+) -> DataFrame:
+    """Net effect of the change sets committed after version ``after``, up to ``upto`` (the newest).
+
+    ``change`` is ``upsert`` or ``delete``, with the columns of version ``upto``; a deleted row has only
+    its id. Each id comes once, whatever happened to it in between. Only the change sets are read,
+    without an exchange of their rows; not the base, and no timestamps.
+
+    ``kinds`` tells ``insert`` from ``update`` and leaves out deletes of ids that version ``after`` did not
+    hold, for which the ids of that version are read. Compactions and folds in between change
+    nothing; a version that was written whole raises :class:`NoChangeFeed`.
+    """
+    listed = versions(spark, root)
+    upto = upto or (listed[-1] if listed else 0)
+    if upto not in listed or after not in [0, *listed] or after > upto:
+        raise LookupError(f"{root} has no versions {after} to {upto}")
+    last, layers = read_commit(spark, root, upto), []
+    for version in range(after + 1, upto + 1):
+        if version not in listed:
+            raise NoChangeFeed(f"version {version} of {root} is gone")
+        commit = read_commit(spark, root, version)
+        if commit.get("change"):
+            layers.append((commit["change"], {**commit, "schema": last["schema"]}))
+        elif not commit.get("compacted"):
+            raise NoChangeFeed(f"version {version} of {root} was written whole: compare the versions")
+    schema = schema_of(last)
+    sets = [read_layer(spark, root, name, commit) for name, commit in layers]
+    while len(sets) > MOST_LAYERS:
+        # Long histories are folded in steps, so that no plan grows with them.
+        path = fresh_dir(spark, "net-changes")
+        write_bucketed(_net(sets[:MOST_LAYERS]), path, last["buckets"])
+        sets = [read_bucketed(spark, path, layer_schema(schema), last["buckets"]), *sets[MOST_LAYERS:]]
+    rows = _net(sets) if sets else spark.createDataFrame([], layer_schema(schema))
+    payload = [F.col(f"`{f.name}`") for f in schema.fields]
+    change = F.when(F.col(OP) == "delete", "delete").otherwise("upsert")
+    if not kinds:
+        return rows.select(change.alias("change"), *payload)
+    held = read_table(spark, root, after).select("id") if after else spark.createDataFrame([], T.StructType([schema["id"]]))
+    known = held.join(rows.select("id"), "id", "left_semi").withColumn("_known", F.lit(True))
+    rows = rows.join(known, "id", "left")
+    kind = F.when(F.col(OP) == "delete", F.when(F.col("_known"), "delete")).when(F.col("_known"), "update").otherwise("insert")
+    return rows.withColumn("change", kind).where("change is not null").select("change", *payload)
 
 
 def read_table(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
@@ -270,7 +329,7 @@ def compact(
     if not commit["layers"] and buckets in (None, commit["buckets"]):
         return commit["version"]
     rows = read_table(spark, root, commit["version"])
-    return write_version(rows, root, buckets, tag=tag or commit["tag"], expect=commit["version"])
+    return write_version(rows, root, buckets, tag=tag or commit["tag"], expect=commit["version"], compacted=True)
 
 
 def mean_row_bytes(spark: SparkSession, root: str) -> float:
@@ -287,7 +346,7 @@ def expire(spark: SparkSession, root: str, before: int) -> list[str]:
     """
     listed = versions(spark, root)
     old = [v for v in listed[:-1] if v < before]
-    used = lambda vs: {n for v in vs for c in [read_commit(spark, root, v)] for n in (c["base"], *c["layers"])}
+    used = lambda vs: {n for v in vs for c in [read_commit(spark, root, v)] for n in (c["base"], *c["layers"], *filter(None, [c.get("change")]))}
     gone = sorted(used(old) - used([v for v in listed if v not in old]))
     for version in old:
         files.remove(spark, _commit_path(root, version))
@@ -327,7 +386,7 @@ def get_marker(spark: SparkSession, root: str, key: str, override: str | None =
 
 
 __all__ = [
-    "MOST_LAYERS", "CommitConflict", "commit_changes", "compact", "current_version", "expire", "find_commit",
+    "MOST_LAYERS", "CommitConflict", "NoChangeFeed", "changes_between", "commit_changes", "compact", "current_version", "expire", "find_commit",
     "get_marker", "markers", "matching", "mean_row_bytes", "overlay", "read_bucketed",
     "read_commit", "read_layer", "read_table", "schema_of", "set_marker", "stage_changes",
     "versions", "write_bucketed", "write_version",

@@ -20,7 +20,7 @@ from queries.fixtures import pair_sql
 SINCE = "2001-01-01T00:00:00+00:00"
 
 
-def _config(spark, sf, home, table="orders", **settings):
+def _config(spark, sf, home, table="orders", source=None, **settings):
     """The fixture's target as a stored table, its source, and a run between them."""
     root = f"{home}/{table}"
     store.write_version(fx.target(spark, sf), root)
@@ -31,7 +31,7 @@ def _config(spark, sf, home, table="orders", **settings):
     # The silent updates of the fixture would fail the content sample, as they should (see
     # q_verify); here the run itself is looked at.
     settings = {"since": SINCE, "ts_field": "ts", "margin": 0, "sample_rows": 0, "freeze_wait": 0, **settings}
-    return jobs.SyncConfig(table=table, source=orders, target=root, home=f"{home}/runs", **settings)
+    return jobs.SyncConfig(table=table, source=source or orders, target=root, home=f"{home}/runs", **settings)
 
 
 def q_full_copy(spark, sf):
@@ -167,6 +167,96 @@ def q_undo_run(spark, sf):
     return store.read_table(spark, cfg.target)
 
 
+def _later(spark, sf, cfg):
+    """The same run over a source that gained updates since."""
+
+    def orders(session):
+        rows = fx.source(session, sf)
+        late = F.col("id") % 13 == 0
+        moved = F.when(late, fx.ntz(dt.datetime(2002, 1, 1))).otherwise(F.col("ts"))
+        return rows.withColumn("price", F.when(late, 0.0).otherwise(F.col("price"))).withColumn("ts", moved)
+
+    return jobs.SyncConfig(**{**cfg.__dict__, "source": orders})
+
+
+def q_undo_twice(spark, sf):
+    """Two runs, undone one after the other."""
+    cfg = _config(spark, sf, fresh_dir(spark, "undo"))
+    jobs.run(spark, cfg)
+    jobs.run(spark, _later(spark, sf, cfg))
+    jobs.undo(spark, cfg)
+    jobs.undo(spark, cfg)
+    return store.read_table(spark, cfg.target)
+
+
+def q_undo_abandoned(spark, sf):
+    """A good run, then one that dies before it changes anything and is given up: the good one is undone."""
+    cfg = _config(spark, sf, fresh_dir(spark, "undo"))
+    jobs.run(spark, cfg)
+    with mock.patch.object(store, "commit_changes", side_effect=OSError("lost")):
+        _must_fail(OSError, jobs.run, spark, _later(spark, sf, cfg))
+    jobs.abandon(spark, cfg)
+    jobs.undo(spark, cfg)
+    return store.read_table(spark, cfg.target)
+
+
+def q_undo_schema(spark, sf):
+    """A run that adds a column, undone: rows and columns as they were."""
+    cfg = _config(spark, sf, fresh_dir(spark, "undo"))
+
+    def orders(session):
+        return fx.source(session, sf).withColumn("note", F.lit("n"))
+
+    jobs.run(spark, jobs.SyncConfig(**{**cfg.__dict__, "source": orders}))
+    jobs.undo(spark, cfg)
+    return store.read_table(spark, cfg.target)
+
+
+def _changed_table(spark, sf):
+    """A stored table with a change set of updates and inserts, one of deletes, and one that takes back some."""
+    root = f"{fresh_dir(spark, 'feed')}/orders"
+    store.write_version(fx.target(spark, sf), root)
+    schema = store.schema_of(store.read_commit(spark, root))
+    changes, gone = fx.changes(spark, sf), fx.to_delete(spark, sf)
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields if f.name != "id"]
+    back = fx.target(spark, sf).join(gone.where("id % 2 = 0"), "id", "left_semi")
+    for rows, op in ((changes, "index"), (gone.select("id", *blank), "delete"), (back, "index")):
+        store.commit_changes(spark, root, store.stage_changes(rows.withColumn("op", F.lit(op)), root))
+    return root
+
+
+def q_changes_between(spark, sf):
+    """What became of each id since the first version, from the change sets alone."""
+    return store.changes_between(spark, _changed_table(spark, sf), 1, kinds=True)
+
+
+def q_run_feed(spark, sf):
+    """A run, changes of the versioned source that no timestamp tells, and a run that continues by the change feed."""
+    source = _changed_table(spark, sf)
+    cfg = _config(spark, sf, fresh_dir(spark, "feed"), source=source, ts_field=None, since="last")
+    jobs.run(spark, cfg)
+    silent = store.read_table(spark, source).where("id % 7 = 0").withColumn("status", F.lit("Z"))
+    store.commit_changes(spark, source, store.stage_changes(silent.withColumn("op", F.lit("index")), source))
+    state = jobs.run(spark, cfg)
+    rows = store.read_table(spark, cfg.target)
+    return rows.withColumn("applied", F.lit(state.synced).cast("long"))
+
+
+def q_run_last(spark, sf):
+    """A run, later updates, and a run from the watermark of the first on; rows at the watermark come once."""
+    cfg = _config(spark, sf, fresh_dir(spark, "last"))
+    jobs.run(spark, cfg)
+    later = _later(spark, sf, cfg)
+    state = jobs.run(spark, jobs.SyncConfig(**{**later.__dict__, "since": "last", "source": _named(later.source)}))
+    return store.read_table(spark, cfg.target).withColumn("applied", F.lit(state.synced).cast("long"))
+
+
+def _named(source):
+    """The function under the name that the first run knows its source by."""
+    source.__name__ = "orders"
+    return source
+
+
 def q_versions(spark, sf):
     """Row counts of every version of a table that a run has changed."""
     cfg = _config(spark, sf, fresh_dir(spark, "versions"))
@@ -245,6 +335,9 @@ _FINAL = pair_sql("SELECT id, cust, status, price, prio, ts FROM base WHERE k <>
 _COUNTS = """, c AS (SELECT count(*) FILTER (k IN ('create', 'update')) AS d, count(*) FILTER (k = 'delete') AS x,
     count(*) FILTER (k = 'missed') AS m, count(*) FILTER (k = 'create') AS cr FROM base)"""
 
+_FEED = """, new AS (SELECT id, cust, status, price, prio, ts FROM base WHERE k IN ('create', 'update')),
+    gone AS (SELECT id FROM base WHERE k = 'delete')"""
+
 ORACLE = {
     "q_full_copy": pair_sql("SELECT * FROM src"),
     "q_copy_totals": pair_sql(
@@ -271,6 +364,22 @@ ORACLE = {
            d + x + m AS journal_seq, 'ok' AS outcome FROM c"""
     ),
     "q_undo_run": pair_sql("SELECT * FROM tgt"),
+    "q_undo_twice": pair_sql("SELECT * FROM tgt"),
+    "q_undo_abandoned": pair_sql("SELECT * FROM tgt"),
+    "q_undo_schema": pair_sql("SELECT * FROM tgt"),
+    "q_changes_between": pair_sql(_FEED + """ SELECT 'delete' AS change, id, NULL AS cust, NULL AS status, NULL AS price, NULL AS prio, NULL AS ts
+           FROM gone WHERE id % 2 <> 0
+         UNION ALL SELECT CASE WHEN t.id IS NULL THEN 'insert' ELSE 'update' END, n.* FROM new n LEFT JOIN tgt t ON n.id = t.id
+         UNION ALL SELECT 'update', t.* FROM tgt t WHERE id IN (SELECT id FROM gone WHERE id % 2 = 0)"""),
+    "q_run_feed": pair_sql(_FEED + """, v AS (
+           SELECT * FROM tgt WHERE id NOT IN (SELECT id FROM new) AND id NOT IN (SELECT id FROM gone WHERE id % 2 <> 0)
+           UNION ALL SELECT * FROM new)
+         SELECT id, cust, CASE WHEN id % 7 = 0 THEN 'Z' ELSE status END AS status, price, prio, ts,
+           count(*) FILTER (id % 7 = 0 AND status <> 'Z') OVER () AS applied FROM v"""),
+    "q_run_last": pair_sql("""SELECT a.id, cust, status, CASE WHEN a.id % 13 = 0 THEN 0.0 ELSE price END AS price, prio,
+           CASE WHEN a.id % 13 = 0 THEN TIMESTAMP '2002-01-01' ELSE ts END AS ts,
+           (SELECT count(*) FROM src WHERE id % 13 = 0) AS applied
+         FROM (SELECT * FROM base WHERE k <> 'delete' AND id % 13 <> 0 UNION ALL BY NAME SELECT * FROM src WHERE id % 13 = 0) a"""),
     "q_versions": pair_sql(
         """SELECT 1 AS version, count(*) AS n FROM tgt UNION ALL SELECT 2, count(*) FROM aft
            UNION ALL SELECT 3, count(*) FROM src"""

@@ -419,3 +419,153 @@ def test_expired_versions_go_and_staged_changes_stay(spark, home):
     assert len(gone) == 3 and store.versions(spark, cfg.target) == [newest]
     assert content(spark, cfg) == before and staged in files.names(spark, cfg.target)
     assert store.expire(spark, cfg.target, newest + 9) == []
+
+
+# ---- change feed, continuing, undo in steps ----------------------------------------------
+
+
+def feed(spark, root, *args, **more):
+    return sorted((r["change"], r["id"], r["title"]) for r in store.changes_between(spark, root, *args, **more).collect())
+
+
+def layered(spark, root, *steps):
+    """A table of three rows, then one change set per step of ``(op, id, title)``."""
+    schema = "id string, title string"
+    store.write_version(spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "C")], schema), root, buckets=4)
+    for step in steps:
+        rows = spark.createDataFrame(step, f"op string, {schema}")
+        store.commit_changes(spark, root, store.stage_changes(rows, root))
+
+
+def test_change_feed_is_the_net_effect(spark, home):
+    layered(
+        spark, home,
+        [("index", "a", "A2"), ("index", "x", "X1"), ("delete", "b", None)],
+        [("index", "x", "X2"), ("delete", "a", None), ("index", "y", "Y")],
+        [("delete", "y", None), ("index", "b", "B2"), ("delete", "nobody", None)],
+    )
+    assert feed(spark, home, 1) == [
+        ("delete", "a", None), ("delete", "nobody", None), ("delete", "y", None), ("upsert", "b", "B2"), ("upsert", "x", "X2"),
+    ]
+    assert feed(spark, home, 1, kinds=True) == [("delete", "a", None), ("insert", "x", "X2"), ("update", "b", "B2")]
+    assert feed(spark, home, 2, 3, kinds=True) == [("delete", "a", None), ("insert", "y", "Y"), ("update", "x", "X2")]
+    assert feed(spark, home, 4) == [] and feed(spark, home, 4, kinds=True) == []
+    store.compact(spark, home)
+    assert feed(spark, home, 3, kinds=True) == [("delete", "y", None), ("insert", "b", "B2")]
+    store.write_version(spark.createDataFrame([("z", "Z")], "id string, title string"), home)
+    with pytest.raises(store.NoChangeFeed, match="written whole"):
+        feed(spark, home, 1)
+    assert feed(spark, home, 1, 4, kinds=True) == [("delete", "a", None), ("insert", "x", "X2"), ("update", "b", "B2")]
+    with pytest.raises(LookupError):
+        feed(spark, home, 99)
+
+
+def test_change_feed_over_folds_and_expired_versions(spark, home):
+    layered(spark, home, *[[("index", "n", f"N{i}"), ("index", f"i{i}", "I")] for i in range(11)])
+    commits = [store.read_commit(spark, home, v) for v in store.versions(spark, home)]
+    assert any(len(c["layers"]) < len(b["layers"]) for b, c in zip(commits, commits[1:]))
+    want = sorted([("insert", "n", "N10"), *(("insert", f"i{i}", "I") for i in range(11))])
+    assert feed(spark, home, 1, kinds=True) == want
+    store.expire(spark, home, before=9)
+    assert feed(spark, home, 9) == [("upsert", f"i{i}", "I") for i in (10, 8, 9)] + [("upsert", "n", "N10")]
+    with pytest.raises(LookupError):
+        feed(spark, home, 1)
+
+
+def test_run_continues_by_the_change_feed(spark, home):
+    source = f"{home}/source"
+    store.write_version(spark.createDataFrame(source_rows(), SCHEMA), source, buckets=4)
+    cfg = config(spark, home, since="last")
+    cfg = SyncConfig(**{**cfg.__dict__, "source": source})
+    store.set_marker(spark, source, "cutover_at", CUTOVER)
+    first = jobs.run(spark, cfg)
+    assert first.from_version == 0 and first.outcome == "ok"
+    # A change that leaves the timestamp alone, a new row and a delete: all are found without timestamps.
+    rows = [("index", "doc-09", "silent", OLD), ("index", "doc-30", "new", OLD), ("delete", "doc-10", None, None)]
+    staged = store.stage_changes(spark.createDataFrame(rows, f"op string, {SCHEMA}"), source)
+    store.commit_changes(spark, source, staged)
+    second = jobs.run(spark, SyncConfig(**{**cfg.__dict__, "full_compare": True}))
+    assert (second.from_version, second.seen, second.synced, second.deleted_applied) == (1, 2, 2, 1)
+    got = content(spark, cfg)
+    assert got["doc-09"] == "silent" and got["doc-30"] == "new" and "doc-10" not in got
+    assert jobs.run(spark, cfg).journal_seq == 0
+
+
+def test_run_continues_inclusively_from_the_watermark(spark, home):
+    """Rows of one time, some before the first run and some after it: none lost, none journaled twice."""
+    cfg = config(spark, home)
+    first = jobs.run(spark, cfg)
+    assert first.watermark == str(NEW)
+    late = [*source_rows()[1:], ("doc-01", "UPD-1 again", NEW), ("doc-40", "late", NEW)]
+    cfg = config(spark, home, late, since="last")
+    second = jobs.run(spark, cfg)
+    assert second.inclusive and (second.seen, second.synced, second.journal_seq) == (11, 2, 2)
+    assert content(spark, cfg) == {i: t for i, t, _ in late}
+    third = jobs.run(spark, cfg)
+    assert third.synced == 0 and third.watermark == str(NEW)
+    # An undone run is not continued.
+    jobs.undo(spark, cfg)
+    assert jobs.continue_from(spark, cfg).run_id == first.run_id
+
+
+def test_undo_passes_over_runs_that_changed_nothing(spark, home, monkeypatch):
+    cfg = config(spark, home)
+    before = content(spark, cfg)
+    first = jobs.run(spark, cfg)
+
+    def lost(*args, **kwargs):
+        raise OSError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(store, "commit_changes", lost)
+        with pytest.raises(OSError):
+            jobs.run(spark, config(spark, home, [("doc-01", "other", dt.datetime(2026, 7, 25)), *source_rows()[1:]]))
+    jobs.abandon(spark, cfg)
+    assert jobs.load_state(spark, cfg).run_id != first.run_id
+    jobs.undo(spark, cfg)
+    assert content(spark, cfg) == before
+
+
+def test_undo_steps_back_run_by_run(spark, home):
+    cfg = config(spark, home)
+    start = content(spark, cfg)
+    first = jobs.run(spark, cfg)
+    middle = content(spark, cfg)
+    rows = [(i, f"{t}!", dt.datetime(2026, 7, 25)) for i, t, _ in source_rows()]
+    second = jobs.run(spark, config(spark, home, rows))
+    jobs.undo(spark, cfg)
+    assert content(spark, cfg) == middle
+    with pytest.raises(jobs.RunConflict, match="undone already"):
+        jobs.undo(spark, cfg, second.run_id)
+    jobs.undo(spark, cfg)
+    assert content(spark, cfg) == start
+    with pytest.raises(jobs.RunConflict, match="no journal"):
+        jobs.undo(spark, cfg)
+    with pytest.raises(jobs.RunConflict, match="undone already"):
+        jobs.undo(spark, cfg, first.run_id)
+    # A new run after that is undone as any other.
+    jobs.run(spark, cfg)
+    jobs.undo(spark, cfg)
+    assert content(spark, cfg) == start
+
+
+def test_undo_restores_the_schema(spark, home):
+    cfg = config(spark, home)
+    names = store.read_table(spark, cfg.target).columns
+    rows = [(i, t, ts, 1) for i, t, ts in source_rows()]
+    cfg = config(spark, home, rows, f"{SCHEMA}, extra int", sample_rows=0)
+    jobs.run(spark, cfg)
+    assert store.read_table(spark, cfg.target).columns == [*names, "extra"]
+    jobs.undo(spark, cfg)
+    assert store.read_table(spark, cfg.target).columns == names
+    left = diff(spark.createDataFrame(target_rows(), SCHEMA), store.read_table(spark, cfg.target)).where("status <> 'same'")
+    assert left.count() == 0
+
+
+def test_maps_that_could_not_be_undone_are_refused(spark, home):
+    rows = [(i, t, ts, [{1: "x"}]) for i, t, ts in source_rows()]
+    cfg = config(spark, home, rows, f"{SCHEMA}, extra array<map<int, string>>")
+    version = store.current_version(spark, cfg.target)
+    with pytest.raises(GateFailed, match="extra is a map with int keys"):
+        jobs.run(spark, cfg)
+    assert store.current_version(spark, cfg.target) == version
