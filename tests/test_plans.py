@@ -133,3 +133,10 @@ def test_sampled_ids_prune_buckets(spark, stored):
         table = store.read_table(spark, stored[0])
         text = plan(table.where(F.col("id").isin(["d1"])))
     assert "SelectedBucketsCount: 1 out of 4" in text
+
+
+def test_change_feed_reads_change_sets_alone(spark, stored):
+    """No exchange and no file of the base."""
+    feed = store.changes_between(spark, stored[0], 1)
+    base = store.read_commit(spark, stored[0])["base"]
+    assert exchanges(feed) == 0 and feed.inputFiles() and not any(base in f for f in feed.inputFiles())
