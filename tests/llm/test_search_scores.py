@@ -220,6 +220,7 @@ def brute_scores(rows, depth=2):
             for i in range(len(text) - d + 1):
                 counts[d][tuple(text[i : i + d])] += 1
     total = sum(len(t) for t in learned)
+    context_least = max(context_least, math.ceil(suffix_tree.MIN_SHARE * total))
     words = {g: c for g, c in counts[1].items() if g != (None,)}
     once, twice = (sum(c == n for c in words.values()) for n in (1, 2))
     d0 = min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
@@ -284,10 +285,10 @@ def same_scores(got, want):
     assert np.allclose([r[5:] for r in got], [r[5:] for r in want], rtol=1e-6, atol=1e-6)
 
 
-@pytest.mark.parametrize("depth, head", [(2, 40), (1, 1 << 20), (3, 0)])
-def test_scores_equal_brute_force(spark, monkeypatch, depth, head):
+@pytest.mark.parametrize("depth, head, share", [(2, 40, 0.002), (1, 1 << 20, 0), (3, 0, 0)])
+def test_scores_equal_brute_force(spark, monkeypatch, depth, head, share):
     """Also with most or all entries looked up by the join, and counts sent in many parts."""
-    for name, value in (("HEAD", head), ("MIN_GRAM", 4), ("MIN_CONTEXT", 8), ("THRESHOLD", 6.0), ("FLUSH", 3000), ("SLICE", 100)):
+    for name, value in (("HEAD_WORDS", head), ("HEAD_GRAMS", head), ("MIN_GRAM", 4), ("MIN_CONTEXT", 8), ("THRESHOLD", 6.0), ("MIN_SHARE", share), ("FLUSH", 3000), ("SLICE", 100)):
         monkeypatch.setattr(suffix_tree, name, value)
     rows = texts_with_habits()
     want, kept = brute_scores(rows, depth)
@@ -301,7 +302,7 @@ def test_scores_equal_brute_force(spark, monkeypatch, depth, head):
 
 def test_scores_with_crowded_bit_maps(spark, monkeypatch):
     """Bit maps that let everything through change no result."""
-    for name, value in (("HEAD", 30), ("MOST_BITS", 9)):
+    for name, value in (("HEAD_WORDS", 30), ("HEAD_GRAMS", 30), ("MOST_BITS", 9)):
         monkeypatch.setattr(suffix_tree, name, value)
     rows = texts_with_habits(2, 120)
     got = suffix_tree.score_held_out(spark.createDataFrame(rows, "doc_id long, text string")).collect()
