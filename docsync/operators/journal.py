@@ -76,10 +76,12 @@ def number(
 def first_images(journal: DataFrame) -> DataFrame:
     """Journal row with the lowest seq per id: the state before the run, even after replays.
 
-    The lowest numbers come from ids and numbers alone; documents are not aggregated.
+    The lowest numbers come from ids and numbers alone; documents are not aggregated. They meet by
+    id alone, so that a journal bucketed by id is read in place.
     """
-    lowest = journal.groupBy("id").agg(F.min("seq").alias("seq"))
-    return journal.join(lowest, ["id", "seq"], "left_semi").select(*journal.columns)
+    lowest = journal.groupBy("id").agg(F.min("seq").alias("_first"))
+    # No number is below the lowest. As an equality this would become a key of the join.
+    return journal.join(lowest, "id").where("seq <= _first").select(*journal.columns)
 
 
 def first_images_ranked(journal: DataFrame) -> DataFrame:

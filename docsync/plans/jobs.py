@@ -546,7 +546,7 @@ def _apply(
         ids = number(layer.select("id", kinds.alias("kind")), state.journal_seq)
         before = store.read_table(spark, cfg.target, expect)
         rows = preimage(ids, before, F.col("kind"), cfg.routing, store.matching(before, layer))
-        append_journal(rows, cfg.journal, state.run_id, batch, uncommitted=True)
+        append_journal(rows, cfg.journal, state.run_id, batch, uncommitted=True, buckets=pinned["buckets"])
         done = _journaled(spark.read.schema(JOURNAL).parquet(batch_path(cfg.journal, state.run_id, batch)))
         state.version = store.commit_changes(spark, cfg.target, state.layer, expect, tag, schema)
     state.layer = None

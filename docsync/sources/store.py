@@ -38,16 +38,20 @@ def _table_name() -> str:
     return f"docsync_{uuid.uuid4().hex}"
 
 
-def write_bucketed(df: DataFrame, path: str, buckets: int, key: str = "id") -> None:
-    """One file per bucket below ``path``, sorted by id.
+def write_bucketed(
+    df: DataFrame, path: str, buckets: int, key: str = "id", replace: bool = False
+) -> None:
+    """One file per bucket below ``path``, sorted by id; ``replace`` overwrites what is there.
 
     Only ``saveAsTable`` can write buckets, so the folder is registered for the moment of the
-    write; dropping an external table leaves its files.
+    write; dropping an external table leaves its files. Rows that lie by bucket already stay
+    where they are.
     """
     spark, name = df.sparkSession, _table_name()
     (
         df.repartition(buckets, key)
         .write.format("parquet")
+        .mode("overwrite" if replace else "errorifexists")
         .bucketBy(buckets, key)
         .sortBy(key)
         .option("path", path)
@@ -73,9 +77,10 @@ def read_bucketed(
     """Reads such a folder so that joins and aggregates by id use the buckets."""
     name = _table_name()
     columns = ", ".join(f"`{f.name}` {_ddl(f.dataType)}" for f in schema.fields)
+    location = path.replace("\\", "\\\\").replace("'", "\\'")
     spark.sql(
         f"CREATE TABLE {name} ({columns}) USING parquet "
-        f"CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}'"
+        f"CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{location}'"
     )
     df = spark.table(name)
     spark.sql(f"DROP TABLE {name}")

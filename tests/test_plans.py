@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docsync.functions import hash_text
 from docsync.operators import apply, checks, diff, extract, journal
-from docsync.sources import store
+from docsync.sources import journal_store, store
 
 SCHEMA = "id string, n int, t string, ts timestamp"
 
@@ -108,6 +108,45 @@ def test_first_images_aggregate_no_documents(spark):
     assert "SortAggregate" not in text and "min_by" not in text
 
 
+@pytest.fixture(scope="module")
+def batches(spark, tmp_path_factory):
+    """A journal of two bucketed batches; the second replays part of the first."""
+    root = str(tmp_path_factory.mktemp("journal"))
+    for batch, (low, high, base) in {"delta-0": (0, 40, 0), "reconcile": (30, 50, 40)}.items():
+        old = F.to_json(F.struct(F.lit(base + 1).alias("n"), "t"))
+        images = journal.number(rows(spark, low, high), base).select(
+            "seq", "id", F.lit("delta").alias("op"), F.lit(1).alias("found"), old.alias("source"), F.lit(None).alias("routing")
+        )
+        journal_store.append_journal(images, root, "r", batch, uncommitted=True, buckets=4)
+    return root
+
+
+def test_bucketed_journal_is_undone_in_place(spark, batches, stored):
+    """No exchange from the journal to the change set's buckets."""
+    with no_broadcast(spark):
+        read = journal_store.read_journal(spark, batches, "r")
+        first = journal.first_images(read)
+        changes = journal.undo_changes(read, store.schema_of(store.read_commit(spark, stored[0])))
+        assert exchanges(first) == 0
+        assert exchanges(changes.repartition(4, "id")) == 0
+    assert first.count() == 50 and first.where("seq > 40").count() == 10
+    assert {r["n"] for r in changes.select("n").collect()} == {1, 41}
+
+
+def test_journal_of_plain_and_bucketed_batches(spark, tmp_path):
+    images = spark.createDataFrame([(1, "a", "delta", 1, "{}", None)], journal_store.JOURNAL)
+    root = f"{tmp_path}/it's"
+    journal_store.append_journal(images, root, "r", "a", buckets=4)
+    journal_store.append_journal(images.withColumn("seq", F.lit(2)), root, "r", "b")
+    assert not journal_store.append_journal(images, root, "r", "a", buckets=2)
+    # Written again, a batch keeps its number of buckets.
+    for buckets in (2, None):
+        assert journal_store.append_journal(images, root, "r", "a", uncommitted=True, buckets=buckets)
+        read = journal_store.read_journal(spark, root, "r")
+        assert sorted((r["seq"], r["id"]) for r in read.collect()) == [(1, "a"), (2, "a")]
+    assert journal.first_images(read).count() == 1
+
+
 def test_numbering_has_no_global_sort(spark):
     text = plan(journal.number(rows(spark, 0, 100).select("id")))
     # The only single-partition step works on the counted groups, which are at most 65,536.
