@@ -28,11 +28,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsync.llm.sample import bounded_sample
+from docsync.llm.vectors import LEAST_LONG, inner_products, scaled, smallest, usable
 from docsync.session import materialize
 
-SCALE = 256
-# Components from this size on could overflow a 64-bit score.
-TOO_LARGE = float(1 << 18)
 BLOCK, QUERY_BLOCK = 1024, 512
 ROWS_PER_PIVOT, MOST_PIVOTS = 4096, 1024
 LEAF, FAN = 128, 12
@@ -58,7 +56,7 @@ class Tree:
 def grow_tree(ids: np.ndarray, points: np.ndarray) -> bytes:
     """A tree as plain arrays: node ranges, centres, covering radii and parents, ids and points.
 
-    Points take the smallest integers that hold them.
+    Points take the smallest numbers that hold them.
     """
     order, nodes = np.arange(len(ids)), []
     stack = [(0, len(ids), 0, -1)]
@@ -86,20 +84,21 @@ def grow_tree(ids: np.ndarray, points: np.ndarray) -> bytes:
     table = np.array([n[:3] + n[4:] for n in nodes], np.int64)
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    most = np.abs(points).max(initial=0)
-    kind = next(k for k in (np.int16, np.int32, np.int64) if most < np.iinfo(k).max)
     return pickle.dumps({
         "low": table[:, 0], "high": table[:, 1], "centre_at": place[table[:, 2]], "above": table[:, 3],
-        "radius": np.array([n[3] for n in nodes]), "ids": ids[order], "points": points[order].astype(kind),
+        "radius": np.array([n[3] for n in nodes]), "ids": ids[order], "points": smallest(points[order]),
     })
 
 
 def bound(one: Tree, i: np.ndarray, two: Tree, j: np.ndarray) -> np.ndarray:
-    """No inner product between points of nodes i and j is larger; slack covers rounding."""
+    """No score between points of nodes i and j is larger; slack covers rounding.
+
+    Inner products below the least long count as it, so that no bound is lower.
+    """
     inner = (one.centre[i] * two.centre[j]).sum(axis=1)
     s, r = one.radius[i], two.radius[j]
     total = s * two.size[j] + r * one.size[i] + s * r
-    return inner + total + 1e-9 * (np.abs(inner) + total) + 1
+    return np.maximum(inner + total + 1e-9 * (np.abs(inner) + total) + 1, float(LEAST_LONG))
 
 
 class Best:
@@ -113,7 +112,8 @@ class Best:
 
     def offer(self, query: int, scores: np.ndarray, ids: np.ndarray) -> None:
         scores, ids = np.append(self.scores[query], scores), np.append(self.ids[query], ids)
-        first = np.lexsort((ids, -scores))[: self.k]
+        # ~x is -x - 1, which the least long has too.
+        first = np.lexsort((ids, ~scores))[: self.k]
         self.scores[query], self.ids[query] = scores[first], ids[first]
         if len(first) == self.k:
             self.kth[query] = max(self.kth[query], self.scores[query][-1])
@@ -136,13 +136,11 @@ def search(queries: Tree, data: Tree, best: Best) -> None:
                 below_i += [x for x in left for _ in right]
                 below_j += [y for _ in left for y in right]
         i, j = np.array(below_i, np.int64), np.array(below_j, np.int64)
-    exact = queries.points.shape[1] * max(np.abs(queries.points).max(), 1) * max(np.abs(data.points).max(), 1) < 2**53
     for t, a, b in sorted(leaves, reverse=True):
         rows, cols = slice(queries.low[a], queries.high[a]), slice(data.low[b], data.high[b])
         if t < best.kth[rows].min():
             continue
-        q, p = queries.points[rows], data.points[cols]
-        scores = (q @ p.T).astype(np.int64) if exact else q.astype(np.int64) @ p.astype(np.int64).T
+        scores = inner_products(queries.points[rows], data.points[cols])
         able = (scores >= best.kth[rows][:, None]) & (queries.ids[rows][:, None] != data.ids[cols][None, :])
         for x in np.flatnonzero(able.any(axis=1)).tolist():
             best.offer(queries.low[a] + x, scores[x, able[x]], data.ids[cols][able[x]])
@@ -150,14 +148,8 @@ def search(queries: Tree, data: Tree, best: Best) -> None:
 
 def _clean(rows: DataFrame) -> DataFrame:
     """``(vec_id, v)`` with scaled components, of the rows that take part."""
-    e = F.col("embedding").cast("array<double>")
-
-    def usable(x: Column) -> Column:
-        return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < TOO_LARGE)
-
-    rows = rows.where(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall(e, usable))
-    scaled = F.transform(e, lambda x: F.floor(x * SCALE).cast("double"))
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("v"))
+    rows = rows.where(usable("embedding") & F.col("vec_id").isNotNull())
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), scaled("embedding").alias("v"))
 
 
 def _cells(pivots: np.ndarray):
@@ -169,14 +161,14 @@ def _cells(pivots: np.ndarray):
             for row, values in zip(rows, batch.column(1).to_pylist(), strict=True):
                 row[: len(values)] = values
             near = ((pivots**2).sum(axis=1)[None, :] - 2 * rows @ pivots.T).argmin(axis=1)
-            packed = pa.array([r.astype(np.int64 if np.abs(r).max(initial=0) >= 2**31 else np.int32).tobytes() for r in rows], pa.binary())
+            packed = pa.array([(r if np.abs(r).max(initial=0) >= 2**31 else r.astype(np.int32)).tobytes() for r in rows], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near), packed], names=["vec_id", "cell", "v"])
 
     return run
 
 
 def unpack(vectors: list[bytes], dimension: int) -> np.ndarray:
-    kinds = {4 * dimension: np.int32, 8 * dimension: np.int64}
+    kinds = {4 * dimension: np.int32, 8 * dimension: np.float64}
     if not dimension:
         return np.zeros((len(vectors), 0))
     return np.array([np.frombuffer(v, kinds[len(v)]) for v in vectors], float)
@@ -206,9 +198,9 @@ def _grow(dimension: int):
 
 
 def _blocks(rows: DataFrame, size: int, dimension: int, label: str) -> DataFrame:
-    """``(block, cell, salt, centre, radius, tree)``: cells cut by the hash of the id."""
+    """``(block, cell, salt, centre, radius, tree)``: cells cut by the hash of id and row number."""
     sizes = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).alias("salts"))
-    cut = rows.join(F.broadcast(sizes), "cell").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.col("salts")))
+    cut = rows.join(F.broadcast(sizes), "cell").withColumn("salt", F.pmod(F.xxhash64("vec_id", "row"), F.col("salts")))
     packed = cut.groupBy("cell", "salt").agg(F.collect_list(F.struct("vec_id", "v")).alias("x"))
     packed = packed.select(F.expr("cell * 4294967296L + salt").alias("block"), "cell", "salt", "x.vec_id", "x.v")
     return materialize(
@@ -250,8 +242,8 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 5) -> DataFrame:
 
     ``queries`` and ``data`` are ``(vec_id, embedding)``; components x count as floor(256 x).
     Ties go to the smaller vec_id; a query never finds its own id. Null vectors, null ids and
-    vectors with null, non-finite or overlarge components (2**18) take no part. Shorter vectors
-    count as padded by zeros. Of query rows that repeat an id the least vector counts; data
+    vectors with null or non-finite components take no part. Scores are exact however large the
+    components are; one that does not fit a long counts as the nearest long. Shorter vectors count as padded by zeros. Of query rows that repeat an id the least vector counts; data
     rows that repeat one are separate candidates. Other columns are ignored.
     """
     spark = data.sparkSession
@@ -265,9 +257,14 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 5) -> DataFrame:
     pivots = np.zeros((max(len(chosen), 1), dimension))
     for row, pivot in zip(pivots, chosen, strict=False):
         row[: len(pivot["v"])] = pivot["v"]
-    celled = "vec_id long, cell long, v binary"
-    trees = _blocks(materialize(points.mapInArrow(_cells(pivots), celled), "cells"), BLOCK, dimension, "data-trees")
-    groups = _blocks(materialize(asked.mapInArrow(_cells(pivots), celled), "cells"), QUERY_BLOCK, dimension, "query-trees")
+
+    def celled(rows: DataFrame) -> DataFrame:
+        # Numbered, so that rows that repeat an id are dealt to different blocks.
+        cells = rows.mapInArrow(_cells(pivots), "vec_id long, cell long, v binary")
+        return materialize(cells.withColumn("row", F.monotonically_increasing_id()), "cells")
+
+    trees = _blocks(celled(points), BLOCK, dimension, "data-trees")
+    groups = _blocks(celled(asked), QUERY_BLOCK, dimension, "query-trees")
 
     # One data block of the own cell for each query block.
     salts = trees.groupBy("cell").agg((F.max("salt") + 1).alias("salts"))
@@ -297,7 +294,7 @@ def top_k(queries: DataFrame, data: DataFrame, k: int = 5) -> DataFrame:
     )
     pairs = (
         spread.join(stored, "part").where("home IS NULL OR home <> data_block")
-        .where(F.col("worst").isNull() | (reach + F.abs(reach) * 1e-9 + 1 >= F.col("worst")))
+        .where(F.col("worst").isNull() | (F.greatest(reach + F.abs(reach) * 1e-9 + 1, F.lit(float(LEAST_LONG))) >= F.col("worst")))
         .select("block", "data_block", "kth")
     )
     second = (

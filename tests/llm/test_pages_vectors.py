@@ -6,12 +6,14 @@ import hashlib
 import os
 import random
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docsync.llm import cover_tree, html_pages, html_text, warc
+from docsync.llm import cover_tree, html_pages, html_text, registry, warc
 from docsync.llm.components import components
 from tests.llm.fixtures import documents
 
@@ -214,7 +216,7 @@ def brute_top(rows, k=5):
     good = {}
     data = []
     for i, v in rows:
-        if i is None or v is None or any(x is None or not np.isfinite(x) or abs(x) >= 2**18 for x in v):
+        if i is None or v is None or any(x is None or not np.isfinite(x) for x in v):
             continue
         w = [int(np.floor(256 * float(np.float32(x)))) for x in v]
         data.append((i, w))
@@ -222,7 +224,8 @@ def brute_top(rows, k=5):
             good[i] = min(good.get(i, w), w)
     out = set()
     for q, w in good.items():
-        scored = sorted((-sum(a * b for a, b in zip(w, x)), i) for i, x in data if i != q)[:k]
+        score = lambda x: min(max(sum(a * b for a, b in zip(w, x)), -(2**63)), 2**63 - 1)  # noqa: B023, E731
+        scored = sorted((-score(x), i) for i, x in data if i != q)[:k]
         out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)}
     return out
 
@@ -251,10 +254,26 @@ def test_top_k_awkward_rows(spark):
     assert run_top(spark, rows) == brute_top(rows)
     assert run_top(spark, [(0, [1.0])]) == set()
     assert run_top(spark, []) == set()
+    # Beyond a long on either side, with ties among the least scores.
+    large = [(0, [2.0**30, 1.0]), (50, [-(2.0**60), 3.0]), (100, [1.0, 2.0**40])] + [(i, [(-1.0) ** i * 2.0 ** (20 + 3 * i), float(i)]) for i in range(1, 25)]
+    assert run_top(spark, large) == brute_top(large)
+    # One id a third of all rows.
+    often = [(7, [1.0, float(i % 3)]) for i in range(40)] + [(i, [float(i % 7), 1.0]) for i in range(100, 180)]
+    assert run_top(spark, often) == brute_top(often)
     # Shorter vectors are padded by zeros.
     assert {r[2:] for r in run_top(spark, [(0, [1.0, 1.0]), (1, [1.0])])} == {(1, 65536)}
 
 
+def test_top_k_of_large_components_equals_the_sql(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(size=4) * 4.0 ** (i % 11)).astype(np.float32).tolist()) for i in range(300)]
+    columns = {"vec_id": [i for i, _ in rows], "embedding": pa.array([v for _, v in rows], pa.list_(pa.float32()))}
+    with duckdb.connect() as db:
+        db.register("embeddings", pa.table(columns))
+        wanted = set(db.sql(registry.TOP_K).fetchall())
+    assert max(abs(x) for _, v in rows for x in v) > 2**20 and run_top(spark, rows) == wanted
+
+
 def test_bound_holds():
     rng = np.random.default_rng(5)
     points = rng.integers(-300, 300, (500, 6)).astype(float)
