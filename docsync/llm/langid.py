@@ -86,7 +86,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = count_ngrams(text.as_py() or "", letters)
             if counts is not None:
                 langs.append(lang)
-                out.append(np.minimum(counts, 65535).astype(np.uint16).tobytes())
+                out.append(counts.astype(np.uint32).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.binary())], names=["lang", "counts"])
 
 
@@ -114,7 +114,7 @@ def fit(rows: DataFrame, limit: int = ROWS_PER_LANGUAGE, centroids: int = CENTRO
     got = sample.mapInArrow(_counts, "lang string, counts binary").toPandas().sort_values(["lang", "counts"])
     if got.empty:
         return Model(np.ones(DIMENSIONS, np.float32), np.zeros((1, DIMENSIONS), np.float32), [UNKNOWN], np.ones(1))
-    counts = np.frombuffer(b"".join(got["counts"]), np.uint16).reshape(len(got), DIMENSIONS)
+    counts = np.frombuffer(b"".join(got["counts"]), np.uint32).reshape(len(got), DIMENSIONS)
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
     vectors = weigh(counts, idf)
     all_centroids, languages, reach = [], [], []
