@@ -152,7 +152,7 @@ class Asked:
             window = int(windows[x])
             s = np.append(self.found[window][0], scores[x, hit[x]])
             i = np.append(self.found[window][1], ids[hit[x]])
-            first = np.lexsort((i, -s))[: self.k]
+            first = np.lexsort((i, ~s))[: self.k]
             self.found[window] = (s[first], i[first])
             if len(first) == self.k:
                 self.low[window] = s[first[-1]]
