@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsync.functions import fingerprint
@@ -52,16 +52,33 @@ def diff(
     differing = any(
         src.schema[c].dataType.simpleString() != tgt.schema[c].dataType.simpleString() for c in shared
     )
-    tagged = []
-    for tag, df in (("s", src), ("t", tgt)):
+    hashed = []
+    for df in (src, tgt):
         payload = [c for c in df.columns if c not in keys and (compare is None or c in compare)]
-        content = fingerprint(df, payload, reorder=differing).alias("h")
-        hashed = df.select(*keys, F.lit(tag).alias("side"), content)
-        half = lambda start: F.conv(F.substring("h", start, 15), 16, 10).cast("bigint")
-        tagged.append(hashed.select(*keys, "side", half(1).alias("h1"), half(16).alias("h2")))
+        content = df.select(*keys, fingerprint(df, payload, reorder=differing).alias("h"))
+        h1, h2 = halves(F.col("h"))
+        hashed.append(content.select(*keys, h1.alias("h1"), h2.alias("h2")))
+    return statuses(*hashed, keys)
+
+
+def halves(content: Column) -> tuple[Column, Column]:
+    """Two 60-bit integers of a content hash."""
+    return tuple(F.conv(F.substring(content, start, 15), 16, 10).cast("bigint") for start in (1, 16))
+
+
+def statuses(
+    src: DataFrame, tgt: DataFrame, keys: Sequence[str] = ID, counted: bool = False
+) -> DataFrame:
+    """``keys, status`` from ``keys, h1, h2`` of both sides, in one grouped aggregate.
+
+    With ``counted`` an id is the same only when both sides hold equally many rows of it.
+    """
+    tagged = [df.select(*keys, F.lit(tag).alias("side"), "h1", "h2") for tag, df in (("s", src), ("t", tgt))]
     in_src = F.max(F.col("side") == "s")
     in_tgt = F.max(F.col("side") == "t")
     equal = (F.min("h1") == F.max("h1")) & (F.min("h2") == F.max("h2"))
+    if counted:
+        equal = equal & (F.count_if(F.col("side") == "s") == F.count_if(F.col("side") == "t"))
     return (
         tagged[0]
         .unionByName(tagged[1])

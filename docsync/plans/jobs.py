@@ -33,7 +33,7 @@ from docsync.operators.journal import number, preimage, undo_changes
 from docsync.operators.outcome import DEAD_LETTER, rejected
 from docsync.operators.schema import align, extend, misfit, remove_fields
 from docsync.session import fresh_dir, materialize, tune
-from docsync.sources import files, store
+from docsync.sources import digest, files, store
 from docsync.sources.journal_store import JOURNAL, append_journal, batch_path, read_journal
 
 # Phases of a run, in order.
@@ -88,7 +88,8 @@ class SyncConfig:
     marker's, or ``last``: behind the last good run (see :func:`continue_from`). ``home`` is the folder of
     run states, journals and dead letters. ``unknown`` says what happens to source columns that the target
     lacks: ``extend`` adds them to the target, ``drop`` leaves them out; ``strict`` rejects rows
-    that have a value there.
+    that have a value there. ``digests`` makes ``full_compare`` compare the digests of two versioned
+    tables (:mod:`docsync.sources.digest`), which it keeps for both, where both have the same columns and types.
     """
 
     table: str
@@ -108,6 +109,7 @@ class SyncConfig:
     full_compare: bool = False
     freeze_wait: float = 10.0
     unknown: str = "extend"
+    digests: bool = False
 
     @property
     def source_name(self) -> str:
@@ -679,7 +681,7 @@ def verify(spark: SparkSession, cfg: SyncConfig, state: RunState | None = None)
             }
     report = checks.verify(src, tgt, **planned)
     if cfg.full_compare:
-        report = report.unionByName(checks.difference_row("content_full", checks.content_diff(*content)))
+        report = report.unionByName(checks.difference_row("content_full", _full_diff(spark, cfg, state, content)))
     if cfg.sample_rows > 0:
         report = report.unionByName(checks.difference_row("content_sample", _sample_diff(*content, cfg.sample_rows)))
     return report
@@ -709,7 +711,7 @@ def offending_ids(spark: SparkSession, cfg: SyncConfig, state: RunState) -> Data
         sides.where("n_tgt = 0").select(F.lit("missing_ids").alias("check"), ids),
     ]
     if cfg.full_compare:
-        parts.append(checks.content_diff(*content).select(F.lit("content_full").alias("check"), ids))
+        parts.append(_full_diff(spark, cfg, state, content).select(F.lit("content_full").alias("check"), ids))
     if cfg.sample_rows > 0:
         parts.append(_sample_diff(*content, cfg.sample_rows).select(F.lit("content_sample").alias("check"), ids))
     out = parts[0]
@@ -727,6 +729,21 @@ def _version_before(spark: SparkSession, cfg: SyncConfig, state: RunState) -> in
     return state.base_version
 
 
+def _full_diff(spark: SparkSession, cfg: SyncConfig, state: RunState | None, content: tuple) -> DataFrame:
+    """Ids of the source whose target row is absent or different, by digests where they can tell.
+
+    They cannot where fields are removed, rows were set aside, or the tables' columns or types differ.
+    """
+    versions = (cfg.source_version(spark), store.current_version(spark, cfg.target))
+    if cfg.digests and versions[0] and not cfg.remove and not (state and state.dl_count):
+        pinned = state.src_version if state else versions[0]
+        src, tgt = (store.schema_of(store.read_commit(spark, r, v)) for r, v in ((cfg.source, pinned), (cfg.target, versions[1])))
+        if set(src.names) <= set(tgt.names) and not digest.mismatched(src, tgt):
+            found = digest.compare(spark, cfg.source, cfg.target, pinned, versions[1])
+            return found.where("status <> 'only_target'").select("id")
+    return checks.content_diff(*content)
+
+
 def _sample_diff(src: DataFrame, tgt: DataFrame, n: int) -> DataFrame:
     """Differing ids among ``n`` sampled ones; the sample meets both sides as a small join."""
     chosen = materialize(checks.sample(src, n).select("id"), "sample")

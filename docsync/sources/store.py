@@ -355,8 +355,10 @@ def expire(spark: SparkSession, root: str, before: int) -> list[str]:
     gone = sorted(used(old) - used([v for v in listed if v not in old]))
     for version in old:
         files.remove(spark, _commit_path(root, version))
+        files.remove(spark, f"{root}/_digests/{version:010d}")
     for name in gone:
         files.remove(spark, f"{root}/{name}")
+        files.remove(spark, f"{root}/_prints/{name}")
     return gone
 
 

@@ -11,7 +11,7 @@ from docsync.operators.checks import GateFailed
 from docsync.operators.outcome import DEAD_LETTER
 from docsync.plans import jobs
 from docsync.session import fresh_dir
-from docsync.sources import store
+from docsync.sources import digest, store
 from docsync.sources.journal_store import read_journal
 from docsync.streaming.sync import sync_once
 from queries import fixtures as fx
@@ -242,6 +242,48 @@ def q_run_feed(spark, sf):
     return rows.withColumn("applied", F.lit(state.synced).cast("long"))
 
 
+def _copies(spark, sf):
+    """Source and target of the fixture as stored tables of different numbers of buckets."""
+    roots = []
+    for rows, buckets in ((fx.source, 12), (fx.target, 8)):
+        roots.append(fresh_dir(spark, "digest"))
+        store.write_version(rows(spark, sf), roots[-1], buckets=buckets)
+    return roots
+
+
+def q_digest_compare(spark, sf):
+    """What differs between two stored tables, from their digests and prints."""
+    return digest.compare(spark, *_copies(spark, sf))
+
+
+def q_digest_layers(spark, sf):
+    """The same after the target got the source's delta as a change set and lost what the source lacks."""
+    source, target = _copies(spark, sf)
+    digest.keep(spark, target)
+    fresh = fx.changes(spark, sf).withColumn("op", F.lit("index"))
+    gone = store.read_table(spark, target).join(fx.to_delete(spark, sf), "id", "left_semi").withColumn("op", F.lit("delete"))
+    for changes in (fresh, gone):
+        store.commit_changes(spark, target, store.stage_changes(changes, target))
+    return digest.compare(spark, source, target)
+
+
+def q_digest_ranges(spark, sf):
+    """Rows counted by the digest in its own buckets and rolled up to fewer, and rows that differ from itself."""
+    root = _copies(spark, sf)[0]
+    ranges, fewer = digest.ranges_of(spark, root), digest.ranges_of(spark, root, buckets=3)
+    both = ranges.select("n", F.lit(0).alias("m")).unionByName(fewer.select(F.lit(0).alias("n"), F.col("n").alias("m")))
+    left = digest.compare(spark, root, root).count()
+    return both.agg(F.sum("n").alias("rows"), F.sum("m").alias("rolled")).withColumn("differing", F.lit(left).cast("long"))
+
+
+def q_verify_digest(spark, sf):
+    """A run between stored tables, fully compared by digests: it fails, and names the rows that changed silently."""
+    source = _copies(spark, sf)[0]
+    cfg = _config(spark, sf, fresh_dir(spark, "verify"), source=source, full_compare=True, digests=True)
+    _must_fail(GateFailed, jobs.run, spark, cfg)
+    return spark.read.parquet(jobs.load_state(spark, cfg).offending)
+
+
 def q_run_last(spark, sf):
     """A run, later updates, and a run from the watermark of the first on; rows at the watermark come once."""
     cfg = _config(spark, sf, fresh_dir(spark, "last"))
@@ -353,6 +395,12 @@ ORACLE = {
     "q_resume_crash": pair_sql("SELECT * FROM tgt"),
     "q_resume_crash_counters": pair_sql(_COUNTS + " SELECT d + x + m AS counted, d + x + m AS journaled, d + x + m AS numbers, d + x + m AS last, d AS deltas FROM c"),
     "q_verify_run": pair_sql("""SELECT 'content_full' AS "check", CAST(id AS VARCHAR) AS id FROM base WHERE k = 'silent'"""),
+    "q_verify_digest": pair_sql("""SELECT 'content_full' AS "check", CAST(id AS VARCHAR) AS id FROM base WHERE k = 'silent'"""),
+    "q_digest_compare": pair_sql("""SELECT id, CASE WHEN k IN ('create', 'missed') THEN 'only_source' WHEN k = 'delete' THEN 'only_target'
+             ELSE 'changed' END AS status FROM base WHERE k <> 'same'"""),
+    "q_digest_layers": pair_sql("""SELECT id, CASE k WHEN 'missed' THEN 'only_source' ELSE 'changed' END AS status FROM base
+           WHERE k IN ('missed', 'silent')"""),
+    "q_digest_ranges": pair_sql("SELECT count(*) AS rows, count(*) AS rolled, 0 AS differing FROM src"),
     "q_verify_run_types": pair_sql("SELECT count(*) AS n, count(*) AS notes, CAST(sum(cust) AS BIGINT) AS cust, 'ok' AS outcome FROM src"),
     "q_copy_rejects": pair_sql(
         """SELECT count(*) AS source_rows, 0 AS created, 0 AS updated, count(*) FILTER (id % 3 = 0) AS failed,
