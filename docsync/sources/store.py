@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ from docsync.session import fresh_dir
 from docsync.sources import files
 
 MOST_LAYERS = 8
+# Ids that a lookup states as literals; beyond, they are joined.
+MOST_LITERALS = 1024
 OP = "_op"
 
 
@@ -45,7 +48,7 @@ def write_bucketed(
 
     Only ``saveAsTable`` can write buckets, so the folder is registered for the moment of the
     write; dropping an external table leaves its files. Rows that lie by bucket already stay
-    where they are.
+    where they are. Each row group has a Bloom filter of its ids, as large as they need.
     """
     spark, name = df.sparkSession, _table_name()
     (
@@ -55,6 +58,8 @@ def write_bucketed(
         .bucketBy(buckets, key)
         .sortBy(key)
         .option("path", path)
+        .option(f"parquet.bloom.filter.enabled#{key}", "true")
+        .option("parquet.bloom.filter.adaptive.enabled", "true")
         .saveAsTable(name)
     )
     spark.sql(f"DROP TABLE {name}")
@@ -306,6 +311,22 @@ def read_table(spark: SparkSession, root: str, version: int | None = None) -> Da
     return rows
 
 
+def lookup(spark: SparkSession, root: str, ids: Sequence, version: int | None = None) -> DataFrame:
+    """The live rows of the given ids; ids that the version lacks, and nulls, give none.
+
+    What is read follows from the ids: of the base and of each change set, the files of their
+    buckets, and in these the row groups whose range and Bloom filter let one of them pass. More than
+    ``MOST_LITERALS`` ids are joined instead, which reads all ids.
+    """
+    rows = read_table(spark, root, version)
+    kind = rows.schema["id"].dataType
+    asked = sorted({i for i in ids if i is not None})
+    if len(asked) > MOST_LITERALS:
+        listed = spark.createDataFrame([(i,) for i in asked], T.StructType([T.StructField("id", kind)]))
+        return rows.join(listed, "id", "left_semi").select(*rows.columns)
+    return rows.where(F.col("id").isin([F.lit(i).cast(kind) for i in asked]) if asked else F.lit(False))
+
+
 def overlay(rows: DataFrame, layer: DataFrame) -> DataFrame:
     """Rows with one change set on top."""
     kept = rows.join(layer.select("id"), "id", "left_anti").select(*rows.columns)
@@ -394,7 +415,7 @@ def get_marker(spark: SparkSession, root: str, key: str, override: str | None =
 
 __all__ = [
     "MOST_LAYERS", "CommitConflict", "NoChangeFeed", "changes_between", "commit_changes", "compact", "current_version", "expire", "find_commit",
-    "get_marker", "markers", "matching", "mean_row_bytes", "overlay", "read_bucketed",
+    "get_marker", "lookup", "markers", "matching", "mean_row_bytes", "overlay", "read_bucketed",
     "read_commit", "read_layer", "read_table", "schema_of", "set_marker", "stage_changes",
     "versions", "write_bucketed", "write_version",
 ]

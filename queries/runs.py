@@ -242,6 +242,12 @@ def q_run_feed(spark, sf):
     return rows.withColumn("applied", F.lit(state.synced).cast("long"))
 
 
+def q_lookup_ids(spark, sf):
+    """The hundred dearest orders by id in a stored table with change sets; ids that it lacks give no row."""
+    top = fx.classes(spark, sf).orderBy(F.desc("price"), "id").limit(100)
+    return store.lookup(spark, _changed_table(spark, sf), [r["id"] for r in top.select("id").collect()])
+
+
 def _copies(spark, sf):
     """Source and target of the fixture as stored tables of different numbers of buckets."""
     roots = []
@@ -419,6 +425,10 @@ ORACLE = {
            FROM gone WHERE id % 2 <> 0
          UNION ALL SELECT CASE WHEN t.id IS NULL THEN 'insert' ELSE 'update' END, n.* FROM new n LEFT JOIN tgt t ON n.id = t.id
          UNION ALL SELECT 'update', t.* FROM tgt t WHERE id IN (SELECT id FROM gone WHERE id % 2 = 0)"""),
+    "q_lookup_ids": pair_sql(_FEED + """, v AS (
+           SELECT * FROM tgt WHERE id NOT IN (SELECT id FROM new) AND id NOT IN (SELECT id FROM gone WHERE id % 2 <> 0)
+           UNION ALL SELECT * FROM new)
+         SELECT v.* FROM v WHERE id IN (SELECT id FROM base ORDER BY price DESC, id LIMIT 100)"""),
     "q_run_feed": pair_sql(_FEED + """, v AS (
            SELECT * FROM tgt WHERE id NOT IN (SELECT id FROM new) AND id NOT IN (SELECT id FROM gone WHERE id % 2 <> 0)
            UNION ALL SELECT * FROM new)
