@@ -42,13 +42,13 @@ def _table_name() -> str:
 
 
 def write_bucketed(
-    df: DataFrame, path: str, buckets: int, key: str = "id", replace: bool = False
+    df: DataFrame, path: str, buckets: int, key: str = "id", replace: bool = False, index: bool = False
 ) -> None:
     """One file per bucket below ``path``, sorted by id; ``replace`` overwrites what is there.
 
     Only ``saveAsTable`` can write buckets, so the folder is registered for the moment of the
     write; dropping an external table leaves its files. Rows that lie by bucket already stay
-    where they are. Each row group has a Bloom filter of its ids, as large as they need.
+    where they are. ``index`` gives each row group a Bloom filter of its ids, as large as they need.
     """
     spark, name = df.sparkSession, _table_name()
     (
@@ -58,7 +58,7 @@ def write_bucketed(
         .bucketBy(buckets, key)
         .sortBy(key)
         .option("path", path)
-        .option(f"parquet.bloom.filter.enabled#{key}", "true")
+        .option(f"parquet.bloom.filter.enabled#{key}", str(index).lower())
         .option("parquet.bloom.filter.adaptive.enabled", "true")
         .saveAsTable(name)
     )
@@ -169,7 +169,7 @@ def write_version(
         buckets = read_commit(spark, root, after)["buckets"]
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     data = f"base-{uuid.uuid4().hex}"
-    write_bucketed(df, f"{root}/{data}", buckets)
+    write_bucketed(df, f"{root}/{data}", buckets, index=True)
     record = {
         "base": data,
         "rows": read_bucketed(spark, f"{root}/{data}", df.schema, buckets).count(),
@@ -204,7 +204,7 @@ def stage_changes(changes: DataFrame, root: str, schema: T.StructType | None = N
     name = f"chg-{uuid.uuid4().hex}"
     columns = [F.col(f"`{f.name}`") for f in schema.fields]
     rows = changes.select(F.col("op").alias(OP), *columns)
-    write_bucketed(rows, f"{root}/{name}", commit["buckets"])
+    write_bucketed(rows, f"{root}/{name}", commit["buckets"], index=True)
     return name
 
 
@@ -240,7 +240,7 @@ def _fold(spark: SparkSession, root: str, commit: dict) -> str:
     """One change set with the effect of all of a commit's; the base is not read."""
     layers = [read_layer(spark, root, name, commit) for name in commit["layers"]]
     name = f"chg-{uuid.uuid4().hex}"
-    write_bucketed(_net(layers), f"{root}/{name}", commit["buckets"])
+    write_bucketed(_net(layers), f"{root}/{name}", commit["buckets"], index=True)
     return name
 
 
