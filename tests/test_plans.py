@@ -179,3 +179,15 @@ def test_change_feed_reads_change_sets_alone(spark, stored):
     feed = store.changes_between(spark, stored[0], 1)
     base = store.read_commit(spark, stored[0])["base"]
     assert exchanges(feed) == 0 and feed.inputFiles() and not any(base in f for f in feed.inputFiles())
+
+
+def test_tasks_of_id_shuffles_stay_small(spark):
+    """Rows of a task do not grow with the table: shuffled ids are small, and hash tables of them are not."""
+    ids = spark.range(6_000_000).select(F.xxhash64("id").alias("id"))
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        tasks = ids.distinct().groupBy(F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sum(t["count"] for t in tasks) == 6_000_000
+    assert max(t["count"] for t in tasks) < 1_200_000
