@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from docsync.operators.apply import latest
 from docsync.functions import fingerprint, to_document
+from docsync.operators.extract import touched
 from docsync.operators.journal import number, preimage
 from docsync.operators.outcome import rejected
 from docsync.operators.schema import align, misfit
@@ -76,29 +77,26 @@ def _apply_batch(
     )
     rejected(refused, "delta").write.mode("overwrite").json(f"{dead}/batch_id={batch_id}")
     rows = align(newest.where("_reject is null").drop("_reject"), schema)
-    rows = materialize(_newer(rows, store.read_table(spark, target, commit["version"]), order), name)
-    rows = rows.withColumn("op", F.lit("index"))
-    staged = store.stage_changes(rows, target)
-    layer = store.read_layer(spark, target, staged, commit)
     before = store.read_table(spark, target, commit["version"])
-    images = preimage(
-        number(layer.select("id")), before, "delta", rows=store.matching(before, layer)
-    )
+    # The table is read once: the stored rows of the batch's ids decide what is newer and are the images.
+    held = materialize(touched(before, rows), name)
+    changes = _newer(rows, held, order).withColumn("op", F.lit("index"))
+    staged = store.stage_changes(changes, target)
+    layer = store.read_layer(spark, target, staged, commit)
+    images = preimage(number(layer.select("id")), before, "delta", rows=held)
     # Numbers of a batch follow those of all earlier batches.
     images = images.withColumn("seq", F.col("seq") + F.lit(batch_id) * F.lit(1 << 40))
     append_journal(images, journal, name, f"{batch_id}", uncommitted=True)
     store.commit_changes(spark, target, staged, commit["version"], tag)
 
 
-def _newer(rows: DataFrame, stored: DataFrame, order: str) -> DataFrame:
-    """Rows that are newer than what is stored under their id, so that late files do no harm.
+def _newer(rows: DataFrame, held: DataFrame, order: str) -> DataFrame:
+    """Rows that are newer than what is held under their id, so that late files do no harm.
 
     Equally new rows are told apart by content hash, as within a batch.
     """
     hashed = lambda df: fingerprint(df, [c for c in df.columns if c != "id"])
-    held = stored.join(rows.select("id"), "id", "left_semi").select(
-        "id", F.struct(F.col(order).alias("o"), hashed(stored).alias("h")).alias("_held")
-    )
+    held = held.select("id", F.struct(F.col(order).alias("o"), hashed(held).alias("h")).alias("_held"))
     own = F.struct(F.col(order).alias("o"), hashed(rows).alias("h"))
     joined = rows.withColumn("_own", own).join(held, "id", "left")
     return joined.where(F.col("_held").isNull() | (F.col("_own") > F.col("_held"))).select(*rows.columns)

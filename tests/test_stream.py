@@ -1,6 +1,7 @@
 """Incremental passes over change files."""
 
 import datetime as dt
+from unittest import mock
 
 from pyspark.sql import functions as F
 
@@ -8,6 +9,7 @@ from docsync.operators.apply import latest
 from docsync.operators.journal import audit, duplicate_seqs, undo
 from docsync.sources import store
 from docsync.sources.journal_store import read_journal
+from docsync.streaming import sync
 from docsync.streaming.sync import _apply_batch, sync_once
 
 SCHEMA = "id string, title string, updated_at timestamp"
@@ -92,3 +94,12 @@ def test_rows_that_do_not_fit_are_set_aside(spark, home):
     assert titles(spark, root) == {"d0": 1, "d1": 2}
     dead = spark.read.json(f"{home}/dead").collect()
     assert [(r["_id"], r["error"]["type"]) for r in dead] == [("d2", "mapper_parsing_exception")]
+
+
+def test_images_come_from_the_one_read_of_the_table(spark, home):
+    root = setup(spark, home)
+    base = store.read_commit(spark, root)["base"]
+    with mock.patch.object(sync, "preimage", wraps=sync.preimage) as images:
+        _apply_batch(rows(spark, [("d1", "a"), ("d11", "a")], 1), 1, root, f"{home}/j", f"{home}/dead", "updated_at", "stream")
+    assert not any(base in name for name in images.call_args.kwargs["rows"].inputFiles())
+    assert {(r["id"], r["found"]) for r in read_journal(spark, f"{home}/j", "stream").collect()} == {("d1", 1), ("d11", 0)}
