@@ -532,15 +532,17 @@ def _apply(
     else:
         is_delta = batch.startswith("delta")
         expect = state.base_version if is_delta else state.version
+        pinned = {**store.read_commit(spark, cfg.target, expect), "schema": schema.jsonValue()}
         if not state.layer:
-            # An id that comes twice would be applied twice.
-            offending = checks.bad_keys(changes).count()
+            name = store.stage_changes(changes, cfg.target, schema)
+            # An id that comes twice would be applied twice. Counted where the rows lie by bucket, before
+            # the run knows the change set: what is refused here is never taken up again.
+            offending = checks.bad_keys(store.read_layer(spark, cfg.target, name, pinned)).count()
             if offending:
                 state.staged = None
                 raise GateFailed(f"{offending} changed ids are null, empty or repeated")
-            state.layer = store.stage_changes(changes, cfg.target, schema)
+            state.layer = name
             _save(spark, cfg, state)
-        pinned = {**store.read_commit(spark, cfg.target, expect), "schema": schema.jsonValue()}
         layer = store.read_layer(spark, cfg.target, state.layer, pinned)
         kinds = F.when(F.col(store.OP) == "delete", "delete").otherwise(
             "delta" if is_delta else "repair"
