@@ -670,8 +670,13 @@ def verify(spark: SparkSession, cfg: SyncConfig, state: RunState | None = None)
     The source is compared as it was written: in the target's types, without the contents of
     rows that do not fit, and without those of their ids that the target never got.
     """
+    return _checked(spark, cfg, state)[0]
+
+
+def _checked(spark: SparkSession, cfg: SyncConfig, state: RunState | None) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The report, and the ids of differing contents by check, which are compared once and kept."""
     src, content, tgt = _compared(spark, cfg, state)
-    planned = {}
+    planned, found = {}, {}
     if state is not None and state.differences:
         differing = spark.read.parquet(state.differences)
         batches = store.read_commit(spark, cfg.target)
@@ -683,10 +688,12 @@ def verify(spark: SparkSession, cfg: SyncConfig, state: RunState | None = None)
             }
     report = checks.verify(src, tgt, **planned)
     if cfg.full_compare:
-        report = report.unionByName(checks.difference_row("content_full", _full_diff(spark, cfg, state, content)))
+        found["content_full"] = materialize(_full_diff(spark, cfg, state, content), "content")
     if cfg.sample_rows > 0:
-        report = report.unionByName(checks.difference_row("content_sample", _sample_diff(*content, cfg.sample_rows)))
-    return report
+        found["content_sample"] = materialize(_sample_diff(*content, cfg.sample_rows), "content")
+    for name, ids in found.items():
+        report = report.unionByName(checks.difference_row(name, ids))
+    return report, found
 
 
 def _compared(spark: SparkSession, cfg: SyncConfig, state: RunState | None) -> tuple:
@@ -705,19 +712,24 @@ def _compared(spark: SparkSession, cfg: SyncConfig, state: RunState | None) -> t
 
 def offending_ids(spark: SparkSession, cfg: SyncConfig, state: RunState) -> DataFrame:
     """``check, id`` of what a verification found: extra, missing and differing ids."""
-    src, content, tgt = _compared(spark, cfg, state)
-    sides = presence(src.select("id"), tgt.select("id"))
+    return _offending(spark, cfg, state, _checked(spark, cfg, state)[1])
+
+
+def _offending(
+    spark: SparkSession, cfg: SyncConfig, state: RunState, found: dict[str, DataFrame], failed: Sequence[str] | None = None
+) -> DataFrame:
+    """The same from contents that were compared. Checks that are not among ``failed`` found nothing and are left out."""
     ids = F.col("id").cast("string").alias("id")
-    parts = [
-        sides.where("n_src = 0").select(F.lit("extra_ids").alias("check"), ids),
-        sides.where("n_tgt = 0").select(F.lit("missing_ids").alias("check"), ids),
-    ]
-    if cfg.full_compare:
-        parts.append(_full_diff(spark, cfg, state, content).select(F.lit("content_full").alias("check"), ids))
-    if cfg.sample_rows > 0:
-        parts.append(_sample_diff(*content, cfg.sample_rows).select(F.lit("content_sample").alias("check"), ids))
-    out = parts[0]
-    for part in parts[1:]:
+    parts = [found[name].select(F.lit(name).alias("check"), ids) for name in found]
+    if failed is None or {"extra_ids", "missing_ids"} & set(failed):
+        src, _, tgt = _compared(spark, cfg, state)
+        sides = presence(src.select("id"), tgt.select("id"))
+        parts += [
+            sides.where("n_src = 0").select(F.lit("extra_ids").alias("check"), ids),
+            sides.where("n_tgt = 0").select(F.lit("missing_ids").alias("check"), ids),
+        ]
+    out = spark.createDataFrame([], struct_of(check="string", id="string"))
+    for part in parts:
         out = out.unionByName(part)
     return out
 
@@ -768,10 +780,11 @@ def _advance(spark: SparkSession, cfg: SyncConfig, state: RunState) -> RunState:
             else:
                 raise RunConflict(f"unknown phase {state.phase}")
             _save(spark, cfg, state)
-        failed = [r["check"] for r in verify(spark, cfg, state).where("not ok").collect()]
+        report, found = _checked(spark, cfg, state)
+        failed = [r["check"] for r in report.where("not ok").collect()]
         if failed:
             state.offending = fresh_dir(spark, f"{cfg.table}-offending")
-            offending_ids(spark, cfg, state).write.parquet(state.offending)
+            _offending(spark, cfg, state, found, failed).write.parquet(state.offending)
             raise GateFailed(f"verification failed: {', '.join(failed)}; ids: {state.offending}")
         state.phase, state.message = "DONE", None
         state.outcome = "dead_letters" if state.dl_count else "ok"

@@ -1,10 +1,12 @@
 """End-to-end runs over the small seed: 20 target rows, 8 updates, 2 creates, 1 delete."""
 
 import datetime as dt
+from unittest import mock
 
 import pytest
 from pyspark.sql import functions as F
 
+from docsync.operators import checks
 from docsync.operators.checks import GateFailed
 from docsync.operators.diff import diff
 from docsync.operators.journal import audit, duplicate_seqs
@@ -204,6 +206,44 @@ def test_bad_source_ids_never_lead_to_deletes(spark, home, bad):
     assert "doc-00" in content(spark, cfg)
 
 
+def test_changed_ids_are_checked_where_they_lie(spark, home):
+    """The change set is made once, and its ids are counted without an exchange."""
+    cfg = config(spark, home)
+    with mock.patch.object(checks, "bad_keys", wraps=checks.bad_keys) as checked:
+        jobs.run(spark, cfg)
+    assert checked.call_count == 2
+    for call in checked.call_args_list:
+        rows = call.args[0]
+        assert "Exchange" not in checks.bad_keys(rows)._jdf.queryExecution().executedPlan().toString()
+        assert all("/chg-" in name for name in rows.inputFiles())
+
+
+def test_refused_change_set_is_not_taken_up_again(spark, home):
+    rows = source_rows()
+    cfg = config(spark, home, [*rows, rows[0]])
+    with pytest.raises(GateFailed, match="null, empty or repeated"):
+        jobs.run(spark, cfg)
+    state = jobs.load_state(spark, cfg)
+    assert state.layer is None and store.current_version(spark, cfg.target) == 1
+    fixed = jobs.SyncConfig(**{**cfg.__dict__, "source": config(spark, home).source})
+    assert jobs.resume(spark, fixed).outcome == "ok"
+    assert content(spark, fixed) == {i: t for i, t, _ in rows}
+
+
+def test_contents_are_compared_once(spark, home):
+    """A verification that fails keeps the ids it found instead of comparing again."""
+    rows = [(i, "moved" if i == "doc-12" else t, ts) for i, t, ts in source_rows()]
+    cfg = config(spark, home, rows, full_compare=True, sample_rows=0)
+    with mock.patch.object(jobs, "_full_diff", wraps=jobs._full_diff) as compared, mock.patch.object(jobs, "_compared", wraps=jobs._compared) as sides:
+        with pytest.raises(GateFailed, match="content_full"):
+            jobs.run(spark, cfg)
+    assert (compared.call_count, sides.call_count) == (1, 1)
+    state = jobs.load_state(spark, cfg)
+    found = [("content_full", "doc-12")]
+    assert [tuple(r) for r in spark.read.parquet(state.offending).collect()] == found
+    assert [tuple(r) for r in jobs.offending_ids(spark, cfg, state).collect()] == found
+
+
 def test_repair_brings_back_rows_with_old_or_no_timestamp(spark, home):
     rows = source_rows() + [("doc-30", "late", OLD), ("doc-31", "undated", None)]
     state = jobs.run(spark, config(spark, home, rows))
