@@ -79,15 +79,29 @@ def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Language, and the text's dimensions that are not zero with their counts."""
     letters = letter_table()
     for batch in batches:
-        langs, out = [], []
+        langs, places, out = [], [], []
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             counts = count_ngrams(text.as_py() or "", letters)
             if counts is not None:
+                own = np.flatnonzero(counts)
                 langs.append(lang)
-                out.append(counts.astype(np.uint32).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.binary())], names=["lang", "counts"])
+                places.append(own.astype(np.uint16).tobytes())
+                out.append(counts[own].astype(np.uint32).tobytes())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(langs, pa.string()), pa.array(places, pa.binary()), pa.array(out, pa.binary())],
+            names=["lang", "places", "counts"],
+        )
+
+
+def _dense(places: list[bytes], counts: list[bytes]) -> np.ndarray:
+    """Count rows, sorted, so that they do not depend on the order in which they came."""
+    rows = np.zeros((len(places), DIMENSIONS), np.uint32)
+    for row, place, count in zip(rows, places, counts, strict=True):
+        row[np.frombuffer(place, np.uint16)] = np.frombuffer(count, np.uint32)
+    return rows[sorted(range(len(rows)), key=lambda i: rows[i].tobytes())]
 
 
 def k_means(rows: np.ndarray, k: int) -> np.ndarray:
@@ -111,15 +125,18 @@ def fit(rows: DataFrame, limit: int = ROWS_PER_LANGUAGE, centroids: int = CENTRO
     """Fit on ``rows(doc_id, text, lang)``; null languages and texts without letters are ignored."""
     known = rows.where("lang IS NOT NULL AND text IS NOT NULL")
     sample = bounded_sample(known, "doc_id", limit, by="lang").select(F.col("lang").cast("string"), "text")
-    got = sample.mapInArrow(_counts, "lang string, counts binary").toPandas().sort_values(["lang", "counts"])
+    got = sample.mapInArrow(_counts, "lang string, places binary, counts binary").toPandas()
     if got.empty:
         return Model(np.ones(DIMENSIONS, np.float32), np.zeros((1, DIMENSIONS), np.float32), [UNKNOWN], np.ones(1))
-    counts = np.frombuffer(b"".join(got["counts"]), np.uint32).reshape(len(got), DIMENSIONS)
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
-    vectors = weigh(counts, idf)
+    held = np.zeros(DIMENSIONS, np.int64)
+    for place in got["places"]:
+        held[np.frombuffer(place, np.uint16)] += 1
+    idf = np.log((1 + len(got)) / (1 + held)).astype(np.float32) + np.float32(0.1)
     all_centroids, languages, reach = [], [], []
+    # Rows are whole for one language at a time.
     for lang in sorted(set(got["lang"])):
-        own = vectors[(got["lang"] == lang).to_numpy()]
+        mine = got[got["lang"] == lang]
+        own = weigh(_dense(list(mine["places"]), list(mine["counts"])), idf)
         found = k_means(own, centroids)
         cosine = own @ found.T
         nearest = cosine.argmax(axis=1)

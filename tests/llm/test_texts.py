@@ -182,6 +182,17 @@ def test_language_centroids(spark):
     assert langid.predict(strange, model).first().rejected
 
 
+def test_language_fit_collects_counts_that_are_not_zero(spark):
+    """A short text costs the driver some bytes for each of its n-grams, not a whole row; rows come back whole."""
+    import pyarrow as pa
+
+    texts = ["ab", "Ab ba", "née " * 300]
+    out = list(langid._counts([pa.RecordBatch.from_arrays([pa.array(["xx"] * 3), pa.array(texts)], names=["lang", "text"])]))[0]
+    assert sum(out.column(i).nbytes for i in range(1, out.num_columns)) < 1000
+    want = sorted((langid.count_ngrams(t, langid.letter_table()).astype(np.uint32) for t in texts), key=lambda r: r.tobytes())
+    assert np.array_equal(langid._dense(out.column(1).to_pylist(), out.column(2).to_pylist()), np.array(want))
+
+
 def test_language_awkward_rows(spark):
     model = langid.fit(documents(spark))
     rows = langid.predict(documents(spark), model).collect()
