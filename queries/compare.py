@@ -197,7 +197,8 @@ def q_first_image_ranked(spark, sf):
 
 
 def q_undo(spark, sf):
-    return journal.undo(fx.reconciled(spark, sf), full_journal(spark, sf))
+    # The target is written when it is undone, as after a run.
+    return journal.undo(materialize(fx.reconciled(spark, sf), "target"), full_journal(spark, sf))
 
 
 def q_sample(spark, sf):

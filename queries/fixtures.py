@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from docsync.operators.apply import apply_deletes, apply_upserts
 from docsync.operators.diff import only_in
 from docsync.operators.extract import delta
-from docsync.session import spread, tune
+from docsync.session import materialize, spread, tune
 
 CUTOVER = dt.datetime(2001, 1, 1)
 OLD = dt.datetime(1994, 12, 31)
@@ -84,12 +84,13 @@ def after_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target(spark, sf_dir).select("id").union(changes(spark, sf_dir).select("id")).distinct()
 
 
+# Both are staged, as in a run: a plan over several of them would hold a hash table of each join in every task.
 def to_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return only_in(after_ids(spark, sf_dir), source(spark, sf_dir))
+    return materialize(only_in(after_ids(spark, sf_dir), source(spark, sf_dir)), "to-delete")
 
 
 def to_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return only_in(source(spark, sf_dir), after_ids(spark, sf_dir))
+    return materialize(only_in(source(spark, sf_dir), after_ids(spark, sf_dir)), "to-repair")
 
 
 def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Physical plans: what is pushed down, what is shuffled, what is broadcast."""
 
 import datetime as dt
+import os
 from contextlib import contextmanager
 
 import pytest
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 from docsync.functions import hash_text
 from docsync.operators import apply, checks, diff, extract, journal
 from docsync.sources import journal_store, store
+from queries import compare
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SCHEMA = "id string, n int, t string, ts timestamp"
 
 
@@ -191,3 +194,10 @@ def test_tasks_of_id_shuffles_stay_small(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert sum(t["count"] for t in tasks) == 6_000_000
     assert max(t["count"] for t in tasks) < 1_200_000
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+@pytest.mark.parametrize("query, joins", [(compare.q_undo, 4)])
+def test_steps_of_a_run_are_staged(spark, query, joins):
+    """A task holds the hash tables of all joins and groupings of its stage: no plan spans the steps of a run."""
+    assert plan(query(spark, SF)).count("Join ") <= joins
