@@ -206,7 +206,8 @@ def q_sample(spark, sf):
 
 
 def q_verify(spark, sf):
-    src, tgt = fx.source(spark, sf), fx.after_delta(spark, sf)
+    # What is verified is the written target.
+    src, tgt = fx.source(spark, sf), materialize(fx.after_delta(spark, sf), "target")
     return checks.verify(
         src, tgt, before=tgt, to_delete=fx.to_delete(spark, sf), to_repair=fx.to_repair(spark, sf),
         sample_ids=checks.sample(src), full=True,

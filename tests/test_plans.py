@@ -197,7 +197,7 @@ def test_tasks_of_id_shuffles_stay_small(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("query, joins", [(compare.q_undo, 4)])
+@pytest.mark.parametrize("query, joins", [(compare.q_undo, 4), (compare.q_verify, 4)])
 def test_steps_of_a_run_are_staged(spark, query, joins):
     """A task holds the hash tables of all joins and groupings of its stage: no plan spans the steps of a run."""
     assert plan(query(spark, SF)).count("Join ") <= joins
