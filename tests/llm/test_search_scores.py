@@ -320,6 +320,25 @@ def test_scores_awkward_rows(spark):
     assert [tuple(r) for r in suffix_tree.score_held_out(alone).collect()] == [(held, True, 3, 0, 0, 0.0, 0.0)]
 
 
+def test_scores_tell_texts_that_occur_twice(spark):
+    """Words, contexts and transitions seen once or twice count."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(2000)}" for _ in range(60)) for _ in range(300)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t) for i, t in enumerate(texts[:30])]
+    got = suffix_tree.score_held_out(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    learned = {r.doc_id: r.score for r in got if not r.held_out}
+    twice = [learned[i] for i in range(30) if i in learned and 1000 + i in learned]
+    once = [x for i, x in learned.items() if 30 <= i < 1000]
+    assert len(twice) > 10 and len(once) > 200 and min(twice) > max(once)
+
+
+def test_scores_of_other_texts_than_the_learned(spark):
+    """A model's texts need not be among those that are scored."""
+    docs = spark.createDataFrame(texts_with_habits(4, 80), "doc_id long, text string")
+    alone = suffix_tree.score(docs, suffix_tree.fit(docs.where(~suffix_tree.held_out())), suffix_tree.held_out()).collect()
+    same_scores(alone, [tuple(r) for r in suffix_tree.score_held_out(docs).collect()])
+
+
 def test_root_sums_to_one(spark):
     rows = texts_with_habits(3, 200)
     model = suffix_tree.fit(spark.createDataFrame([(t,) for _, t in rows], "text string"))
