@@ -15,6 +15,10 @@ scores is an annulus around the anchor, one for each range of lengths |x|.
 1. Anchors search their own cell for rows of the same label, which gives a first k-th score.
 2. They search the other cells that may hold a better one: positives.
 3. Each positive is a window of scores; anchors with their windows search for other labels.
+
+What grows with the rows is never broadcast: joins of it are merge joins by hint, since Spark takes a
+binary value for 100 bytes and compressed files for their rows, and so would send trees of hundreds of
+megabytes through the driver. The driver gets the root only: split points, and ranges by cell.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ from docsync.session import materialize
 MOST_CELLS, ROWS_PER_CELL = 256, 4096
 BLOCK, ANCHORS = 2048, 512
 FAN, LEAF = 16, 128
+# Rows that are looked at for each split point of the root.
+DRAWN = 16
 SLACK = 1e-7
 
 
@@ -322,7 +328,7 @@ def _visit(sent: DataFrame, trees: DataFrame, k: int, same: bool, dimension: int
         .groupBy("cell", "batch")
         .agg(F.collect_list(F.struct("anchor_id", "label", "v", "slot", "low", "high")).alias("asked"))
     )
-    return packed.join(trees.select("cell", "tree"), "cell").select("tree", "asked").mapInArrow(_search(k, same, dimension), FOUND)
+    return packed.join(trees.select("cell", "tree").hint("merge"), "cell").select("tree", "asked").mapInArrow(_search(k, same, dimension), FOUND)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -360,7 +366,13 @@ def mine(
 
     # Split points: the rows of least hash, a top-k of bounded size.
     wanted = min(max(count // ROWS_PER_CELL, 1), MOST_CELLS)
-    chosen = rows.select("v").orderBy(F.xxhash64("vec_id", "v"), "vec_id", "label", "v").limit(wanted).collect()
+    # Every task sends its own; few rows of all tables but the smallest have a hash below the share's, so that
+    # what the driver gets doesn't grow with the tasks.
+    order = [F.xxhash64("vec_id", "v"), "vec_id", "label", "v"]
+    below = LEAST_LONG + (1 << 64) * min(DRAWN * wanted, count) // max(count, 1) - 1
+    chosen = rows.where(order[0] <= below).select("v").orderBy(*order).limit(wanted).collect()
+    if len(chosen) < wanted:
+        chosen = rows.select("v").orderBy(*order).limit(wanted).collect()
     points = np.zeros((max(len(chosen), 1), dimension))
     for point, row in zip(points, chosen, strict=False):
         point[: len(row["v"])] = row["v"]
@@ -386,7 +398,7 @@ def mine(
     at_home = _best(materialize(_visit(own, trees, positives, True, dimension), "home"), positives)
     at_home = materialize(at_home.select("anchor_id", "vec_id", "score", "rank"), "home-best")
     kth = at_home.where(F.col("rank") == positives).select("anchor_id", F.array("score").alias("kth"))
-    better = own.join(kth, "anchor_id", "left").withColumn("low", F.coalesce("kth", "low")).select(own.columns)
+    better = own.join(kth.hint("merge"), "anchor_id", "left").withColumn("low", F.coalesce("kth", "low")).select(own.columns)
     sent = materialize(better.mapInArrow(_send(root, there, dimension, True), ASKED), "sent")
     elsewhere = _visit(sent, trees, positives, True, dimension).select("anchor_id", "vec_id", "score")
     both = at_home.select("anchor_id", "vec_id", "score").unionByName(elsewhere).withColumn("slot", F.lit(0))
@@ -400,11 +412,11 @@ def mine(
 
     windows = found.withColumn("w", F.struct("slot", share(window[0], F.ceil).alias("low"), share(window[1], F.floor).alias("high")))
     windows = windows.where("w.low <= w.high").groupBy("anchor_id").agg(F.collect_list("w").alias("w"))
-    asking = own.select("anchor_id", "label", "cell", "v").join(windows, "anchor_id")
+    asking = own.select("anchor_id", "label", "cell", "v").join(windows.hint("merge"), "anchor_id")
     asking = asking.select("anchor_id", "label", "cell", "v", F.col("w.slot").alias("slot"), F.col("w.low").alias("low"), F.col("w.high").alias("high"))
     sent = materialize(asking.mapInArrow(_send(root, there, dimension, False), ASKED), "sent")
     best = _best(_visit(sent, trees, negatives, False, dimension), negatives)
-    return best.join(found, ["anchor_id", "slot"]).select(
+    return best.join(found.hint("merge"), ["anchor_id", "slot"]).select(
         "anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("vec_id").alias("negative_id"),
         "positive_score", F.col("score").alias("negative_score"),
     )

@@ -166,6 +166,20 @@ def test_mine_hot_copies(spark, monkeypatch):
     assert run_mine(spark, rows) == brute_mine(rows)
 
 
+def test_mine_broadcasts_nothing_that_grows(spark, monkeypatch):
+    """Only numbers by cell are broadcast: neither trees nor anchors nor what was found."""
+    monkeypatch.setattr(hard_negatives, "BLOCK", 64)
+    plans, write = [], hard_negatives.materialize
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    monkeypatch.setattr(hard_negatives, "materialize", lambda df, label: (plans.append((label, plan(df))), write(df, label))[1])
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=4).tolist(), i % 3) for i in range(400)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    plans.append(("result", plan(hard_negatives.mine(table.where("vec_id % 50 = 0"), table))))
+    joins = [(label, p.count("SortMergeJoin"), p.count("BroadcastHashJoin")) for label, p in plans if "Join" in p]
+    assert joins == [("trees", 0, 1), ("home", 1, 1), ("sent", 1, 0), ("positives", 1, 1), ("sent", 1, 0), ("result", 2, 1)]
+
+
 def test_mine_awkward_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
