@@ -369,7 +369,7 @@ def mine(
     # Every task sends its own; few rows of all tables but the smallest have a hash below the share's, so that
     # what the driver gets doesn't grow with the tasks.
     order = [F.xxhash64("vec_id", "v"), "vec_id", "label", "v"]
-    below = LEAST_LONG + (1 << 64) * min(DRAWN * wanted, count) // max(count, 1) - 1
+    below = max(LEAST_LONG + (1 << 64) * min(DRAWN * wanted, count) // max(count, 1) - 1, LEAST_LONG)
     chosen = rows.where(order[0] <= below).select("v").orderBy(*order).limit(wanted).collect()
     if len(chosen) < wanted:
         chosen = rows.select("v").orderBy(*order).limit(wanted).collect()
